@@ -1,15 +1,75 @@
-"""The corpus pipeline: stages over documents, each a table for the next one."""
+"""The corpus pipeline: stages over documents, each a table for the next one.
+
+Stages: toxic documents go; lines that many documents share go; of each group of
+near-duplicates the document of least id stays; documents are sampled so that
+sources, languages and topics meet their target weights; texts become tokens.
+Each stage but the last returns the columns of documents. Null ids, texts and
+other columns pass through as each operator states; tables may be empty and hold
+further columns, which are dropped.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from covenant.llm import bpe, line_dedup, mixing, simhash, toxicity
+from covenant.llm.common import DOCUMENT_COLUMNS, materialize
+from covenant.llm.queries import TOXIC
+
+#: Share of the tokens that the mixing stage samples.
+MIX_SHARE = 0.8
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(DOCUMENT_COLUMNS), model).where(F.col("score") < TOXIC).select(DOCUMENT_COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many documents share. A document that had
+    text and has none left goes; a null text stays null."""
+    kept = line_dedup.deduplicate(docs.select(DOCUMENT_COLUMNS))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    bare = (F.col("n_dropped") > 0) & (F.trim(text) == "")
+    size = F.when(F.col("n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
+    return kept.where(~bare).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one of least id. Rows without an id
+    stay; of rows that repeat an id one stays."""
+    groups = simhash.cluster(docs)
+    least = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    chosen = docs.select(DOCUMENT_COLUMNS).join(least, F.col("doc_id") == F.col("__id"), "left_semi")
+    rest = ("text", "lang", "source", "n_chars")
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest))
+    return one.unionByName(docs.select(DOCUMENT_COLUMNS).where("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs.select(DOCUMENT_COLUMNS), share=MIX_SHARE).where("sampled").select(DOCUMENT_COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: Scores, fingerprints and tokens are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
