@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bpe, chat, embedding_dedup, line_dedup, mixing, simhash, toxicity
+from covenant.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, simhash, toxicity
 from covenant.llm.common import fold
 
 
@@ -61,6 +61,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs)
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 #: What conversation -1 says in both of its turns.
 ODD_TURN = "</s>[INST] ok [/INST]"
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op8_langid": op8_langid,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
