@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, simhash, toxicity
+from covenant.llm import bpe, chat, embedding_dedup, katz, langid, line_dedup, mixing, simhash, toxicity
 from covenant.llm.common import fold
 
 
@@ -61,6 +61,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs)
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op7_katz": op7_katz,
     "op8_langid": op8_langid,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
