@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bpe, chat, embedding_dedup, katz, langid, line_dedup, mixing, simhash, toxicity
+from covenant.llm import bm25, bpe, chat, embedding_dedup, katz, langid, line_dedup, mixing, simhash, toxicity
 from covenant.llm.common import fold
 
 
@@ -61,6 +61,34 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+#: Documents reported for a query, and decimals of a reported score.
+TOP, TOLD = 10, 4
+
+
+def op6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bm25.top_k(docs, docs.where(F.col("doc_id") % 20 == 0), TOP)
+    return found.withColumn("score", F.round("score", TOLD))
+
+
+OP6_SQL = f"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY doc_id),
+n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(len) FROM l) / (SELECT count(*) FROM documents) AS mean),
+i AS (SELECT term, ln(1 + ((SELECT docs FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY term),
+p AS (
+  SELECT doc_id, term, idf * tf * {bm25.K1 + 1} / (tf + {bm25.K1} * (1 - {bm25.B} + {bm25.B} * len / (SELECT mean FROM n))) AS part
+  FROM t JOIN i USING (term) JOIN l USING (doc_id)),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(part), {bm25.DECIMALS}) AS score
+  FROM t q JOIN p ON p.term = q.term WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, {TOLD}) AS score
+FROM s QUALIFY rank <= {TOP}
+"""
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -120,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_bm25": op6_bm25,
     "op7_katz": op7_katz,
     "op8_langid": op8_langid,
     "op9_chat": op9_chat,
@@ -128,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op6_bm25": OP6_SQL,
     "op9_chat": op9_sql(),
     "op10_mixing": OP10_SQL,
 }
