@@ -38,7 +38,8 @@ TEXT_LEAF, PIECE_LEAF = 16384, 256
 #: The pattern never looks further ahead than this from where a match begins.
 LOOK_AHEAD = 3
 #: Words whose tokens a task remembers before it begins anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+SINGLE = [bytes([i]) for i in range(256)]
 #: A vocabulary is sent to every executor, so its size is checked.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -58,6 +59,7 @@ class Bpe:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.none = max(ranks.values(), default=0) + 1
         self.longest = max(map(len, ranks), default=0)
         self.fits: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -67,18 +69,19 @@ class Bpe:
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of ``piece`` by merging the pair of least rank, leftmost first."""
         ranks = self.ranks
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        if len(parts) <= 24:
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = ranks.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(piece) <= 64:
+            parts, none = [*map(SINGLE.__getitem__, piece)], self.none
+            pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+            while pairs and (best := min(pairs)) < none:
+                i = pairs.index(best)
+                joined = parts[i] = parts[i] + parts[i + 1]
+                del parts[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get(parts[i - 1] + joined, none)
+                if i < len(pairs):
+                    pairs[i] = ranks.get(joined + parts[i + 1], none)
             return [ranks[x] for x in parts]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -158,7 +161,8 @@ class Bpe:
         got: list[int] = []
         at = 0
         for end in self.cuts(text, 0, len(text)):
-            got += self.tokens(text[at:end].encode("utf-8"))
+            known = self.words.get(text[at + 1 : end]) if text[at] == " " else None
+            got += self.tokens(text[at:end].encode("utf-8")) if known is None else known
             at = end
         return got
 
@@ -232,6 +236,18 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: Coders of this Python worker: what they remember serves its later tasks too.
+CODERS: dict[tuple[str, int, str], Bpe] = {}
+
+
+def coder_of(path: str, ranks: dict[bytes, int], pattern: str) -> Bpe:
+    key = (path, len(ranks), pattern)
+    if key not in CODERS:
+        CODERS.clear()
+        CODERS[key] = Bpe(ranks, pattern)
+    return CODERS[key]
+
+
 def broadcast_ranks(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary, sent once; `read_ranks` bounds its size."""
     return spark.sparkContext.broadcast(read_ranks(path))
@@ -248,7 +264,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Seq
     shared = broadcast_ranks(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Bpe(shared.value, pattern)
+        coder = coder_of(path, shared.value, pattern)
         for batch in batches:
             ids = pa.array([coder.encode(x) for x in batch.column("__text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "ids"])
@@ -265,7 +281,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("d
     shared = broadcast_ranks(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Bpe(shared.value, "")
+        coder = coder_of(path, shared.value, "")
         for batch in batches:
             out = pa.array([coder.decode(x or ()) for x in batch.column("__ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], [*keep, "bytes"])
@@ -281,7 +297,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     shared = broadcast_ranks(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Bpe(shared.value, pattern)
+        coder = coder_of(path, shared.value, pattern)
         digits = {v: str(v) for v in shared.value.values()}
         for batch in batches:
             counts, told, back = [], [], []
