@@ -152,3 +152,25 @@ def policy_diff(current: DataFrame, desired: DataFrame, key: Sequence[str] = ("t
 def pivot_counts(objects: DataFrame, by: Sequence[str], kinds: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """Objects by kind, a column per kind, 0 where there is none."""
     return objects.groupBy(*by).pivot("kind", list(kinds)).count().na.fill(0)
+
+
+def table_steps(changes: DataFrame, by: Sequence[str] = ("db_id", "table")) -> DataFrame:
+    """``changes (*by, name, action, generated)`` with ``step``: generated columns
+    go before what they are computed from, and other columns are dropped last."""
+    drop = F.col("action") == "drop"
+    turn = F.when(drop & F.col("generated"), 0).when(~drop, 1).otherwise(2)
+    return changes.withColumn("step", F.row_number().over(Window.partitionBy(*by).orderBy(turn, "name")))
+
+
+def enum_changes(current: DataFrame, desired: DataFrame, uses: DataFrame, by: Sequence[str], value: str = "label") -> DataFrame:
+    """``(*by, label, change, uses)``: labels added, and labels removed with the
+    rows that use them; a removal is rejected, an addition is not."""
+    both = current.select(*by, value, F.lit(True).alias("__old")).join(desired.select(*by, value, F.lit(True).alias("__new")), [*by, value], "full_outer")
+    changed = both.where("__old IS NULL OR __new IS NULL").join(uses, [*by, value], "left")
+    return changed.select(*by, value, F.when(F.col("__old").isNull(), "added").otherwise("rejected").alias("change"), F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
+
+
+def swap_actions(diff: DataFrame, key: Sequence[str], alterable: Column, allow_drops: bool) -> DataFrame:
+    """``(*key, action)`` of altered objects: ``alter`` in place where it can be
+    done so, else ``recreate``, which needs drops to be allowed, or ``skipped``."""
+    return diff.where("change = 'alter'").select(*key, F.when(F.coalesce(alterable, F.lit(False)), "alter").otherwise("recreate" if allow_drops else "skipped").alias("action"))

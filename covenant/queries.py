@@ -608,6 +608,41 @@ def e14_moved_rows(spark, sf):
     return partition.moved_rows(read(spark, sf, "orders"), "o_totalprice", at(100000), at(150000)).select("o_orderkey", "old_partition", "new_partition")
 
 
+@query("SELECT 'p_size' AS \"column\", count(*) FILTER (WHERE p_partkey % 97 = 0) AS nulls FROM part UNION ALL SELECT 'p_name', count(*) FILTER (WHERE p_name IS NULL) FROM part")
+def e05_set_not_null(spark, sf):
+    df = read(spark, sf, "part").withColumn("p_size", F.expr("CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_size END"))
+    return evolve.set_not_null(df, ["p_size", "p_name"])
+
+
+@query("""
+WITH u AS (SELECT c_nationkey AS g, c_mktsegment AS label, count(*) AS uses FROM customer GROUP BY ALL),
+a AS (SELECT g, label FROM u), b AS (SELECT g, CASE WHEN label = 'BUILDING' AND g % 2 = 0 THEN 'HOUSING' ELSE label END AS label FROM u)
+SELECT coalesce(a.g, b.g) AS g, coalesce(a.label, b.label) AS label, CASE WHEN a.g IS NULL THEN 'added' ELSE 'rejected' END AS change, coalesce(u.uses, 0) AS uses
+FROM a FULL JOIN b ON a.g = b.g AND a.label = b.label LEFT JOIN u ON u.g = coalesce(a.g, b.g) AND u.label = coalesce(a.label, b.label) WHERE a.g IS NULL OR b.g IS NULL""")
+def e09_enum_changes(spark, sf):
+    uses = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("uses"))
+    now = uses.select("g", "label")
+    wanted = now.withColumn("label", F.expr("CASE WHEN label = 'BUILDING' AND g % 2 = 0 THEN 'HOUSING' ELSE label END"))
+    return diff.enum_changes(now, wanted, uses, ["g"])
+
+
+@query(FLEET + """SELECT c.db_id, c."table", c.name, 'recreate' AS action FROM c JOIN c2 ON c.db_id = c2.db_id AND c."table" = c2."table" AND c.name = c2.name AND c.type_name <> c2.type_name WHERE c.n % 2 = 1
+UNION ALL SELECT c.db_id, c."table", c.name, 'alter' FROM c JOIN c2 ON c.db_id = c2.db_id AND c."table" = c2."table" AND c.name = c2.name AND c.type_name <> c2.type_name WHERE c.n % 2 = 0""")
+def e15_swap(spark, sf):
+    pick = lambda f: f["columns"].select("db_id", "table", "name", "type_name")
+    key = ["db_id", "table", "name"]
+    found = diff.keyed_diff(pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True)), key)
+    return diff.swap_actions(found, key, F.expr("cast(substr(`table`, 2) AS bigint) % 2 = 0"), allow_drops=True)
+
+
+@query(FLEET + """, x AS (SELECT db_id, "table", name, CASE WHEN ordinal % 3 = 0 THEN 'drop' ELSE 'alter' END AS action, ordinal % 2 = 0 AS generated FROM c)
+SELECT db_id, "table", name, CAST(row_number() OVER (PARTITION BY db_id, "table" ORDER BY CASE WHEN action = 'drop' AND generated THEN 0 WHEN action <> 'drop' THEN 1 ELSE 2 END, name) AS INTEGER) AS step FROM x""")
+def o03_table_steps(spark, sf):
+    c = snapshot.fleet(spark, sf)["columns"]
+    changes = c.select("db_id", "table", "name", F.expr("CASE WHEN ordinal % 3 = 0 THEN 'drop' ELSE 'alter' END AS action"), F.expr("ordinal % 2 = 0 AS generated"))
+    return diff.table_steps(changes).select("db_id", "table", "name", "step")
+
+
 # -- policies -----------------------------------------------------------------------
 
 POLICIES = [
