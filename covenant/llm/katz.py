@@ -4,18 +4,18 @@ Tables, all counted over every training text:
 
 * words with their counts; the base distribution gives a word of count c the
   share (c + 0.5) / (N + 0.5 (V + 1)), and an unseen one that of c = 0;
-* pairs of words with their counts, discounted by Good-Turing (counts up to 5),
-  for words that make up at least ``rarest`` of all tokens. At most 1 / rarest
-  words do, whatever the corpus, which bounds what is sent to every executor;
-* for each such word u the backoff weight that makes the shares given u sum to
-  exactly 1: what the discounts left, by what the base gives to unseen followers.
+* all pairs of words with their counts, discounted by Good-Turing (counts up to 5);
+* for each word u the backoff weight that makes the shares given u sum to exactly
+  1: what the discounts left, by what the base gives to unseen followers.
 
 A token v after u is scored by the pair's share if the pair is known, else by the
-weight of u times the base share of v (a rare u has no pairs and weight 1). A
-text's score is summed in three parts: the backed-off score of every token, which
-needs words only; the counts of rare words; and the gain of each known pair. For
-the last two, occurrences go to the tables' partitions in packed rows (a word or
-pair, and the texts that hold it), and sums by text come back.
+weight of u times the base share of v (1 for a u without pairs). A text's score
+is summed in three parts: counts and weights of common words, those of rare words,
+and the gain of each known pair. Common words make up at least `COMMON` of all
+tokens; there are at most 1 / COMMON of them, whatever the corpus, so they are
+sent to every executor. That decides only where a word is looked up: for rare
+words and for pairs, occurrences go to the tables' partitions in packed rows (a
+word or pair, and the texts that hold it), and sums by text come back.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.llm.common import fold, map_arrow, materialize, shuffle_partitions
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Hash that stands for the end of a text; and the history of its first token.
-END, START = 0x656E64, -1
+#: Hash that stands for the end of a text; and for the history of its first token.
+END, START = 0x656E64, 0x7374617274
+#: Share of all tokens from which a word is looked up on the executors.
+COMMON = 1e-5
 #: Tokens that a task packs at once, and words whose hashes it remembers.
 CHUNK, CACHE_WORDS = 2_000_000, 500_000
 #: Counts up to this are discounted.
@@ -81,7 +83,8 @@ def packed(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, pa.Array]
 
 
 class Vocabulary:
-    """The frequent words: sorted hashes, counts and (once known) log10 backoff weights."""
+    """The common words: sorted hashes, counts and (once known) log10 backoff
+    weights, START's last."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
@@ -95,13 +98,19 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return np.where(self.words[at] == tokens, at, -1)
 
-    def pairs(self, sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, ids of the token before (START's is one past the last), and keys
-        of pairs of frequent words (-1 for others)."""
-        ids = self.ids(tokens)
+    def before(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Ids of the tokens before (START's is one past the last)."""
         before = np.concatenate([[0], ids[:-1]]).astype(np.int64)
         before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = len(self.words)
-        return ids, before, np.where((ids >= 0) & (before >= 0), before * len(self.words) + ids, -1)
+        return before
+
+
+def pair_keys(sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens before, and of each pair of tokens."""
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
+    mixed = before * np.uint64(0x9E3779B97F4A7C15) + (tokens << np.uint64(31) | tokens >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return before, (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def keyed(df: DataFrame, text: str, key: str, parts: int, left_out: int) -> DataFrame:
@@ -126,26 +135,34 @@ def count_words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.where("train").select("key", "train", "text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(rows: DataFrame, vocabulary) -> DataFrame:
+def count_pairs(rows: DataFrame) -> DataFrame:
+    """``(pair, u, v, n)``: hashes of each pair and of its words, and its count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sizes, tokens in chunks(batches):
-            _, _, pairs = vocabulary.value.pairs(sizes, tokens)
-            found, n = np.unique(pairs[pairs >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["pair", "n"])
+            before, pairs = pair_keys(sizes, tokens)
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            first, n = order[starts], np.diff(np.concatenate([starts, [len(pairs)]]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pairs[starts], before[first], tokens[first])), pa.array(n)], ["pair", "u", "v", "n"])
 
-    return map_arrow(rows.where("train").select("key", "train", "text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = map_arrow(rows.where("train").select("key", "train", "text"), run, "pair long, u long, v long, n long")
+    return counted.groupBy("pair").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.sum("n").alias("n"))
 
 
 def occurrences(rows: DataFrame, vocabulary, rare: bool) -> DataFrame:
-    """``(item, texts binary)``: rare words, or pairs of frequent ones, with the
-    keys of the texts that hold them."""
+    """``(item, texts binary)``: rare words, or all pairs, with the keys of the
+    texts that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, sizes, tokens in chunks(batches):
             owner = np.repeat(keys, sizes)
-            items = tokens.view(np.int64) if rare else vocabulary.value.pairs(sizes, tokens)[2]
-            use = vocabulary.value.ids(tokens) < 0 if rare else items >= 0
-            found, held = packed(items[use], owner[use])
+            items = tokens if rare else pair_keys(sizes, tokens)[1]
+            if rare:
+                use = vocabulary.value.ids(tokens) < 0
+                items, owner = items[use], owner[use]
+            found, held = packed(items.view(np.int64), owner)
             yield pa.RecordBatch.from_arrays([pa.array(found), held], ["item", "texts"])
 
     return map_arrow(rows.select("key", "train", "text"), run, "item long, texts binary")
@@ -231,48 +248,72 @@ def good_turing(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, left_out: int = 1, rarest: float = 1e-5) -> DataFrame:
+def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, left_out: int = 1, rarest: float = 0.0) -> DataFrame:
     """``(key, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     Words are split at ASCII white space, A-Z in lower case; every text ends with
     an end token, so null and empty texts have one token. Rows whose fold is not
     ``left_out`` train; repeated rows train as often as they are there, and score
     alike. Without training rows N and V are 0 and every token has the share 1.
-    An empty table gives an empty one; other columns are ignored.
+    An empty table gives an empty one; other columns are ignored. ``rarest``
+    leaves pairs out of the model where a word has a lesser share of all tokens;
+    0 counts every pair.
     """
     spark = df.sparkSession
     rows = keyed(df, text, key, parts, left_out)
     words = materialize(count_words(rows), "katz-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     room = total + 0.5 * (distinct + 1)
-    # at most 1 / rarest words
-    frequent = words.where(F.col("n") >= rarest * total).collect() if total else []
+    common = F.col("n") >= COMMON * total
+    frequent = words.where(common).collect() if total else []  # at most 1 / COMMON words
     vocabulary = Vocabulary(np.array([r.word for r in frequent], np.int64).view(np.uint64), np.array([r.n for r in frequent], np.int64))
-    size = len(vocabulary.words)
     sent = spark.sparkContext.broadcast(vocabulary)
-    pairs = materialize(count_pairs(rows, sent), "katz-pairs")
+    start = spark.createDataFrame([(START, rows.where("train").count())], "word long, n long")
+    usual, cold = words.where(common).unionByName(start), words.where(~common)
+    pairs = materialize(count_pairs(rows), "katz-pairs")
+    if rarest > 0:
+        told = words.where(F.col("n") >= rarest * total).select("word")
+        pairs = materialize(pairs.join(told.withColumnRenamed("word", "v"), "v", "left_semi").join(told.unionByName(start.select("word")).withColumnRenamed("word", "u"), "u", "left_semi"), "katz-pairs")
     counted = pairs.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("of")).collect()
     discounts = good_turing({r.n: r.of for r in counted})
-    starts = rows.where("train").count()
-    histories = spark.createDataFrame([(i, int(n), math.log10((n + 0.5) / room)) for i, n in enumerate([*vocabulary.counts.tolist(), starts])], "place long, total long, base double") if frequent else spark.createDataFrame([], "place long, total long, base double")
     discount = F.lit(1.0)
     for r, d in enumerate(discounts, 1):
         discount = F.when(F.col("n") == r, F.lit(d)).otherwise(discount)
-    # joins with a table of the vocabulary's size
-    shares = pairs.withColumn("u", F.floor(F.col("pair") / F.lit(max(size, 1)))).withColumn("v", F.pmod("pair", F.lit(max(size, 1))))
-    shares = shares.join(F.broadcast(histories.select(F.col("place").alias("u"), "total")), "u").join(F.broadcast(histories.select(F.col("place").alias("v"), "base")), "v")
+
+    def counts_of(given: DataFrame, side: str, name: str) -> DataFrame:
+        return given.select(F.col("word").alias(side), F.col("n").alias(name))
+
+    def based(part: DataFrame) -> DataFrame:
+        """``part`` with the log10 base share of v: common ones are broadcast."""
+        near = part.join(F.broadcast(counts_of(usual, "v", "n_v")), "v")
+        far = part.join(F.broadcast(counts_of(usual, "v", "n_v")), "v", "left_anti").join(counts_of(cold, "v", "n_v"), "v")
+        return near.unionByName(far).select("pair", "u", "n", F.log10((F.col("n_v") + 0.5) / F.lit(room)).alias("base"))
+
     # half an occurrence is kept for the unseen, so that something is always left
-    shares = materialize(shares.select("pair", "u", "base", (discount * F.col("n") / (F.col("total") + 0.5)).alias("share")), "katz-shares")
-    left = shares.groupBy("u").agg((1 - F.sum("share")).alias("left"), (1 - F.sum(F.pow(F.lit(10.0), "base"))).alias("unseen")).collect()  # a row per frequent word
-    for r in left:
-        vocabulary.backoff[r.u] = math.log10(max(r.left, 1e-300) / max(r.unseen, 1e-300))
+    share = (discount * F.col("n") / (F.col("n_u") + 0.5)).alias("share")
+    after_usual = F.broadcast(counts_of(usual, "u", "n_u"))
+    shares = materialize(based(pairs.join(after_usual.select("u"), "u", "left_semi")).join(after_usual, "u").select("pair", "u", "base", share), "katz-shares")
+    left, unfollowed = 1 - F.sum("share"), 1 - F.sum(F.pow(F.lit(10.0), "base"))
+    weight = (F.log10(F.greatest("left", F.lit(1e-300))) - F.log10(F.greatest("unfollowed", F.lit(1e-300)))).alias("weight")
+    weights = shares.groupBy("u").agg(left.alias("left"), unfollowed.alias("unfollowed")).select("u", weight).collect()  # a row per common word
+    at = vocabulary.ids(np.array([r.u for r in weights], np.int64).view(np.uint64))
+    for i, r in zip(at.tolist(), weights, strict=True):
+        vocabulary.backoff[i] = r.weight  # START has the last place
     weighted = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(vocabulary.backoff)], "u long, weight double")
-    gains = shares.join(F.broadcast(weights), "u").select("pair", (F.log10("share") - F.col("base") - F.col("weight")).alias("gain"))
+    near = shares.join(F.broadcast(spark.createDataFrame(weights, "u long, weight double")), "u")
+    # what follows a rare word is few rows, so its sums are a window
+    after = Window.partitionBy("u")
+    far = based(pairs.join(after_usual.select("u"), "u", "left_anti")).join(counts_of(cold, "u", "n_u"), "u").select("pair", "u", "base", share)
+    far = far.withColumn("left", 1 - F.sum("share").over(after)).withColumn("unfollowed", 1 - F.sum(F.pow(F.lit(10.0), "base")).over(after))
+    gain = (F.log10("share") - F.col("base") - F.col("weight")).alias("gain")
+    far = materialize(far.select("pair", "u", "base", "share", weight).select("pair", "u", "weight", gain), "katz-rare-shares")
+    gains = near.select("pair", gain).unionByName(far.select("pair", "gain"))
 
     unseen = math.log10(0.5 / room)
     nothing = F.lit(0.0)
-    rare = occurrences(rows, sent, True).withColumnRenamed("item", "word").join(words, "word", "left").select(F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(room)), F.lit(unseen)).alias("value"), F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("known"), nothing.alias("gain"), "texts")
+    backed_off = far.groupBy(F.col("u").alias("word")).agg(F.first("weight").alias("weight"))
+    rare = occurrences(rows, sent, True).withColumnRenamed("item", "word").join(words, "word", "left").join(backed_off, "word", "left")
+    rare = rare.select(F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(room)), F.lit(unseen)).alias("value"), F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("known"), F.coalesce("weight", nothing).alias("gain"), "texts")
     paired = occurrences(rows, sent, False).withColumnRenamed("item", "pair").join(gains, "pair").select(nothing.alias("value"), nothing.alias("known"), "gain", "texts")
     buckets = shuffle_partitions(spark)
     sums = whole_sums(partial_sums(rare, buckets).unionByName(partial_sums(paired, buckets)), buckets)
@@ -281,7 +322,8 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5
         given = weighted.value
         logs = np.log10((given.counts + 0.5) / room)
         for keys, _, sizes, tokens in chunks(batches):
-            ids, before, _ = given.pairs(sizes, tokens)
+            ids = given.ids(tokens)
+            before = given.before(sizes, ids)
             usual = ids >= 0
             base = np.where(usual, logs[np.maximum(ids, 0)] if len(logs) else 0.0, 0.0)
             backed = np.where(before >= 0, given.backoff[np.maximum(before, 0)], 0.0)

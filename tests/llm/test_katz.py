@@ -76,3 +76,18 @@ def brute_plain(rows, rarest=1e-5):
         p = [share.get((u, v)) or (left[u] / unseen[u]) * (c[v] + 0.5) / room for u, v in zip(["START", *t], t, strict=False)]
         out.append((i, len(t), sum(c[w] > 0 for w in t), total, sum(math.log10((c[w] + 0.5) / room) for w in t), sum(map(math.log10, p))))
     return out
+
+
+def test_every_pair_counts(spark):
+    """Pairs of words that are rare (here below 1e-5 of all tokens) are counted too."""
+    rows = [(i, f"rare{i // 2} pair{i // 2} " + "common " * 3000) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(df).collect()]
+    compare(got, brute(rows, 0))
+    assert min(r[3] for r in got) * 1e-5 > 2
+
+
+def test_every_pair_of_documents_counts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    compare([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(df).collect()], brute_plain(rows, 0))
