@@ -6,6 +6,12 @@ other meet their targets. A document's weight is its cell's scale; the chance of
 sampling it is its weight times one factor, at most 1, such that the expected
 tokens of the sample meet a budget. Whether a document is sampled depends only
 on a hash of its id. DataFrame functions only.
+
+Where a cell's chance is held at 1, ``sampled`` has less of it than the target,
+and more of the others: only repeats can make up for it. ``copies`` repeats
+documents instead (weight times the budget, rounded up or down by the same hash),
+and its expected tokens have the raked weights exactly. `marginals` tells what
+both give beside the targets.
 """
 
 from __future__ import annotations
@@ -107,7 +113,10 @@ def calibrate(raked: DataFrame, share: float, max_steps: int = 60) -> DataFrame:
 
 def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, share: float = SHARE, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """``df`` with ``topic string, tokens long, scale double, chance double,
-    sampled boolean``.
+    sampled boolean, copies long``.
+
+    ``sampled`` takes no document twice, so it falls short of targets that cells
+    cannot supply; taking each document ``copies`` times does not.
 
     Null sources and languages are values of their own. Null and empty texts have
     no tokens, so they weigh nothing and are not sampled (scale and chance 0).
@@ -115,7 +124,7 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
     table gives an empty one; columns of ``df`` are passed on, except ones named
     like the added.
     """
-    added = ("topic", "tokens", "scale", "chance", "sampled")
+    added = ("topic", "tokens", "scale", "chance", "sampled", "copies")
     rows = df.select(*(df[c] for c in df.columns if c not in added), topic_of(df[text]).alias("topic"), tokens_of(df[text]).alias("tokens"), F.coalesce(df[source], F.lit(NOTHING)).alias("__source"), F.coalesce(df[lang], F.lit(NOTHING)).alias("__lang"))
     dims = ("__source", "__lang", "topic")
     named = {{"source": "__source", "lang": "__lang"}.get(d, d): v for d, v in (targets or {}).items()}
@@ -123,7 +132,23 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
     chances = materialize(calibrate(materialize(rake(cells, dims, named, alpha, rounds), "mix-raked"), share).select(*dims, "scale", "chance"), "mix-chances")
     joined = rows.join(chances, list(dims), "left").drop("__source", "__lang")
     chance = F.coalesce("chance", F.lit(0.0))
-    return joined.withColumn("scale", F.coalesce("scale", F.lit(0.0))).withColumn("chance", chance).withColumn("sampled", uniform(F.col(key), seed) < F.col("chance"))
+    sampled = joined.withColumn("scale", F.coalesce("scale", F.lit(0.0))).withColumn("chance", chance).withColumn("sampled", uniform(F.col(key), seed) < F.col("chance"))
+    rate = F.col("scale") * F.lit(share)
+    return sampled.withColumn("copies", F.floor(rate) + (uniform(F.col(key), seed) < rate - F.floor(rate)).cast("long"))
+
+
+def marginals(mixed: DataFrame, source: str = "source", lang: str = "lang") -> DataFrame:
+    """``(dimension, value, own, target, sampled, short)`` of what `mix` returns:
+    shares of the tokens as they are, as raked (which ``copies`` meets) and as
+    expected of ``sampled``; ``short`` where the sample cannot meet the target."""
+    parts = []
+    for d in (source, lang, "topic"):
+        sums = mixed.groupBy(F.col(d).cast("string").alias("value")).agg(F.sum("tokens").alias("own"), F.sum(F.col("tokens") * F.col("scale")).alias("target"), F.sum(F.col("tokens") * F.col("chance")).alias("sampled"))
+        parts.append(sums.select(F.lit(d).alias("dimension"), "value", "own", "target", "sampled"))
+    sums = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of = Window.partitionBy("dimension")  # a row per value
+    shares = sums.select("dimension", "value", *((F.col(c) / F.sum(c).over(of)).alias(c) for c in ("own", "target", "sampled")))
+    return shares.withColumn("short", F.col("sampled") < F.col("target") - 1e-6)
 
 
 def mix_sql(documents: str = "documents", alpha: float = ALPHA, share: float = SHARE, rounds: int = ROUNDS, seed: int = 1, steps: int = 12) -> str:

@@ -42,3 +42,15 @@ def test_odd_rows(spark):
     assert len({r.sampled for r in got if r.doc_id == 1}) == 1
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df, alpha=1.0, share=1.0).where("sampled").count() == sum(bool(r[1]) for r in rows)
+
+
+def test_copies_meet_targets(spark):
+    """The small source cannot supply half of the tokens: the sample falls short, copies do not."""
+    rows = [(i, "some words " * 8, "en", "big" if i % 10 else "small") for i in range(4000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), targets={"source": {"big": 1, "small": 1}}, share=0.8)
+    got = {r.value: r for r in mixing.marginals(mixed).where("dimension = 'source'").collect()}
+    assert got["small"].own == pytest.approx(0.1) and got["small"].target == pytest.approx(0.5)
+    assert got["small"].sampled == pytest.approx(0.1 / 0.8) and got["small"].short and not got["big"].short
+    copied = dict(mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens"))).collect())
+    total = mixed.agg(F.sum("tokens")).first()[0]
+    assert copied["small"] == pytest.approx(0.4 * total, rel=0.05) and copied["big"] == pytest.approx(0.4 * total, rel=0.05)
