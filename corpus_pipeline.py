@@ -29,10 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share. A document that had
-    text and has none left goes; a null text stays null."""
+    text and has none left but ASCII white space goes, clean or not; a null text
+    stays null."""
     kept = line_dedup.deduplicate(docs.select(DOCUMENT_COLUMNS))
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
-    bare = (F.col("n_dropped") > 0) & (F.trim(text) == "")
+    bare = (F.col("n_dropped") > 0) & ~text.rlike(r"[^\x20\x09-\x0D]")
     size = F.when(F.col("n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
     return kept.where(~bare).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 

@@ -81,3 +81,10 @@ def test_odd_rows(spark):
         assert out.count() >= 1, name
     kept = collections.Counter(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert kept[1] == 1 and kept[None] == 2
+
+
+def test_bare_documents_go(spark):
+    """A clean document of nothing but lines that others share goes, whatever white space is left."""
+    shared = [f"a clean passage number {i} that a lot of the documents share" for i in range(2)]
+    docs = spark.createDataFrame([(i, "\n".join(shared) + "\n\t\r", "en", "a", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in pipeline.drop_lines(spark, docs, SF).collect()] == [8]
