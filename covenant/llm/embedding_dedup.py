@@ -137,30 +137,40 @@ def verify(lists: DataFrame, base: int, shared: int, least: float) -> DataFrame:
     return map_arrow(lists.select("cell", "list", "side", "rep", "copies", "order", "vector"), run, "a long, b long, n long")
 
 
+def links(same: DataFrame, least: float, pivots: int, nearest: int, shared: int) -> DataFrame:
+    """`verify` for nodes ``(rep, copies, embedding)`` of one length."""
+    sample = same.orderBy(F.xxhash64(F.lit("pivots"), "rep"), "rep").limit(SAMPLE).select("embedding").collect()  # SAMPLE rows
+    chosen = choose_pivots(unit(np.array([r[0] for r in sample], np.float64)), pivots)
+    described = materialize(describe(same, chosen, nearest, shared), "vector-orders")
+    listed = described.select("rep", "copies", "order", "vector", F.explode("lists").alias("list"))
+    long = described.select(F.explode("lists").alias("list")).groupBy("list").count().where(F.col("count") > BLOCK).select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    cut = listed.join(long, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = cells.withColumn("cell", F.xxhash64("list", "low", "high")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("block") == F.col("high")).cast("int")))
+    dealt = dealt.repartition("list", "low", "high").sortWithinPartitions("cell", "list", "low", "high")
+    return materialize(verify(dealt, len(chosen) + 1, min(shared, nearest, max(1, len(chosen))), least), "vector-links")
+
+
 def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id", least: float = 0.9, pivots: int = 256, nearest: int = 6, shared: int = 2) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row.
 
     Vectors that are null or zero, or hold null or non-finite components, link
-    with nothing; so do vectors of another length than the first of the sample.
-    Repeated rows and equal vectors are linked as vectors of their own. Pivots
-    come from `SAMPLE` vectors chosen by a hash; every vector is indexed. Rows
+    with nothing; others link with vectors of their own length, and each length
+    has an index of its own. Repeated rows and equal vectors are linked as vectors
+    of their own. Pivots come from `SAMPLE` vectors of the length chosen by a hash;
+    every vector is indexed. Rows
     with a null key are counted as links but are no one's component. An empty
     table gives an empty one; other columns are ignored.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("embedding")).withColumn("usable", usable(F.col("embedding")))
     nodes = materialize(rows.where("usable").groupBy("embedding").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "vectors")
-    sample = nodes.orderBy(F.xxhash64(F.lit("pivots"), "rep"), "rep").limit(SAMPLE).select("embedding").collect()  # SAMPLE rows
-    size = len(sample[0][0]) if sample else 0
-    chosen = choose_pivots(unit(np.array([r[0] for r in sample if len(r[0]) == size], np.float64)) if sample else np.zeros((0, 1)), pivots)
-    same = nodes.where((F.size("embedding") == size) & F.col("rep").isNotNull())
-    described = materialize(describe(same, chosen, nearest, shared), "vector-orders")
-    listed = described.select("rep", "copies", "order", "vector", F.explode("lists").alias("list"))
-    long = described.select(F.explode("lists").alias("list")).groupBy("list").count().where(F.col("count") > BLOCK).select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cut = listed.join(long, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    dealt = cells.withColumn("cell", F.xxhash64("list", "low", "high")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("block") == F.col("high")).cast("int")))
-    dealt = dealt.repartition("list", "low", "high").sortWithinPartitions("cell", "list", "low", "high")
-    found = materialize(verify(dealt, len(chosen) + 1, min(shared, nearest, max(1, len(chosen))), least), "vector-links")
+    sizes = nodes.where("rep IS NOT NULL").groupBy(F.size("embedding").alias("size")).count().where("count > 1").orderBy("size").collect()  # a row per length
+    found = None
+    for r in sizes:
+        part = links(nodes.where((F.size("embedding") == r["size"]) & F.col("rep").isNotNull()), least, pivots, nearest, shared)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "a long, b long, n long")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     groups = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
     known = nodes.join(counts, "rep", "left").join(groups, "rep", "left").select("embedding", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

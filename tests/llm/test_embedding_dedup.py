@@ -58,3 +58,19 @@ def test_recall(spark, sf):
     got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
     assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want) > 0
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
+
+
+def test_each_length_links(spark):
+    """Vectors of a minority length link too, and none keeps the others from linking."""
+    rng = np.random.default_rng(8)
+    vectors, ids = [], []
+    for size, n in ((8, 30), (5, 3), (3, 1)):
+        for v in rng.standard_normal((n, size)):
+            vectors += [list(map(float, np.float32(v))), list(map(float, np.float32(v + 0.01)))][: 1 if size == 3 else 2]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    for size in (8, 5, 3):
+        ids = [i for i, v in enumerate(vectors) if len(v) == size]
+        for i, links, component, _ in brute(ids, [vectors[i] for i in ids]):
+            assert got[i] == (links, component)
+        assert size == 3 or any(got[i][0] for i in ids)
