@@ -16,15 +16,18 @@ from covenant.shared import stored
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(db_id, node, level)``: 0 for nodes without dependencies, else one more
     than the highest they depend on; null for members of cycles and nodes behind
-    them. Edges to unknown nodes and to the node itself do not count."""
+    them. Edges to unknown nodes and to the node itself do not count. More than
+    ``max_rounds`` levels are an error."""
     known = nodes.select("db_id", "node").distinct()
     real = edges.where("src <> dst").join(known.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi").join(known.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").distinct()
     left, open_edges, placed = stored(known, "graph-left"), stored(real.select("db_id", "src", "dst"), "graph-edges"), None
-    for n in range(max_rounds):
+    for n in range(max_rounds + 1):
         blocked = open_edges.select("db_id", F.col("src").alias("node")).distinct()
         front = stored(left.join(blocked, ["db_id", "node"], "left_anti").withColumn("level", F.lit(n)), "graph-front")
         if front.isEmpty():
             break
+        if n == max_rounds:
+            raise RuntimeError(f"levels did not end in {max_rounds} rounds")
         placed = front if placed is None else placed.unionByName(front)
         left = stored(left.join(front, ["db_id", "node"], "left_anti"), "graph-left")
         open_edges = stored(open_edges.join(front.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"], "left_anti").select("db_id", "src", "dst"), "graph-edges")

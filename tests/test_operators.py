@@ -77,3 +77,11 @@ def test_views(spark):
     assert views.view_order({"b": "select * from a", "a": "select 1", "c": "select * from b, a"}) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         views.view_order({"a": "select * from b", "b": "select * from a"})
+
+
+def test_levels_end_or_raise(spark):
+    nodes = spark.createDataFrame([(1, f"n{i}") for i in range(4)], "db_id int, node string")
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(3)], "db_id int, src string, dst string")
+    assert {r.node: r.level for r in graph.levels(nodes, edges, max_rounds=4).collect()} == {"n3": 0, "n2": 1, "n1": 2, "n0": 3}
+    with pytest.raises(RuntimeError):
+        graph.levels(nodes, edges, max_rounds=2)
