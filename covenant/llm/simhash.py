@@ -152,6 +152,17 @@ def link_edges(distinct: DataFrame, budget: int = 3) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long")
 
 
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
+    """``(key, fingerprint long, component long, component_id)`` for each row: as
+    `cluster`, with the component's own name beside its least key."""
+    seen = materialize(fingerprints(df, text, key, shingle, seed), "simhash")
+    nodes = materialize(seen.groupBy("fingerprint").agg(F.min(key).alias("least")), "simhash-distinct")
+    found = components(link_edges(nodes, budget))
+    named = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return seen.join(named.join(leasts, "component").select("fingerprint", "component", "component_id"), "fingerprint").select(key, "fingerprint", "component", "component_id")
+
+
 def cluster(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
     """``(key, fingerprint string, component_id)`` for each row.
 
@@ -161,10 +172,5 @@ def cluster(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     (null only if all are null). Null, empty and blank texts share fingerprint 0
     and link like any other. An empty table gives an empty one.
     """
-    seen = materialize(fingerprints(df, text, key, shingle, seed), "simhash")
-    nodes = materialize(seen.groupBy("fingerprint").agg(F.min(key).alias("least")), "simhash-distinct")
-    found = components(link_edges(nodes, budget))
-    named = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(leasts, "component").select("fingerprint", "component_id")
-    return seen.join(classes, "fingerprint").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes(df, text, key, shingle, seed, budget)
+    return found.select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

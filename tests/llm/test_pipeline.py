@@ -88,3 +88,12 @@ def test_bare_documents_go(spark):
     shared = [f"a clean passage number {i} that a lot of the documents share" for i in range(2)]
     docs = spark.createDataFrame([(i, "\n".join(shared) + "\n\t\r", "en", "a", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in pipeline.drop_lines(spark, docs, SF).collect()] == [8]
+
+
+def test_repeated_id_keeps_each_group(spark):
+    """Rows of one id stay apart unless they are near-duplicates of a lesser id or of each other."""
+    texts = [" ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest() for j in range(60)) for k in "abc"]
+    given = [(3, texts[0]), (7, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2].upper()), (9, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(pipeline.drop_near_duplicates(spark, docs, SF), "doc_id", "text")
+    assert got == sorted([(3, texts[0]), (7, texts[1]), (7, texts[2].upper())], key=str)
