@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of one arrow batch; texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 1000
+#: Bytes of one arrow batch, for rows that hold packed arrays.
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,23 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage and survives lost executors; unlike ``checkpoint()`` it
-    runs the plan once and is columnar.
+    runs the plan once and is columnar. ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep arrow batches of whole texts small, unless the user chose a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep arrow batches of whole texts small, unless the user chose less."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def fold(id_column: Column, parts: int) -> Column:
