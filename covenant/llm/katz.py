@@ -1,47 +1,58 @@
 """Language-model scores by a Katz bigram model.
 
-Tables, all counted over every training text:
-
-* words with their counts; the base distribution gives a word of count c the
-  share (c + 0.5) / (N + 0.5 (V + 1)), and an unseen one that of c = 0;
-* all pairs of words with their counts, discounted by Good-Turing (counts up to 5);
-* for each word u the backoff weight that makes the shares given u sum to exactly
-  1: what the discounts left, by what the base gives to unseen followers.
-
-A token v after u is scored by the pair's share if the pair is known, else by the
-weight of u times the base share of v (1 for a u without pairs). A text's score
-is summed in three parts: counts and weights of common words, those of rare words,
-and the gain of each known pair. Common words make up at least `COMMON` of all
-tokens; there are at most 1 / COMMON of them, whatever the corpus, so they are
-sent to every executor. That decides only where a word is looked up: for rare
-words and for pairs, occurrences go to the tables' partitions in packed rows (a
-word or pair, and the texts that hold it), and sums by text come back.
+All tokens of all training texts count. The share of a word is a base share, for
+a word of count c (c + 0.5) / (N + 0.5 (V + 1)); an unseen word has that of c = 0.
+The share of v after u is evaluated recursively: d(n) n / c(u) if the pair was
+seen n times, else the backoff weight of u times the share of v one level down.
+Counts up to 5 are discounted by Good-Turing; the weight of u is what discounts
+left of 1, by what the base gives to words not seen after u, so that the shares
+given u sum to exactly 1. After a u whose followers all have higher counts nothing
+is left: there half an occurrence is kept for the unseen, n / (c(u) + 0.5).
+
+The tables are partitioned, and no task or driver holds one whole:
+
+* texts become chunks of tokens, stored by chunk (`tokenized`); what follows are
+  two exchanges of packed arrays between chunks and tables, each one row for a
+  chunk and a partition;
+* words go to partitions by hash, are counted, and each chunk gets back numbers
+  and counts of its own words (`count_words`);
+* distinct pairs go to partitions by their history u, are counted, and each chunk
+  gets back its pairs' counts, and what the backoff weights of its histories are
+  made of where a pair is unseen (`count_pairs`). A history that would fill more
+  than a part of a partition is spread by v; there are at most `SPLIT` such a
+  partition, and their sums are sent to all executors.
+
+A chunk then scores its own texts, so rows need no key.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import fold, map_arrow, materialize, shuffle_partitions
+from covenant.llm.common import fold, grouped, map_arrow, materialize, shared_dir, shuffle_partitions
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Hash that stands for the end of a text; and for the history of its first token.
-END, START = 0x656E64, 0x7374617274
-#: Share of all tokens from which a word is looked up on the executors.
-COMMON = 1e-5
-#: Tokens that a task packs at once, and words whose hashes it remembers.
-CHUNK, CACHE_WORDS = 2_000_000, 500_000
+#: Hash of the end of a text; and number of the history of a first token.
+END, START = 0x656E64, 0
+#: Tokens of a chunk, and words whose hashes a task remembers.
+CHUNK, CACHE_WORDS = 2_500_000, 500_000
+#: Tokens that a partition of the pairs has on average at most.
+PART_TOKENS = 5_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-#: Repeated ids up to so many are sent to every executor, beyond that joined.
-REPEATED = 100_000
+#: A history of more than 1 / SPLIT of a partition's tokens is spread.
+SPLIT = 4
+ONE_ROW = {"parquet.block.row.count.limit": "1"}
 
 
 class Hashes(dict):
@@ -50,190 +61,236 @@ class Hashes(dict):
         return got
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys and training marks of texts, their sizes in tokens, and the hashes of
-    all their tokens, in chunks of about `CHUNK` tokens."""
-    known = Hashes()
-    tokens: list[int] = []
-    keys, marks, sizes = [], [], []
-    for batch in batches:
-        for key, mark, text in zip(batch.column("key").to_pylist(), batch.column("train").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = (text or "").encode("utf-8").translate(LOWER).split()
-            tokens.extend(map(known.__getitem__, words))
-            tokens.append(END)
-            keys.append(key)
-            marks.append(mark)
-            sizes.append(len(words) + 1)
-            if len(tokens) >= CHUNK:
-                yield np.array(keys, np.int64), np.array(marks, bool), np.array(sizes, np.int64), np.array(tokens, np.uint64)
-                tokens, keys, marks, sizes = [], [], [], []
-            if len(known) > CACHE_WORDS:
-                known.clear()
-    if keys:
-        yield np.array(keys, np.int64), np.array(marks, bool), np.array(sizes, np.int64), np.array(tokens, np.uint64)
-
-
-def packed(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct ``values``, and the texts that hold each (8 bytes an occurrence)."""
-    order = np.argsort(values, kind="stable")
-    values = values[order]
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    ends = np.concatenate([starts, [len(values)]])
-    return values[starts], pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), pa.py_buffer(texts[order].tobytes())])
-
-
-class Vocabulary:
-    """The common words: sorted hashes, counts and (once known) log10 backoff
-    weights, START's last."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.backoff = np.zeros(len(words) + 1)
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        """Places in the vocabulary; -1 for a rare word."""
-        if not len(self.words):
-            return np.full(len(tokens), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at, -1)
-
-    def before(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Ids of the tokens before (START's is one past the last)."""
-        before = np.concatenate([[0], ids[:-1]]).astype(np.int64)
-        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = len(self.words)
-        return before
-
-
-def pair_keys(sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens before, and of each pair of tokens."""
-    before = np.concatenate([tokens[:1], tokens[:-1]])
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
-    mixed = before * np.uint64(0x9E3779B97F4A7C15) + (tokens << np.uint64(31) | tokens >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return before, (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def keyed(df: DataFrame, text: str, key: str, parts: int, left_out: int) -> DataFrame:
-    """``(key, id, text, train)``: the id as key, or a hash of id and text where
-    an id is null or repeated, so that each key has one text."""
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(key), parts) != left_out).alias("train"))
-    again = rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).select(F.col("id").alias("again"))
-    small = again.limit(REPEATED + 1).count() <= REPEATED
-    marked = rows.join(F.broadcast(again) if small else again, F.col("id").eqNullSafe(F.col("again")), "left_semi")
-    if small and not again.head(1):
-        return rows.withColumn("key", F.col("id").cast("long"))
-    single = rows.join(F.broadcast(again) if small else again, F.col("id").eqNullSafe(F.col("again")), "left_anti")
-    return single.withColumn("key", F.col("id").cast("long")).unionByName(marked.withColumn("key", F.xxhash64("id", "text")))
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, tokens in chunks(batches):
-            words, n = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    return map_arrow(rows.where("train").select("key", "train", "text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of 0 or more as compressed planes of bytes."""
+    values = np.ascontiguousarray(values, np.uint64)
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 3)
 
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """``(pair, u, v, n)``: hashes of each pair and of its words, and its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sizes, tokens in chunks(batches):
-            before, pairs = pair_keys(sizes, tokens)
-            order = np.argsort(pairs)
-            pairs = pairs[order]
-            starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-            first, n = order[starts], np.diff(np.concatenate([starts, [len(pairs)]]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pairs[starts], before[first], tokens[first])), pa.array(n)], ["pair", "u", "v", "n"])
-
-    counted = map_arrow(rows.where("train").select("key", "train", "text"), run, "pair long, u long, v long, n long")
-    return counted.groupBy("pair").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.sum("n").alias("n"))
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(np.uint64).ravel().astype(np.int64)
 
 
-def occurrences(rows: DataFrame, vocabulary, rare: bool) -> DataFrame:
-    """``(item, texts binary)``: rare words, or all pairs, with the keys of the
-    texts that hold them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, sizes, tokens in chunks(batches):
-            owner = np.repeat(keys, sizes)
-            items = tokens if rare else pair_keys(sizes, tokens)[1]
-            if rare:
-                use = vocabulary.value.ids(tokens) < 0
-                items, owner = items[use], owner[use]
-            found, held = packed(items.view(np.int64), owner)
-            yield pa.RecordBatch.from_arrays([pa.array(found), held], ["item", "texts"])
-
-    return map_arrow(rows.select("key", "train", "text"), run, "item long, texts binary")
+def scatter(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their part (kept within it), and each part's end."""
+    order = np.argsort(values, kind="stable")
+    return order, np.searchsorted(values[order], np.arange(parts + 1))
 
 
-def totals(held: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of each one's rows of ``values``."""
-    keys, flat = np.unique(np.concatenate(held), return_inverse=True)
-    rows = np.concatenate(values)
-    return keys, np.stack([np.bincount(flat, rows[:, c], len(keys)) for c in range(rows.shape[1])], axis=1)
+def spread(values: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each number."""
+    z = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((z >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def partial_sums(joined: DataFrame, buckets: int) -> DataFrame:
-    """Sums by text of ``(value, known, gain, texts)``, as far as a task has them:
-    ``(bucket, keys binary, sums binary)``, packed by a hash of the text, so that
-    rows are few and what is shuffled is 32 bytes a text and task."""
+def tokenized(rows: DataFrame, key_type: str, parts: int) -> str:
+    """A stored table of chunks, bucketed by ``chunk`` so that joins leave it in
+    place: keys and training marks of texts, their sizes in tokens, the chunk's
+    distinct words (hashes, commonest first) with their counts in training texts,
+    and all tokens as places among these words. Returns its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-        size = 0
+        known = Hashes()
+        number = TaskContext.get().partitionId() << 32
+        keys: list[pa.Array] = []
+        tokens: list[int] = []
+        marks, sizes = [], []
 
         def flush() -> pa.RecordBatch:
-            keys, sums = totals(held, values)
-            bucket = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            names, starts = np.unique(bucket[order], return_index=True)
-            parts = [order[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([keys[x].tobytes() for x in parts], pa.binary()), pa.array([sums[x].tobytes() for x in parts], pa.binary())], ["bucket", "keys", "sums"])
+            hashes = np.array(tokens, np.uint64)
+            words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            place = rank[place]
+            trained = np.bincount(place[np.repeat(np.array(marks, bool), sizes)], minlength=len(words))
+            held = pa.concat_arrays(keys)
+            packed = [np.array(marks, np.uint8).tobytes(), pack(np.array(sizes)), words[order].tobytes(), pack(trained), pack(place)]
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), *(pa.array([x], pa.binary()) for x in packed)], ["chunk", "keys", "train", "sizes", "words", "counts", "tokens"])
 
         for batch in batches:
-            texts = batch.column("texts")
-            if not len(texts):
-                continue
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-            held.append(np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64))
-            each = np.diff(offsets) // 8
-            values.append(np.stack([np.repeat(batch.column(c).to_numpy(), each) for c in ("value", "known", "gain")], axis=1))
-            size += len(held[-1])
-            if size > CHUNK:
-                yield flush()
-                held, values, size = [], [], 0
-        if held:
+            lo = 0
+            for i, (mark, text) in enumerate(zip(batch.column("train").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                words = text.encode("utf-8").translate(LOWER).split()
+                tokens.extend(map(known.__getitem__, words))
+                tokens.append(END)
+                marks.append(mark)
+                sizes.append(len(words) + 1)
+                if len(tokens) >= CHUNK:
+                    keys.append(batch.column("key").slice(lo, i + 1 - lo))
+                    lo = i + 1
+                    yield flush()
+                    number += 1
+                    keys, tokens, marks, sizes = [], [], [], []
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+            keys.append(batch.column("key").slice(lo))
+        if tokens:
             yield flush()
 
-    return map_arrow(joined.select("value", "known", "gain", "texts"), run, "bucket long, keys binary, sums binary")
+    name = f"katz_chunks_{uuid.uuid4().hex}"
+    chunks = map_arrow(rows, run, f"chunk long, keys array<{key_type}>, train binary, sizes binary, words binary, counts binary, tokens binary")
+    chunks.write.options(**ONE_ROW).option("path", f"{shared_dir(rows.sparkSession)}/{name}").bucketBy(parts, "chunk").saveAsTable(name)
+    return name
 
 
-def whole_sums(parts: DataFrame, buckets: int) -> DataFrame:
-    """``(key, base, known, gain)`` of the packed partial sums; a task holds the
-    texts of its buckets, 32 bytes each."""
+def count_words(chunks: DataFrame, parts: int) -> DataFrame:
+    """``(chunk, part, places, numbers, totals, tokens, words)``: for each chunk and
+    partition the places of the chunk's words there, the words' numbers (1 or
+    more) and counts in all training texts; and, with a null chunk, how many
+    training tokens and words the partition has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-        size, limit = 0, CHUNK
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, sums in zip(batch.column("keys").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                held.append(np.frombuffer(keys, np.int64))
-                values.append(np.frombuffer(sums, np.float64).reshape(-1, 3))
-                size += len(held[-1])
-            if size > limit:
-                keys, sums = totals(held, values)
-                held, values, size, limit = [keys], [sums], len(keys), len(keys) + CHUNK
-        if held:
-            keys, sums = totals(held, values)
-            for lo in range(0, len(keys), 65536):
-                part = slice(lo, lo + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(sums[part, 0]), pa.array(np.rint(sums[part, 1]).astype(np.int64)), pa.array(sums[part, 2])], ["key", "base", "known", "gain"])
-
-    return map_arrow(parts.repartition(buckets, "bucket").select("keys", "sums"), run, "key long, base double, known long, gain double")
+            for chunk, words, counts in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                words, counts = np.frombuffer(words, np.uint64), unpack(counts)
+                order, ends = scatter((words % np.uint64(parts)).astype(np.int64), parts)
+                cut = [order[ends[p] : ends[p + 1]] for p in range(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([chunk] * parts, pa.int64()), pa.array([pack(x) for x in cut]), pa.array([words[x].tobytes() for x in cut], pa.binary()), pa.array([pack(counts[x]) for x in cut])], ["part", "chunk", "places", "words", "counts"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "part"):
+            held = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
+            words, place = np.unique(np.concatenate(held), return_inverse=True)
+            total = np.bincount(place, np.concatenate([unpack(x) for x in group.column("counts").to_pylist()]), len(words)).astype(np.int64)
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(words))
+            part = group.column("part")[0].as_py()
+            number = rank * parts + part + 1
+            ends = np.cumsum([0, *map(len, held)])
+            mine = [place[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            n = len(mine)
+            columns = [group.column("chunk").combine_chunks(), pa.array([part] * n, pa.int32()), group.column("places").combine_chunks(), pa.array([pack(number[x]) for x in mine]), pa.array([pack(total[x]) for x in mine]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            names = ["chunk", "part", "places", "numbers", "totals", "tokens", "words"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], names)
+
+    asked = map_arrow(chunks.select("chunk", "words", "counts"), ask, "part int, chunk long, places binary, words binary, counts binary")
+    dealt = asked.repartitionById(parts, "part").sortWithinPartitions("part", "chunk")
+    return map_arrow(dealt, answer, "chunk long, part int, places binary, numbers binary, totals binary, tokens long, words long")
+
+
+class Chunk:
+    """The tokens of a chunk by the words' numbers, and its distinct pairs."""
+
+    def __init__(self, row: dict, texts: int):
+        self.sizes = unpack(row["sizes"])
+        self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
+        count = len(row["words"]) // 8
+        number, total = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
+        for part in row["own"]:
+            at = unpack(part["places"])
+            number[at], total[at] = unpack(part["numbers"]), unpack(part["totals"])
+        number[count], total[count] = START, texts  # of the history of a first token
+        self.total, tokens = total, unpack(row["tokens"])
+        self.tokens = tokens
+        before = np.concatenate([[count], tokens[:-1]])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        before[self.starts] = count
+        self.pairs, self.place = np.unique(before * (count + 1) + tokens, return_inverse=True)
+        self.u, self.v = self.pairs // (count + 1), self.pairs % (count + 1)
+        self.u_number, self.v_number = number[self.u], number[self.v]
+
+    def parts(self, parts: int, each: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs in the order of their partition, history and word; and ends."""
+        salts = 1 + (self.total[self.u] * SPLIT / max(each, 1)).astype(np.int64)
+        part = spread(self.u_number * 1_000_003 + np.where(salts > 1, self.v_number % salts, 0), parts)
+        order = np.lexsort((self.v_number, self.u_number, part))
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def history_sums(index: np.ndarray, size: int, n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """By history: pairs seen once to five times, tokens of the others, and the
+    base shares of all followers."""
+    columns = [np.bincount(index[n == r], minlength=size) for r in range(1, DISCOUNTED + 1)]
+    often = n > DISCOUNTED
+    return np.stack([*columns, np.bincount(index[often], n[often], size), np.bincount(index[n > 0], base[n > 0], size)], axis=1).astype(np.float64)
+
+
+def count_pairs(resolved: DataFrame, texts: int, parts: int, each: float, room: float) -> DataFrame:
+    """The pair table and what chunks asked of it, as rows of three kinds.
+
+    ``pairs``: a partition's distinct pairs ``(u, v, n)``, packed, with ``of`` (how
+    many were seen once, twice .. six times). ``answer``: for a chunk, counts of
+    its pairs in the order asked, twice as great and odd where the history has no
+    discounted follower; and sums of the histories with an unseen pair. ``spread``:
+    a partition's sums of the histories that are spread over several.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row, texts)
+                order, ends = chunk.parts(parts, each)
+                seen = np.bincount(chunk.place[np.repeat(chunk.train, chunk.sizes)], minlength=len(chunk.pairs))
+                out: list[list] = [[], [], [], [], [], []]
+                for p in range(parts):
+                    at = order[ends[p] : ends[p + 1]]
+                    if not len(at):
+                        continue
+                    u = chunk.u_number[at]
+                    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+                    wide = (chunk.total[chunk.u[at[first]]] * SPLIT >= max(each, 1)).astype(np.int64)
+                    values = (p, np.diff(u[first], prepend=0) * 2 + wide, np.diff([*first, len(at)]), chunk.v_number[at], chunk.total[chunk.v[at]], seen[at])
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value if value is p else pack(value))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([row["chunk"]] * len(out[0]), pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["part", "chunk", "us", "runs", "vs", "totals", "seen"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "part", "chunk", "of", "us", "vs", "ns", "sums"]
+
+        def rows(kind: str, part: int, chunks: list, of: list, *data: list) -> pa.RecordBatch:
+            n = len(chunks)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([part] * n, pa.int32()), pa.array(chunks, pa.int64()), pa.array(of, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in data)], names)
+
+        for group in grouped(batches, "part"):
+            part, chunks = group.column("part")[0].as_py(), group.column("chunk").to_pylist()
+            us, runs = ([unpack(x) for x in group.column(c).to_pylist()] for c in ("us", "runs"))
+            wide = np.concatenate([x & 1 for x in us])
+            us = [np.cumsum(x >> 1) for x in us]
+            history, at = np.unique(np.concatenate(us), return_inverse=True)
+            is_wide = np.zeros(len(history), bool)
+            is_wide[at[wide > 0]] = True
+            u = np.repeat(at, np.concatenate(runs))
+            v, total, seen = (np.concatenate([unpack(x) for x in group.column(c).to_pylist()]) for c in ("vs", "totals", "seen"))
+            pairs, first, place = np.unique(u * (int(v.max()) + 1) + v, return_index=True, return_inverse=True)
+            n = np.bincount(place, seen, len(pairs)).astype(np.int64)
+            u_of = u[first]
+            sums = history_sums(u_of, len(history), n, (total[first] + 0.5) / room)
+            known = n > 0
+            of = np.bincount(np.minimum(n[known], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+            yield rows("pairs", part, [None], [of.tolist()], [pack(np.diff(history[u_of[known]], prepend=0))], [pack(v[first][known])], [pack(n[known])], [None])
+            if is_wide.any():
+                yield rows("spread", part, [None], [None], [pack(history[is_wide])], [None], [None], [sums[is_wide].tobytes()])
+            full = sums[:, :DISCOUNTED].sum(axis=1) == 0
+            ends = np.cumsum([0, *(int(x.sum()) for x in runs)])
+            for chunk, lo, hi in zip(chunks, ends[:-1], ends[1:], strict=True):
+                mine, of_u = n[place[lo:hi]], u[lo:hi]
+                wanted = np.unique(of_u[mine == 0])
+                wanted = wanted[~is_wide[wanted]]
+                told = [pack(sums[wanted, c].astype(np.int64)) for c in range(DISCOUNTED + 1)]
+                ends_of = np.cumsum([0, *map(len, told)])
+                data = np.array([len(ends_of), *ends_of], np.int64).tobytes() + b"".join(told) + sums[wanted, -1].tobytes()
+                yield rows("answer", part, [chunk], [None], [pack(history[wanted])], [None], [pack(2 * mine + full[of_u])], [data])
+
+    asked = map_arrow(resolved, ask, "part int, chunk long, us binary, runs binary, vs binary, totals binary, seen binary")
+    dealt = asked.repartitionById(parts, "part").sortWithinPartitions("part", "chunk")
+    return map_arrow(dealt, answer, "kind string, part int, chunk long, of array<long>, us binary, vs binary, ns binary, sums binary")
+
+
+def told_sums(data: bytes, size: int) -> np.ndarray:
+    """`history_sums` as packed in an answer."""
+    count = int(np.frombuffer(data, np.int64, 1)[0])
+    ends = np.frombuffer(data, np.int64, count, 8)
+    body = 8 * (count + 1)
+    columns = [unpack(data[body + a : body + b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return np.stack([*columns, np.frombuffer(data, np.float64, size, body + int(ends[-1]))], axis=1)
 
 
 def good_turing(counts: dict[int, int]) -> list[float]:
@@ -248,94 +305,87 @@ def good_turing(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, left_out: int = 1, rarest: float = 0.0) -> DataFrame:
+def backoff(sums: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """log10 backoff weights of histories; that of one never followed is 0."""
+    r = np.arange(1, DISCOUNTED + 1)
+    seen, whole = sums[:, :DISCOUNTED], sums[:, :DISCOUNTED] @ r + sums[:, DISCOUNTED]
+    lost = seen @ (r * (1 - discounts))
+    left = np.where(lost > 0, lost / np.maximum(whole, 1), 0.5 / (whole + 0.5))
+    return np.where(whole > 0, np.log10(left) - np.log10(np.maximum(1 - sums[:, -1], 1e-300)), 0.0)
+
+
+def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5, left_out: int = 1) -> DataFrame:
     """``(key, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     Words are split at ASCII white space, A-Z in lower case; every text ends with
     an end token, so null and empty texts have one token. Rows whose fold is not
     ``left_out`` train; repeated rows train as often as they are there, and score
-    alike. Without training rows N and V are 0 and every token has the share 1.
-    An empty table gives an empty one; other columns are ignored. ``rarest``
-    leaves pairs out of the model where a word has a lesser share of all tokens;
-    0 counts every pair.
+    alike; null keys count as empty text in the fold. Without training rows N and
+    V are 0 and every token has the share 1. An empty table gives an empty one;
+    other columns are ignored. Words are told apart by 64-bit hashes.
     """
     spark = df.sparkSession
-    rows = keyed(df, text, key, parts, left_out)
-    words = materialize(count_words(rows), "katz-words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    room = total + 0.5 * (distinct + 1)
-    common = F.col("n") >= COMMON * total
-    frequent = words.where(common).collect() if total else []  # at most 1 / COMMON words
-    vocabulary = Vocabulary(np.array([r.word for r in frequent], np.int64).view(np.uint64), np.array([r.n for r in frequent], np.int64))
-    sent = spark.sparkContext.broadcast(vocabulary)
-    start = spark.createDataFrame([(START, rows.where("train").count())], "word long, n long")
-    usual, cold = words.where(common).unionByName(start), words.where(~common)
-    pairs = materialize(count_pairs(rows), "katz-pairs")
-    if rarest > 0:
-        told = words.where(F.col("n") >= rarest * total).select("word")
-        pairs = materialize(pairs.join(told.withColumnRenamed("word", "v"), "v", "left_semi").join(told.unionByName(start.select("word")).withColumnRenamed("word", "u"), "u", "left_semi"), "katz-pairs")
-    counted = pairs.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("of")).collect()
-    discounts = good_turing({r.n: r.of for r in counted})
-    discount = F.lit(1.0)
-    for r, d in enumerate(discounts, 1):
-        discount = F.when(F.col("n") == r, F.lit(d)).otherwise(discount)
-
-    def counts_of(given: DataFrame, side: str, name: str) -> DataFrame:
-        return given.select(F.col("word").alias(side), F.col("n").alias(name))
-
-    def based(part: DataFrame) -> DataFrame:
-        """``part`` with the log10 base share of v: common ones are broadcast."""
-        near = part.join(F.broadcast(counts_of(usual, "v", "n_v")), "v")
-        far = part.join(F.broadcast(counts_of(usual, "v", "n_v")), "v", "left_anti").join(counts_of(cold, "v", "n_v"), "v")
-        return near.unionByName(far).select("pair", "u", "n", F.log10((F.col("n_v") + 0.5) / F.lit(room)).alias("base"))
-
-    # half an occurrence is kept for the unseen, so that something is always left
-    share = (discount * F.col("n") / (F.col("n_u") + 0.5)).alias("share")
-    after_usual = F.broadcast(counts_of(usual, "u", "n_u"))
-    shares = materialize(based(pairs.join(after_usual.select("u"), "u", "left_semi")).join(after_usual, "u").select("pair", "u", "base", share), "katz-shares")
-    left, unfollowed = 1 - F.sum("share"), 1 - F.sum(F.pow(F.lit(10.0), "base"))
-    weight = (F.log10(F.greatest("left", F.lit(1e-300))) - F.log10(F.greatest("unfollowed", F.lit(1e-300)))).alias("weight")
-    weights = shares.groupBy("u").agg(left.alias("left"), unfollowed.alias("unfollowed")).select("u", weight).collect()  # a row per common word
-    at = vocabulary.ids(np.array([r.u for r in weights], np.int64).view(np.uint64))
-    for i, r in zip(at.tolist(), weights, strict=True):
-        vocabulary.backoff[i] = r.weight  # START has the last place
-    weighted = spark.sparkContext.broadcast(vocabulary)
-    near = shares.join(F.broadcast(spark.createDataFrame(weights, "u long, weight double")), "u")
-    # what follows a rare word is few rows, so its sums are a window
-    after = Window.partitionBy("u")
-    far = based(pairs.join(after_usual.select("u"), "u", "left_anti")).join(counts_of(cold, "u", "n_u"), "u").select("pair", "u", "base", share)
-    far = far.withColumn("left", 1 - F.sum("share").over(after)).withColumn("unfollowed", 1 - F.sum(F.pow(F.lit(10.0), "base")).over(after))
-    gain = (F.log10("share") - F.col("base") - F.col("weight")).alias("gain")
-    far = materialize(far.select("pair", "u", "base", "share", weight).select("pair", "u", "weight", gain), "katz-rare-shares")
-    gains = near.select("pair", gain).unionByName(far.select("pair", "gain"))
-
-    unseen = math.log10(0.5 / room)
-    nothing = F.lit(0.0)
-    backed_off = far.groupBy(F.col("u").alias("word")).agg(F.first("weight").alias("weight"))
-    rare = occurrences(rows, sent, True).withColumnRenamed("item", "word").join(words, "word", "left").join(backed_off, "word", "left")
-    rare = rare.select(F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(room)), F.lit(unseen)).alias("value"), F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("known"), F.coalesce("weight", nothing).alias("gain"), "texts")
-    paired = occurrences(rows, sent, False).withColumnRenamed("item", "pair").join(gains, "pair").select(nothing.alias("value"), nothing.alias("known"), "gain", "texts")
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(key), parts) != left_out).alias("train"))
+    texts = rows.where("train").count()
     buckets = shuffle_partitions(spark)
-    sums = whole_sums(partial_sums(rare, buckets).unionByName(partial_sums(paired, buckets)), buckets)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = weighted.value
-        logs = np.log10((given.counts + 0.5) / room)
-        for keys, _, sizes, tokens in chunks(batches):
-            ids = given.ids(tokens)
-            before = given.before(sizes, ids)
-            usual = ids >= 0
-            base = np.where(usual, logs[np.maximum(ids, 0)] if len(logs) else 0.0, 0.0)
-            backed = np.where(before >= 0, given.backoff[np.maximum(before, 0)], 0.0)
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            columns = [keys, sizes, np.add.reduceat(base, at), np.add.reduceat(usual.astype(np.int64), at), np.add.reduceat(backed, at)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n_tokens", "usual", "usual_known", "backed"])
-
-    texts = map_arrow(rows.select("key", "train", "text"), local, "key long, n_tokens long, usual double, usual_known long, backed double")
-    # rows of one key are copies of one text: their sums came back together
-    texts = texts.groupBy("key", "n_tokens").agg(F.count("*").alias("copies"), F.avg("usual").alias("usual"), F.max("usual_known").alias("usual_known"), F.avg("backed").alias("backed"))
-    base = F.col("usual") + F.coalesce("base", F.lit(0.0)) / F.col("copies")
-    known = F.col("usual_known") + (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long")
-    scored = texts.join(sums, "key", "left").select("key", "n_tokens", known.alias("n_known"), base.alias("base_score"), (base + F.col("backed") + F.coalesce("gain", F.lit(0.0)) / F.col("copies")).alias("score"))
-    named = rows.select("key", F.col("id").alias(key), (~F.col("train")).alias("held_out"))
-    return named.join(scored, "key").select(key, "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    name = tokenized(rows, dict(rows.dtypes)["key"], buckets)
+    chunks = spark.table(name)
+    words = materialize(count_words(chunks, buckets), "katz-words", **ONE_ROW)
+    total, distinct = words.where("chunk IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    room = total + 0.5 * (distinct + 1)
+    own = words.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("places", "numbers", "totals")).alias("own"))
+    resolved = chunks.select("chunk", "keys", "train", "sizes", "words", "tokens").join(own, "chunk")
+    pair_parts = max(buckets, math.ceil(total / PART_TOKENS))
+    each = total / pair_parts
+    counted = materialize(count_pairs(resolved.drop("keys"), texts, pair_parts, each, room), "katz-pairs", **ONE_ROW)
+    of = counted.where("kind = 'pairs'").agg(*(F.coalesce(F.sum(F.col("of")[r]), F.lit(0)) for r in range(DISCOUNTED + 1))).first()
+    discounts = np.array(good_turing(dict(enumerate(of, 1))))
+    wide: dict[int, np.ndarray] = {}  # of at most SPLIT histories a partition, and START
+    for r in counted.where("kind = 'spread'").select("us", "sums").toLocalIterator():
+        numbers = unpack(r.us)
+        for u, sums in zip(numbers.tolist(), np.frombuffer(r["sums"], np.float64).reshape(len(numbers), -1), strict=True):
+            wide[u] = wide[u] + sums if u in wide else sums
+    wide_u = np.array(sorted(wide), np.int64)
+    wide_sums = np.stack([wide[u] for u in wide_u.tolist()]) if len(wide_u) else np.zeros((0, DISCOUNTED + 2))
+    table = spark.sparkContext.broadcast((wide_u, wide_sums))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide_u, wide_sums = table.value
+        rate = np.concatenate([[1.0], discounts])
+        for batch in batches:
+            keys = batch.column("keys")
+            for i, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
+                chunk = Chunk(row, texts)
+                order, ends = chunk.parts(pair_parts, each)
+                n, full = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+                numbers, weights = [wide_u], [backoff(wide_sums, discounts)]
+                for part in row["answers"]:
+                    at = order[ends[part["part"]] : ends[part["part"] + 1]]
+                    told = unpack(part["ns"])
+                    n[at], full[at] = told >> 1, (told & 1).astype(bool)
+                    asked = unpack(part["us"])
+                    numbers.append(asked)
+                    weights.append(backoff(told_sums(part["sums"], len(asked)), discounts))
+                of_u, at = np.unique(np.concatenate(numbers), return_index=True)
+                weight = np.concatenate(weights)[at]
+                if len(wide_u):  # the partitions of a spread history know only some of its followers
+                    at = np.minimum(np.searchsorted(wide_u, chunk.u_number), len(wide_u) - 1)
+                    hit = wide_u[at] == chunk.u_number
+                    full[hit] = (wide_sums[at[hit], :DISCOUNTED].sum(axis=1) == 0)
+                base = np.log10((chunk.total + 0.5) / room)
+                history = chunk.total[chunk.u].astype(np.float64)
+                seen = n > 0
+                share = np.zeros(len(n))
+                few = np.where(n <= DISCOUNTED, n, 0)
+                share[seen] = np.log10(rate[few[seen]] * n[seen] / (history[seen] + 0.5 * full[seen]))
+                if len(of_u):
+                    at = np.minimum(np.searchsorted(of_u, chunk.u_number[~seen]), len(of_u) - 1)
+                    share[~seen] = np.where(of_u[at] == chunk.u_number[~seen], weight[at], 0.0)
+                share[~seen] += base[chunk.v[~seen]]
+                known = (chunk.total > 0)[chunk.tokens]
+                columns = [~chunk.train, chunk.sizes, np.add.reduceat(known.astype(np.int64), chunk.starts), np.full(len(chunk.sizes), total), np.add.reduceat(base[chunk.tokens], chunk.starts), np.add.reduceat(share[chunk.place], chunk.starts)]
+                yield pa.RecordBatch.from_arrays([keys.slice(i, 1).flatten(), *map(pa.array, columns)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = counted.where("kind = 'answer'").groupBy("chunk").agg(F.collect_list(F.struct("part", "us", "ns", "sums")).alias("answers"))
+    scored = resolved.join(answers, "chunk")
+    return map_arrow(scored, run, f"`{key}` {dict(rows.dtypes)['key']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
