@@ -3,8 +3,12 @@
 A text is cut in halves down to leaves; each leaf is encoded on its own, and
 neighbours are joined by encoding a window around the seam anew. The window
 grows until everything outside of it provably stays as it is, so the result is
-that of encoding the whole text at once. There are two levels of this:
+that of encoding the whole text at once. There are three levels of this:
 
+* text to words. A piece begins wherever white space follows another character,
+  whatever stands around. The window grows on either side of the seam to such a
+  place; tokens outside of it stay (`Bpe.mend`). A text without such places goes
+  by the next level.
 * text to pieces. A piece is a match of the split pattern, which never looks
   back. Left of a seam a match is final if it ends three characters before the
   seam (the pattern's longest look-ahead). Right of it all matches are final
@@ -22,8 +26,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.llm.common import map_arrow
 
 #: Characters of a text, and bytes of a piece, up to which a leaf is encoded directly.
-TEXT_LEAF, PIECE_LEAF = 16384, 256
+TEXT_LEAF, PIECE_LEAF = 1024, 256
 #: The pattern never looks further ahead than this from where a match begins.
 LOOK_AHEAD = 3
 #: Words whose tokens a task remembers before it begins anew.
@@ -52,6 +58,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
 
 
+class Words(dict):
+    """Tokens of stretches: a space, and what follows it up to another space."""
+
+    def __init__(self, coder: Bpe):
+        self.coder = coder
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.coder.region(" " + word))
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Bpe:
     """Encodes and decodes with one vocabulary. Not shared between threads."""
 
@@ -62,7 +83,13 @@ class Bpe:
         self.none = max(ranks.values(), default=0) + 1
         self.longest = max(map(len, ranks), default=0)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.sizes = [0] * self.none
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.words = Words(self)
+        self.odd = re.compile(r"\s ")
+        self.word_start = re.compile(r"(?<=\S)(?= )")
+        self.joins = 0
 
     # -- tokens of one piece ------------------------------------------------
 
@@ -167,66 +194,58 @@ class Bpe:
         return got
 
     def leaf(self, text: str) -> list[int]:
-        """Tokens of a text, whose words' tokens are remembered.
+        """Tokens of a leaf, whose words' tokens are remembered.
 
-        White space only stands at the front of a piece or fills it, so a piece
-        always begins where white space follows another character: the text is
-        cut at such spaces, and every stretch is encoded on its own.
+        A word is what stands from one space after another character to the next
+        such; where no space follows white space, these are all spaces.
         """
-        out: list[int] = []
-        known, extend = self.words, out.extend
-        chunks = text.split(" ")
-        held: list[str] | None = chunks[:1]
-        lead = ""
-        if chunks[0] and not chunks[0][-1].isspace():
-            extend(self.region(chunks[0]))
-            held = None
-        for chunk in chunks[1:]:
-            if held is None:
-                ids = known.get(chunk)
-                if ids is not None:
-                    extend(ids)
-                    continue
-                if chunk and not chunk[-1].isspace():
-                    ids = tuple(self.region(" " + chunk))
-                    if len(chunk) <= 64:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        known[chunk] = ids
-                    extend(ids)
-                else:
-                    held, lead = [chunk], " "
-            else:
-                held.append(chunk)
-                if chunk and not chunk[-1].isspace():
-                    extend(self.region(lead + " ".join(held)))
-                    held = None
-        if held is not None:
-            extend(self.region(lead + " ".join(held)))
-        return out
-
-    def seam(self, text: str, half: int, hi: int) -> int:
-        """The first place from ``half`` on where a piece begins whatever stands
-        around: white space after another character. -1 if there is none."""
-        width = 64
-        while half < hi:
-            stop = min(hi, half + width)
-            for i in range(max(half, 1), stop):
-                if text[i] == " " and not text[i - 1].isspace():
-                    return i
-            half, width = stop, 2 * width
-        return -1
+        if self.odd.search(text) is None:
+            lead, *words = text.split(" ")
+        else:
+            lead, *words = self.word_start.split(text)
+            words = [x[1:] for x in words]
+        return [*(self.region(lead) if lead else ()), *chain.from_iterable(map(self.words.__getitem__, words))]
+
+    def mend(self, text: str, lo: int, half: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of ``text[lo:hi]`` from those of its halves.
+
+        A space after another character within the left half begins a piece in
+        the half and in the whole, and so does one within the right half: tokens
+        before the first and after the second stay, what is between is encoded.
+        """
+        self.joins += 1
+        i, j = half, half
+        while (i := text.rfind(" ", lo + 1, i)) >= 0 and text[i - 1].isspace():
+            pass
+        while (j := text.find(" ", j + 1, hi)) >= 0 and text[j - 1].isspace():
+            pass
+        if i < 0 and j < 0:
+            return self.region(text[lo:hi])
+        i, j = lo if i < 0 else i, hi if j < 0 else j
+        keep, skip = len(left), 0
+        gone = len(text[i:half].encode("utf-8"))
+        while gone > 0:
+            keep -= 1
+            gone -= self.sizes[left[keep]]
+        gone = len(text[half:j].encode("utf-8"))
+        while gone > 0:
+            gone -= self.sizes[right[skip]]
+            skip += 1
+        return left[:keep] + (self.leaf(text[i:j]) if j - i <= TEXT_LEAF else self.region(text[i:j])) + right[skip:]
+
+    def _encode(self, text: str, lo: int, hi: int) -> list[int]:
+        if hi - lo <= TEXT_LEAF:
+            return self.leaf(text[lo:hi])
+        half = (lo + hi) // 2
+        return self.mend(text, lo, half, hi, self._encode(text, lo, half), self._encode(text, half, hi))
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text; a null text counts as empty."""
         if not text:
             return []
-        if len(text) <= TEXT_LEAF:
-            return self.leaf(text)
-        cut = self.seam(text, len(text) // 2, len(text))
-        if cut < 0:
+        if len(text) > TEXT_LEAF and self.word_start.search(text) is None:
             return self.region(text)
-        return self.encode(text[:cut]) + self.encode(text[cut:])
+        return self._encode(text, 0, len(text))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of ``ids``, concatenated up a tree of halves."""

@@ -58,3 +58,24 @@ def test_frame(spark):
     encoded = bpe.encode(df, PATH, P.PATTERN)
     assert {(r.doc_id, bytes(r.bytes).decode()) for r in bpe.decode(encoded, PATH).collect()} == {(i, t or "") for i, t, _ in rows}
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_tree_is_the_path_of_texts():
+    """Most documents are joined from leaves, and give what tiktoken gives."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    long = [x for x in texts if x and len(x) > bpe.TEXT_LEAF]
+    coder = bpe.Bpe(RANKS, P.PATTERN)
+    assert [coder.encode(x) for x in texts] == [ORACLE.encode_ordinary(x or "") for x in texts]
+    assert coder.joins >= len(long) > len(texts) / 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t 'sa.é1", max_size=120), st.integers(2, 9))
+def test_any_cut_mends(text, leaf):
+    before, bpe.TEXT_LEAF = bpe.TEXT_LEAF, leaf
+    try:
+        assert CODER.encode(text) == ORACLE.encode_ordinary(text)
+    finally:
+        bpe.TEXT_LEAF = before
