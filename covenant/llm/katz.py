@@ -45,7 +45,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Hash of the end of a text; and number of the history of a first token.
 END, START = 0x656E64, 0
 #: Tokens of a chunk, and words whose hashes a task remembers.
-CHUNK, CACHE_WORDS = 2_500_000, 500_000
+CHUNK, CACHE_WORDS = 1_500_000, 400_000
 #: Tokens that a partition of the pairs has on average at most.
 PART_TOKENS = 5_000_000
 #: Counts up to this are discounted.
@@ -76,10 +76,11 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel().astype(np.int64)
 
 
-def scatter(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of their part (kept within it), and each part's end."""
-    order = np.argsort(values, kind="stable")
-    return order, np.searchsorted(values[order], np.arange(parts + 1))
+def scatter(part: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The parts that occur, and the places of each (in their order)."""
+    order = np.argsort(part, kind="stable")
+    found, starts = np.unique(part[order], return_index=True)
+    return found.tolist(), np.split(order, starts[1:])
 
 
 def spread(values: np.ndarray, parts: int) -> np.ndarray:
@@ -150,9 +151,8 @@ def count_words(chunks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for chunk, words, counts in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 words, counts = np.frombuffer(words, np.uint64), unpack(counts)
-                order, ends = scatter((words % np.uint64(parts)).astype(np.int64), parts)
-                cut = [order[ends[p] : ends[p + 1]] for p in range(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([chunk] * parts, pa.int64()), pa.array([pack(x) for x in cut]), pa.array([words[x].tobytes() for x in cut], pa.binary()), pa.array([pack(counts[x]) for x in cut])], ["part", "chunk", "places", "words", "counts"])
+                asked, cut = scatter((words % np.uint64(parts)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array([pack(x) for x in cut]), pa.array([words[x].tobytes() for x in cut], pa.binary()), pa.array([pack(counts[x]) for x in cut])], ["part", "chunk", "places", "words", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "part"):
@@ -197,12 +197,13 @@ class Chunk:
         self.u, self.v = self.pairs // (count + 1), self.pairs % (count + 1)
         self.u_number, self.v_number = number[self.u], number[self.v]
 
-    def parts(self, parts: int, each: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs in the order of their partition, history and word; and ends."""
+    def parts(self, parts: int, each: float) -> dict[int, np.ndarray]:
+        """The pairs of each partition that has any, by history and word."""
         salts = 1 + (self.total[self.u] * SPLIT / max(each, 1)).astype(np.int64)
         part = spread(self.u_number * 1_000_003 + np.where(salts > 1, self.v_number % salts, 0), parts)
-        order = np.lexsort((self.v_number, self.u_number, part))
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        order = np.lexsort((self.v_number, self.u_number))
+        found, places = scatter(part[order])
+        return {p: order[x] for p, x in zip(found, places, strict=True)}
 
 
 def history_sums(index: np.ndarray, size: int, n: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -227,13 +228,9 @@ def count_pairs(resolved: DataFrame, texts: int, parts: int, each: float, room:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row, texts)
-                order, ends = chunk.parts(parts, each)
                 seen = np.bincount(chunk.place[np.repeat(chunk.train, chunk.sizes)], minlength=len(chunk.pairs))
                 out: list[list] = [[], [], [], [], [], []]
-                for p in range(parts):
-                    at = order[ends[p] : ends[p + 1]]
-                    if not len(at):
-                        continue
+                for p, at in chunk.parts(parts, each).items():
                     u = chunk.u_number[at]
                     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
                     wide = (chunk.total[chunk.u[at[first]]] * SPLIT >= max(each, 1)).astype(np.int64)
@@ -356,11 +353,11 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 5
             keys = batch.column("keys")
             for i, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
                 chunk = Chunk(row, texts)
-                order, ends = chunk.parts(pair_parts, each)
-                n, full = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+                asked_of = chunk.parts(pair_parts, each)
+                n, full = np.zeros(len(chunk.pairs), np.int64), np.zeros(len(chunk.pairs), bool)
                 numbers, weights = [wide_u], [backoff(wide_sums, discounts)]
                 for part in row["answers"]:
-                    at = order[ends[part["part"]] : ends[part["part"] + 1]]
+                    at = asked_of[part["part"]]
                     told = unpack(part["ns"])
                     n[at], full[at] = told >> 1, (told & 1).astype(bool)
                     asked = unpack(part["us"])
