@@ -28,9 +28,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 #: Distinct lines in a shard, which fixes how much a task holds (about 5 MB).
 SHARD_LINES = 200_000
+#: Repeated ids up to so many are sent to every executor, beyond that joined.
+REPEATED = 100_000
 #: Bits of a level for each hash that comes to it.
 GAMMA = 2.0
-INDEX = "shard long, copy long, seed long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary"
+INDEX = "shard long, copies long, seed long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary"
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -95,7 +97,7 @@ def probes(df: DataFrame, text: str, doc: str, min_chars: int) -> DataFrame:
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """One row of arrays for each copy of a shard; ``counts (h1, h2, n, keeper)``."""
+    """One row of arrays for each shard; ``counts (shard, copies, h1, h2, n, keeper)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "shard"):
@@ -111,11 +113,8 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
             count = np.minimum(group.column("n").to_numpy()[order], 2**32 - 1).astype(np.uint32)
             keeper = group.column("keeper").to_numpy(zero_copy_only=False)[order]
             packed = [np.packbits(found.bits).tobytes(), prints.tobytes(), count.tobytes(), keeper.astype(np.int64).tobytes()]
-            copies = int(group.column("copies")[0].as_py())
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([group.column("shard")[0].as_py()] * copies, pa.int64()), "copy": pa.array(range(copies), pa.int64()), "seed": pa.array([seed] * copies, pa.int64()), "sizes": pa.array([found.sizes] * copies, pa.list_(pa.int64())),
-                **{k: pa.array([v] * copies, pa.binary()) for k, v in zip(("bits", "prints", "counts", "keepers"), packed, strict=True)},
-            })
+            row = [group.column("shard")[0].as_py(), group.column("copies")[0].as_py(), seed, found.sizes, *packed]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row[:3]), pa.array([row[3]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in row[4:])], ["shard", "copies", "seed", "sizes", "bits", "prints", "counts", "keepers"])
 
     dealt = counts.repartition("shard").sortWithinPartitions("shard").select("shard", "copies", "h1", "h2", "n", "keeper")
     return map_arrow(dealt, run, INDEX)
@@ -125,7 +124,8 @@ def probe(index: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
     """``(doc, h1)`` of the hashes that a document loses.
 
     Arrays and probes meet by (shard, copy); within a task the arrays of a shard
-    come first, and the probes stream past them.
+    come first, and the probes stream past them. A shard's arrays are multiplied
+    row by row, never in one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def probe(index: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([docs.filter(pa.array(loses)), pa.array(h1[loses].view(np.int64))], ["doc", "h1"])
 
     none = [F.lit(None).cast(kind).alias(c) for c, kind in (("seed", "long"), ("sizes", "array<long>"), ("bits", "binary"), ("prints", "binary"), ("counts", "binary"), ("keepers", "binary"))]
-    arrays = index.select("shard", "copy", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("doc"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "seed", "sizes", "bits", "prints", "counts", "keepers")
+    arrays = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("shard", "copy", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("doc"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "seed", "sizes", "bits", "prints", "counts", "keepers")
     asked = rows.select("shard", "copy", F.lit(1).alias("turn"), "doc", "h1", "h2", *none)
     dealt = arrays.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "turn")
     return map_arrow(dealt, run, "doc long, h1 long")
@@ -166,9 +166,14 @@ def probe(index: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
 def repeated(df: DataFrame, text: str = "text", doc: str = "doc_id", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``(doc, h1)``: line hashes that each document loses."""
     spark = df.sparkSession
-    shards = F.lit(1).cast("long")
     found = probes(df, text, doc, min_chars)
-    counts = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")), "line-counts")
+    again = materialize(df.groupBy(df[doc].alias("doc")).count().where("count > 1 AND doc IS NOT NULL").select("doc"), "line-repeated-ids")
+    few = again.limit(REPEATED + 1).count()
+    once = found
+    if few:  # rows of one id are one document
+        ids = F.broadcast(again) if few <= REPEATED else again
+        once = found.join(ids, "doc", "left_anti").unionByName(found.join(ids, "doc", "left_semi").distinct())
+    counts = materialize(once.groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.max("doc").alias("keeper")), "line-counts")
     total = counts.count()
     number = max(shuffle_partitions(spark), -(-total // SHARD_LINES))
     shards = F.pmod(F.xxhash64("h2", "h1"), F.lit(number))
@@ -188,15 +193,22 @@ def deduplicate(df: DataFrame, text: str = "text", doc: str = "doc_id", min_char
 
     A text is split at newlines (null or empty: one empty line). A line's key is
     the line without ASCII white space at both ends, A-Z in lower case. Keys of
-    ``min_chars`` code points or more that ``min_docs`` rows or more hold are
+    ``min_chars`` code points or more that ``min_docs`` documents or more hold are
     dropped, except from the rows of the greatest ``doc`` holding it; a line
     repeated within a document counts once but is kept or dropped throughout.
-    Repeated rows count as documents of their own, and those of the greatest id
-    all keep the line. Rows with a null id lose such lines. Columns of ``df`` by
-    other names are passed on; an empty table gives an empty one.
+    Rows of one id count as one document but keep their own texts, and those of
+    the greatest id all keep the line. Rows with a null id count as no document
+    and lose such lines. Columns of ``df`` by other names are passed on; an empty
+    table gives an empty one.
     """
-    lost = repeated(df, text, doc, min_chars, min_docs).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias("__lost"))
-    joined = df.join(lost, F.col("__doc").eqNullSafe(df[doc]), "left")
+    found = repeated(df, text, doc, min_chars, min_docs)
+    lost = found.where("doc IS NOT NULL").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias("__lost"))
+    if df.where(df[doc].isNull()).head(1):  # rows without an id meet what they lose by their text
+        bare = probes(df.where(df[doc].isNull()).withColumn("__text", F.xxhash64(text)), text, "__text", min_chars).join(found.where("doc IS NULL").select("h1").distinct(), "h1", "left_semi")
+        lost = lost.withColumn("__hash", F.lit(0).cast("long")).unionByName(bare.groupBy(F.lit(None).cast(dict(df.dtypes)[doc]).alias("__doc"), F.col("doc").alias("__hash")).agg(F.collect_set("h1").alias("__lost")))
+        joined = df.join(lost, F.col("__doc").eqNullSafe(df[doc]) & (F.col("__hash") == F.when(df[doc].isNull(), F.xxhash64(df[text])).otherwise(F.lit(0))), "left")
+    else:
+        joined = df.join(lost, F.col("__doc") == df[doc], "left")
     lines = F.split(F.coalesce(df[text], F.lit("")), "\n", -1)
     stays = F.filter(lines, lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("__lost"), F.xxhash64(line_key(x)))))
     kept = F.when(F.col("__lost").isNull(), lines).otherwise(stays)

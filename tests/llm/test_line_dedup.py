@@ -19,7 +19,7 @@ def brute(rows, min_chars=40, min_docs=5):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
                 held[k].append(i)
-    common = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(v) >= min_docs}
+    common = {k: max(set(v) - {None}) for k, v in held.items() if len(set(v) - {None}) >= min_docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -45,9 +45,30 @@ def test_like_brute_force(spark):
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.deduplicate(df).collect()), key=str)
     assert got == brute(rows)
     assert any(r[2] for r in got)
+    assert any(r[0] is None and r[2] for r in got) and any(r[0] is None and not r[2] for r in got)
     assert line_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_one_document(spark):
+    """As the query's SQL has it: five rows of three ids are three documents."""
+    line = "a line that is longer than forty characters, at least"
+    rows = [(1, line)] * 3 + [(2, line), (3, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.deduplicate(df).collect())
+    assert got == [(1, 1, 0)] * 3 + [(2, 1, 0), (3, 1, 0)]
+    more = df.unionByName(spark.createDataFrame([(4, line), (5, line)], df.schema))
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.deduplicate(more).collect()) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (5, 0)]
+
+
+def test_a_hot_shard_is_copied(spark, monkeypatch):
+    """A line that most documents hold: its shard is met by several tasks."""
+    lines = ["a line that nearly every document has, word for word", *(f"line number {i} of a document, longer than forty" for i in range(40))]
+    rows = [(i, lines[0] + "\n" + lines[1 + i % 40]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.deduplicate(df).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_query_like_sql(spark):
     path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
     con = duckdb.connect()
