@@ -8,7 +8,8 @@ paths differ, and drops a pair of nodes once they exceed the budget.
 To deal the trie out, it is built four times, each time with another quarter of
 the bits on top: as at most three bits differ, one quarter of any linked pair is
 equal, so both stand below the same node at depth 16 of one of the four tries.
-Subtrees at that depth are what tasks get (8 bytes a fingerprint). A task returns
+Subtrees at that depth are what tasks get, one after the other (8 bytes a
+fingerprint are held). A task returns
 a spanning forest of the links it found, never the pairs themselves.
 """
 
@@ -128,28 +129,36 @@ def link_edges(distinct: DataFrame, budget: int = 3) -> DataFrame:
         raise ValueError(f"a budget of {budget} needs more than {QUARTERS} quarters")
     width = BITS // QUARTERS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: list[list[np.ndarray]] = [[] for _ in range(QUARTERS)]
-        for batch in batches:
-            q, f = batch.column("quarter").to_numpy(), batch.column("fingerprint").to_numpy().view(np.uint64)
-            for k in range(QUARTERS):
-                turns[k].append(f[q == k])
-        for k, parts in enumerate(turns):
-            if not parts:
-                continue
-            turn = np.uint64(k * width)
-            back = np.uint64((BITS - k * width) % BITS)
-            f = np.concatenate(parts)
-            rolled = (f << turn) | (f >> back) if k else f
-            a, b = trie_links(rolled, width, budget)
+    def walk(q: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in np.unique(q).tolist():
+            turn, back = np.uint64(k * width), np.uint64((BITS - k * width) % BITS)
+            mine = f[q == k]
+            a, b = trie_links((mine << turn) | (mine >> back) if k else mine, width, budget)
             a, b = ((v >> turn) | (v << back) if k else v for v in (a, b))
             for lo in range(0, len(a), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 65536].view(np.int64)) for v in (a, b)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # blocks come one after the other: whole ones are walked, the last is held
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("quarter", "block", "fingerprint")])
+            size += batch.num_rows
+            if size > FRONT:
+                q, block, f = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.flatnonzero((q[1:] != q[:-1]) | (block[1:] != block[:-1]))
+                cut = int(cut[-1]) + 1 if len(cut) else 0
+                yield from walk(q[:cut], f[:cut].view(np.uint64))
+                held, size = [[x[cut:] for x in (q, block, f)]], 0
+        if held:
+            q, _, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from walk(q, f.view(np.uint64))
+
     quarters = distinct.select("fingerprint", F.explode(F.array(*map(F.lit, range(QUARTERS)))).alias("quarter"))
     block = F.expr(f"shiftrightunsigned(fingerprint, {BITS - width} - {width} * quarter) & {(1 << width) - 1}")
-    dealt = quarters.withColumn("block", block).repartition("quarter", "block").select("quarter", "fingerprint")
-    return map_arrow(dealt, run, "a long, b long")
+    dealt = quarters.withColumn("block", block).repartition("quarter", "block").sortWithinPartitions("quarter", "block")
+    return map_arrow(dealt.select("quarter", "block", "fingerprint"), run, "a long, b long")
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
