@@ -36,18 +36,37 @@ def row_is_not_null(*columns: Column) -> Column:
 
 
 def glob(pattern: str) -> str:
-    """``*``, ``?`` and ``[a-z]`` of a name pattern as an anchored regular
-    expression; an unclosed class is an error."""
+    """``*``, ``?``, ``[a-z]`` and ``[^a-z]`` of a name pattern as an anchored
+    regular expression; a backslash takes what follows as it is. An unclosed class
+    and a backslash at the end are errors."""
     out, i = [], 0
+
+    def escaped(at: int) -> str:
+        if at + 1 >= len(pattern):
+            raise ValueError(f"backslash at the end of {pattern!r}")
+        return re.escape(pattern[at + 1])
+
     while i < len(pattern):
         c = pattern[i]
-        if c == "[":
-            end = pattern.find("]", i + 2)
-            if end < 0:
+        if c == "\\":
+            out.append(escaped(i))
+            i += 1
+        elif c == "[":
+            inner, i = ["["], i + 1
+            if pattern[i : i + 1] == "^":
+                inner.append("^")
+                i += 1
+            first = i
+            while i < len(pattern) and (pattern[i] != "]" or i == first):
+                if pattern[i] == "\\":
+                    inner.append(escaped(i))
+                    i += 1
+                else:
+                    inner.append("\\" + pattern[i] if pattern[i] in "[]&^" else pattern[i])
+                i += 1
+            if i >= len(pattern):
                 raise ValueError(f"unclosed class in {pattern!r}")
-            inner = pattern[i + 1 : end]
-            out.append("[" + ("^" + inner[1:] if inner[0] in "^!" else inner).replace("\\", "\\\\") + "]")
-            i = end
+            out.append("".join(inner) + "]")
         else:
             out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
         i += 1
@@ -82,7 +101,12 @@ def type_name(name: Column, own_schema: Column | None = None, aliases: Mapping[s
     base = F.regexp_extract(low, r"^([^\(\[]*)", 1)
     rest = F.regexp_replace(F.substr(low, F.length(base) + 1), r"\s+", "")
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.concat(F.coalesce(known[F.trim(base)], F.trim(base)), rest)
+    full = F.coalesce(known[F.trim(base)], F.trim(base))
+    # a precision stands before the zone: timestamp(3) with time zone
+    zoned = F.regexp_extract(full, r"^(time|timestamp)( with(?:out)? time zone)$", 1) != ""
+    digits = F.regexp_extract(rest, r"^(\(\d+\))", 1)
+    placed = F.concat(F.regexp_extract(full, r"^(\w+)", 1), digits, F.regexp_replace(full, r"^\w+", ""), F.substr(rest, F.length(digits) + 1))
+    return F.when(zoned, placed).otherwise(F.concat(full, rest))
 
 
 def ordered(column: str, descending: bool = False, collation: str | None = None) -> Column:

@@ -17,7 +17,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """``default`` and ``generated`` are Spark SQL expressions; ``renamed_from`` names the column it was."""
+    """``default`` and ``generated`` are Spark SQL expressions; ``renamed_from`` names
+    the column it was; ``labels`` are those of its enum."""
 
     name: str
     type: str
@@ -25,6 +26,8 @@ class ColumnSpec:
     default: str | None = None
     generated: str | None = None
     renamed_from: str | None = None
+    domain: DomainSpec | None = None
+    labels: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,16 @@ class DomainSpec:
     checks: tuple[Rule, ...] = ()
 
 
+@dataclass(frozen=True)
+class ExclusionSpec:
+    """No two rows equal on ``equal`` may overlap in ``[lo, hi)``."""
+
+    name: str
+    equal: tuple[str, ...]
+    lo: str
+    hi: str
+
+
 @dataclass(frozen=True)
 class PolicySpec:
     """A row policy. No roles means everyone; a missing ``check`` falls back to ``using``."""
@@ -101,6 +114,7 @@ class TableContract:
     checks: tuple[Rule, ...] = ()
     references: tuple[ReferenceSpec, ...] = ()
     policies: tuple[PolicySpec, ...] = field(default=())
+    exclusions: tuple[ExclusionSpec, ...] = ()
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -111,4 +125,12 @@ class TableContract:
         keys = tuple(KeySpec(**k | {"columns": tuple(k["columns"])}) for k in x.get("keys", ()))
         refs = tuple(ReferenceSpec(**r | {"columns": tuple(r["columns"]), "parent_columns": tuple(r["parent_columns"])}) for r in x.get("references", ()))
         policies = tuple(PolicySpec(**p | {"roles": tuple(p.get("roles", ()))}) for p in x.get("policies", ()))
-        return cls(x["name"], tuple(ColumnSpec(**c) for c in x["columns"]), keys, tuple(Rule(**r) for r in x.get("checks", ())), refs, policies)
+        exclusions = tuple(ExclusionSpec(**e | {"equal": tuple(e["equal"])}) for e in x.get("exclusions", ()))
+
+        def column(c: dict) -> ColumnSpec:
+            domain = c.get("domain")
+            if domain is not None:
+                domain = DomainSpec(**domain | {"checks": tuple(Rule(**r) for r in domain.get("checks", ()))})
+            return ColumnSpec(**c | {"domain": domain, "labels": tuple(c.get("labels", ()))})
+
+        return cls(x["name"], tuple(map(column, x["columns"])), keys, tuple(Rule(**r) for r in x.get("checks", ())), refs, policies, exclusions)

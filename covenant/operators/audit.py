@@ -6,6 +6,7 @@ scan where rules allow it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -83,10 +84,33 @@ def domain(df: DataFrame, spec: DomainSpec, columns: Sequence[str]) -> DataFrame
     for c in columns:
         if spec.not_null:
             rules.append(Rule(f"{c}.not_null", f"`{c}` IS NOT NULL"))
-        rules += [Rule(f"{c}.{r.name}", r.expression.replace("VALUE", f"`{c}`")) for r in spec.checks]
+        rules += [Rule(f"{c}.{r.name}", of_value(r.expression, c), r.validated) for r in spec.checks]
     return check(df, rules)
 
 
+def of_value(expression: str, column: str) -> str:
+    """A domain's rule for one column: the word VALUE, outside of literals and
+    quoted names, stands for the column."""
+    return re.sub(r"'(?:[^']|'')*'|`[^`]*`|\bVALUE\b", lambda m: f"`{column}`" if m[0].upper() == "VALUE" else m[0], expression, flags=re.I)
+
+
+def column_rules(contract: TableContract) -> list[Rule]:
+    """What a contract's columns demand of a row: not null, domain, labels and
+    generated values, named ``column.rule``."""
+    out = []
+    for c in contract.columns:
+        if c.not_null or c.domain is not None and c.domain.not_null:
+            out.append(Rule(f"{c.name}.not_null", f"`{c.name}` IS NOT NULL"))
+        if c.domain is not None:
+            out += [Rule(f"{c.name}.{r.name}", of_value(r.expression, c.name), r.validated) for r in c.domain.checks]
+        if c.labels:
+            listed = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in c.labels)
+            out.append(Rule(f"{c.name}.labels", f"`{c.name}` IN ({listed})"))
+        if c.generated is not None:
+            out.append(Rule(f"{c.name}.generated", f"`{c.name}` <=> ({c.generated})"))
+    return out
+
+
 def enum_outside(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(list(labels)))
 
@@ -165,15 +189,24 @@ def summary(found: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def audit(df: DataFrame, contract: TableContract, key: str, parents: Mapping[str, DataFrame]) -> DataFrame:
-    """All of a contract's rules as one `summary`."""
+def audit(df: DataFrame, contract: TableContract, key: str, parents: Mapping[str, DataFrame], whole: bool = False) -> DataFrame:
+    """A contract's keys, references and checks as one `summary`; with ``whole``
+    its exclusions and what its columns demand too. Checks and demands are counted
+    in one scan, the others each by a plan of its own. Rules that are declared not
+    validated are left out, as old rows need not meet them."""
     found: dict[str, tuple[DataFrame, str]] = {}
     for k in contract.keys:
         rows = primary_key(df, k.columns) if k.primary else duplicate_keys(df, k)
         found[k.name] = (rows, f"`{k.columns[0]}`" if k.columns[0] in rows.columns else rows.columns[0])
     for r in contract.references:
         found[r.name] = (foreign_key(df, r.columns, parents[r.parent], r.parent_columns), f"`{key}`")
-    counted = df.agg(*[F.struct(F.count_if(fails(F.expr(r.expression))).alias("violations"), F.min(F.when(fails(F.expr(r.expression)), F.col(key).cast("string"))).alias("sample")).alias(r.name) for r in contract.checks])
-    checks = counted.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"`{r.name}`.violations"), F.col(f"`{r.name}`.sample")) for r in contract.checks])).alias("x")).select("x.*") if contract.checks else None
-    rest = summary(found) if found else None
-    return rest.unionByName(checks) if rest is not None and checks is not None else rest if checks is None else checks
+    for e in contract.exclusions if whole else ():
+        found[e.name] = (exclusion_rows(df, key, e.equal, e.lo, e.hi), f"`{key}`")
+    rules = [r for r in [*(column_rules(contract) if whole else ()), *contract.checks] if r.validated]
+    parts = [summary(found)] if found else []
+    if rules:
+        counted = df.agg(*[F.struct(F.count_if(fails(F.expr(r.expression))).alias("violations"), F.min(F.when(fails(F.expr(r.expression)), F.col(key).cast("string"))).alias("sample")).alias(f"r{i}") for i, r in enumerate(rules)])
+        parts.append(counted.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"r{i}.violations"), F.col(f"r{i}.sample")) for i, r in enumerate(rules)])).alias("x")).select("x.*"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rule string, violations long, sample string")
+    return reduce(DataFrame.unionByName, parts)

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 def keyed_diff(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(*key, change, *old_c, *new_c)`` with change create, drop, alter or same.
 
-    Rows meet in one full outer join by a null-safe key. A hash of the other
-    columns is compared before the columns, so equal rows cost one comparison.
+    Rows meet in one full outer join by a null-safe key; the other columns are
+    compared null-safe.
     """
     rest = [c for c in desired.columns if c not in key]
-    side = lambda df, p: df.select(*[F.col(c).alias(f"__{p}_{c}") for c in key], *[F.col(c).alias(f"{p}_{c}") for c in rest], F.xxhash64(*rest, F.lit(0)).alias(f"__{p}_hash"), F.lit(True).alias(f"__{p}"))
+    side = lambda df, p: df.select(*[F.col(c).alias(f"__{p}_{c}") for c in key], *[F.col(c).alias(f"{p}_{c}") for c in rest], F.lit(True).alias(f"__{p}"))
     old, new = side(current, "old"), side(desired, "new")
     on = reduce(lambda a, b: a & b, [F.col(f"__old_{c}").eqNullSafe(F.col(f"__new_{c}")) for c in key])
     both = old.join(new, on, "full_outer")
-    same = (F.col("__old_hash") == F.col("__new_hash")) & reduce(lambda a, b: a & b, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in rest], F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in rest], F.lit(True))
     change = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), "drop").when(same, "same").otherwise("alter")
     keys = [F.when(F.col("__new").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(f"__old_{c}")).alias(c) for c in key]
     return both.select(*keys, change.alias("change"), *[f"old_{c}" for c in rest], *[f"new_{c}" for c in rest])
@@ -29,6 +29,8 @@ def keyed_diff(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> Da
 def attribute_diff(diff: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(*key, attribute, old, new)``: a row per changed attribute of an alter."""
     attributes = [c.removeprefix("new_") for c in diff.columns if c.startswith("new_")]
+    if not attributes:
+        return diff.where("false").select(*key, *(F.lit(None).cast("string").alias(c) for c in ("attribute", "old", "new")))
     parts = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"old_{a}").cast("string").alias("old"), F.col(f"new_{a}").cast("string").alias("new"), (~F.col(f"old_{a}").eqNullSafe(F.col(f"new_{a}"))).alias("changed")) for a in attributes])
     return diff.where("change = 'alter'").select(*key, F.explode(parts).alias("x")).where("x.changed").select(*key, "x.attribute", "x.old", "x.new")
 
@@ -36,27 +38,41 @@ def attribute_diff(diff: DataFrame, key: Sequence[str]) -> DataFrame:
 def resolve_renames(current: DataFrame, desired: DataFrame, renames: DataFrame, key: str = "name", scope: Sequence[str] = ("db_id",)) -> DataFrame:
     """``renames (*scope, old, new, ordinal)`` with ``rename_status``.
 
-    ``applied``: the old name is there and the new one free, or freed by a rename
-    of lower ordinal; ``noop``: same name, or old gone and new there;
-    ``missing_source``; ``dest_exists``. ``desired`` only says which renames are
-    asked for: a new name it lacks is ignored.
+    Within a scope renames are taken one after the other, by ordinal (ties by old
+    and new name), each against the names that those before it left: ``noop`` for
+    the same name, or where the old name is gone and the new one there;
+    ``missing_source``; ``dest_exists``; ``cross_schema`` where ``renames`` has
+    columns ``old_schema`` and ``new_schema`` and they differ; else ``applied``,
+    which frees the old name and takes the new one. ``desired`` only says which
+    renames are asked for: a new name it lacks is ignored. What one scope renames
+    is one row, folded by built-in functions.
     """
     scope = list(scope)
-    names = current.select(*scope, F.col(key).alias("__name"), F.lit(True).alias("__there")).distinct()
     asked = renames.join(desired.select(*scope, F.col(key).alias("new")).distinct(), [*scope, "new"], "left_semi")
-    has_old = names.withColumnsRenamed({"__name": "old", "__there": "has_old"})
-    has_new = names.withColumnsRenamed({"__name": "new", "__there": "has_new"})
-    freed = renames.select(*scope, F.col("old").alias("new"), F.col("ordinal").alias("freed_at"))
-    rows = asked.join(has_old, [*scope, "old"], "left").join(has_new, [*scope, "new"], "left").join(freed, [*scope, "new"], "left")
-    free = F.col("has_new").isNull() | (F.col("freed_at") < F.col("ordinal"))
-    status = (
-        F.when(F.col("old") == F.col("new"), "noop")
-        .when(F.col("has_old").isNull() & F.col("has_new").isNotNull(), "noop")
-        .when(F.col("has_old").isNull(), "missing_source")
-        .when(free, "applied")
-        .otherwise("dest_exists")
-    )
-    return rows.select(*scope, "old", "new", "ordinal", status.alias("rename_status"))
+    crossed = ~F.col("old_schema").eqNullSafe(F.col("new_schema")) if {"old_schema", "new_schema"} <= set(renames.columns) else F.lit(False)
+    names = current.select(*scope, F.col(key).alias("__name"), F.lit(True).alias("__there")).distinct()
+    touched = asked.select(*scope, F.explode(F.array("old", "new")).alias("__name")).distinct().join(names, [*scope, "__name"], "left")
+    there = touched.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("__name", F.coalesce("__there", F.lit(False))))).alias("__names"))
+    turns = asked.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("ordinal", "old", "new", crossed.alias("crossed")))).alias("__turns"))
+
+    def step(state: Column, x: Column) -> Column:
+        has_old, has_new = state["names"][x["old"]], state["names"][x["new"]]
+        status = (
+            F.when((x["old"] == x["new"]) | (~has_old & has_new), "noop")
+            .when(~has_old, "missing_source")
+            .when(has_new, "dest_exists")
+            .when(x["crossed"], "cross_schema")
+            .otherwise("applied")
+        )
+        after = F.map_concat(F.map_filter(state["names"], lambda k, _: ~k.isin(x["old"], x["new"])), F.map_from_arrays(F.array(x["old"], x["new"]), F.array(F.lit(False), F.lit(True))))
+        # a rename to the same name changes nothing, and would repeat a key of the map
+        names = F.when(status == "applied", after).otherwise(state["names"])
+        return F.struct(names.alias("names"), F.concat(state["told"], F.array(status)).alias("told"))
+
+    none = F.struct(F.col("__names").alias("names"), F.array().cast("array<string>").alias("told"))
+    folded = turns.join(there, scope).withColumn("__told", F.aggregate("__turns", none, step, lambda state: state["told"]))
+    rows = folded.select(*scope, F.explode(F.arrays_zip("__turns", "__told")).alias("x"))
+    return rows.select(*scope, "x.__turns.old", "x.__turns.new", "x.__turns.ordinal", F.col("x.__told").alias("rename_status"))
 
 
 def apply_renames(current: DataFrame, resolved: DataFrame, key: str = "name", scope: Sequence[str] = ("db_id",)) -> DataFrame:
@@ -139,6 +155,44 @@ def change_report(diff: DataFrame, key: Sequence[str], kind: str, allow_drops: b
     return rows.select(*key, F.lit(kind).alias("kind"), action.alias("action"), (~drop | F.lit(allow_drops)).alias("executable"))
 
 
+#: Fixed order of phases in which changes are carried out.
+PHASES = {"drop_reference": 0, "drop_view": 1, "create": 2, "alter": 2, "persist": 3, "drop": 4, "add_reference": 5, "create_view": 6}
+
+
+def full_report(current: Mapping[str, DataFrame], desired: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], allowed: Sequence[str] = (), ignored: Mapping[str, DataFrame] | None = None, scope: str = "db_id") -> DataFrame:
+    """``(scope, kind, object, attribute, action, executable, old, new, phase)``
+    over all kinds of two snapshots.
+
+    An object is named by its key without the scope, dotted. Created and dropped
+    objects are a row, altered ones a row per attribute. Drops of kinds that are
+    not ``allowed`` are ``skipped``. Objects whose key is in ``ignored`` are
+    reported once as ``ignored``, whatever changed.
+    """
+    parts = []
+    for kind, key in keys.items():
+        shared = [c for c in current[kind].columns if c in desired[kind].columns]
+        found = keyed_diff(current[kind].select(*shared), desired[kind].select(*shared), key)
+        name = F.concat_ws(".", *[c for c in key if c != scope])
+        out = None
+        if ignored and kind in ignored:
+            marks = ignored[kind].select(*key).distinct()
+            out = found.join(marks, list(key), "left_semi").select(scope, F.lit(kind).alias("kind"), name.alias("object"), F.lit(None).cast("string").alias("attribute"), F.lit("ignored").alias("action"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
+            found = found.join(marks, list(key), "left_anti")
+        whole = found.where("change IN ('create', 'drop')").select(scope, F.lit(kind).alias("kind"), name.alias("object"), F.lit(None).cast("string").alias("attribute"), F.when(F.col("change") == "create", "create").otherwise("drop" if kind in allowed else "skipped").alias("action"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
+        altered = attribute_diff(found, key).select(scope, F.lit(kind).alias("kind"), name.alias("object"), "attribute", F.lit("alter").alias("action"), "old", "new")
+        parts += [p for p in (out, whole, altered) if p is not None]
+    rows = reduce(DataFrame.unionByName, parts)
+    order = F.create_map(*[F.lit(x) for pair in PHASES.items() for x in pair])
+    turn = F.when(F.col("kind") == "view", F.concat("action", F.lit("_view"))).when(F.col("kind") == "reference", F.when(F.col("action") == "drop", "drop_reference").otherwise("add_reference")).otherwise(F.col("action"))
+    executable = F.col("action").isin("create", "alter", "drop")
+    return rows.withColumn("executable", executable).withColumn("phase", F.when(executable, F.coalesce(order[turn], order[F.col("action")])))
+
+
+def report_counts(report: DataFrame) -> DataFrame:
+    """``(kind, action, n)``: what a report holds, skipped and ignored objects too."""
+    return report.groupBy("kind", "action").agg(F.count("*").alias("n"))
+
+
 def policy_diff(current: DataFrame, desired: DataFrame, key: Sequence[str] = ("table", "name")) -> DataFrame:
     """Policies: a changed command or kind, or a clause taken away, recreates;
     other changes alter. Empty roles equal ``public``."""
@@ -170,6 +224,26 @@ def enum_changes(current: DataFrame, desired: DataFrame, uses: DataFrame, by: Se
     return changed.select(*by, value, F.when(F.col("__old").isNull(), "added").otherwise("rejected").alias("change"), F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
 
 
+def enum_verdicts(current: DataFrame, desired: DataFrame, by: Sequence[str], renames: DataFrame | None = None, value: str = "label", ordinal: str = "ordinal") -> DataFrame:
+    """``(*by, verdict)`` for enums on both sides: ``reordered`` and ``removed``
+    are rejected, ``added`` and ``same`` are not. ``renames (*by, old, new,
+    ordinal)`` are applied to the current labels first, each in its place; where
+    one cannot be, the verdict is ``bad_rename``."""
+    bad = None
+    if renames is not None:
+        names = current.select(*by, F.col(value).alias("name"))
+        told = resolve_renames(names, desired.select(*by, F.col(value).alias("name")), renames, scope=by)
+        bad = told.where("rename_status IN ('missing_source', 'dest_exists')").select(*by).distinct().withColumn("__bad", F.lit(True))
+        current = apply_renames(current, told, value, by)
+    both = current.select(*by, F.col(value), F.col(ordinal).alias("__cur")).join(desired.select(*by, F.col(value), F.col(ordinal).alias("__des")), [*by, value], "full_outer")
+    shared = both.groupBy(*by).agg(F.count("__cur").alias("__had"), F.count("__des").alias("__has"), F.max(F.col("__cur").isNotNull() & F.col("__des").isNull()).alias("__removed"), F.max(F.col("__cur").isNull()).alias("__added")).where("__had > 0 AND __has > 0")
+    order = is_reordered(current, desired, by, value, ordinal)
+    rows = shared.join(order, list(by), "left")
+    rows = rows.join(bad, list(by), "left") if bad is not None else rows.withColumn("__bad", F.lit(None).cast("boolean"))
+    verdict = F.when(F.col("__bad"), "bad_rename").when(F.col("__removed"), "removed").when(F.col("reordered"), "reordered").when(F.col("__added"), "added").otherwise("same")
+    return rows.select(*by, verdict.alias("verdict"))
+
+
 def swap_actions(diff: DataFrame, key: Sequence[str], alterable: Column, allow_drops: bool) -> DataFrame:
     """``(*key, action)`` of altered objects: ``alter`` in place where it can be
     done so, else ``recreate``, which needs drops to be allowed, or ``skipped``."""

@@ -53,9 +53,11 @@ def rename_columns(df: DataFrame, renames: Sequence[tuple[str, str]]) -> DataFra
 
 
 def cast_value(column: Column, from_type: str, to_type: str) -> Column:
-    """A cast that rounds a fraction before it becomes a whole number."""
-    whole = to_type in ("smallint", "int", "bigint", "tinyint")
-    return (F.rint(column) if whole and from_type in ("double", "float") else column).cast(to_type)
+    """A cast that rounds a fraction before it becomes a whole number: decimals
+    half away from zero, floating numbers half to even."""
+    if to_type in ("smallint", "int", "bigint", "tinyint"):
+        column = F.rint(column) if from_type in ("double", "float") else F.round(column) if from_type.startswith("decimal") else column
+    return column.cast(to_type)
 
 
 def add_column(df: DataFrame, name: str, kind: str, default: str | None = None, not_null: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ Rounds run over all databases at once; each is written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 from covenant.shared import stored
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(db_id, node, level)``: 0 for nodes without dependencies, else one more
     than the highest they depend on; null for members of cycles and nodes behind
-    them. Edges to unknown nodes and to the node itself do not count. More than
-    ``max_rounds`` levels are an error."""
+    them. Edges to unknown nodes and to the node itself do not count. The
+    rounds go on until no node is free; more than ``max_rounds`` levels, if it is
+    given, are an error."""
     known = nodes.select("db_id", "node").distinct()
     real = edges.where("src <> dst").join(known.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi").join(known.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").distinct()
     left, open_edges, placed = stored(known, "graph-left"), stored(real.select("db_id", "src", "dst"), "graph-edges"), None
-    for n in range(max_rounds + 1):
+    for n in count():
         blocked = open_edges.select("db_id", F.col("src").alias("node")).distinct()
         front = stored(left.join(blocked, ["db_id", "node"], "left_anti").withColumn("level", F.lit(n)), "graph-front")
         if front.isEmpty():
@@ -49,16 +51,17 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels(ahead, back).where("level IS NULL").select("db_id", "node")
 
 
-def impact(edges: DataFrame, changed: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def impact(edges: DataFrame, changed: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(db_id, node, distance)``: everything that depends on a changed node."""
     seen = front = stored(changed.select("db_id", "node").distinct().withColumn("distance", F.lit(0)), "graph-seen")
-    for n in range(1, max_rounds):
+    for n in count(1):
+        if n == max_rounds:
+            raise RuntimeError(f"impact did not end in {max_rounds} rounds")
         step = edges.join(front.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"]).select("db_id", F.col("src").alias("node")).distinct()
         front = stored(step.join(seen, ["db_id", "node"], "left_anti").withColumn("distance", F.lit(n)), "graph-front")
         if front.isEmpty():
             return seen
         seen = stored(seen.unionByName(front), "graph-seen")
-    raise RuntimeError(f"impact did not end in {max_rounds} rounds")
 
 
 def reference_edges(columns: DataFrame, references: DataFrame, objects: DataFrame) -> DataFrame:
@@ -86,15 +89,22 @@ def change_order(changes: DataFrame, position: DataFrame) -> DataFrame:
     return joined.withColumn("phase", phase).withColumn("pos", signed).withColumn("step", F.row_number().over(w))
 
 
-def propagate_delete(deleted: DataFrame, key: str, child: DataFrame, column: str, action: str) -> Mapping[str, DataFrame]:
+def propagate_delete(deleted: DataFrame, key: str, child: DataFrame, column: str, action: str, default: str | None = None) -> Mapping[str, DataFrame]:
     """What a delete of parent keys does to a child: ``kept`` rows (with nulls or
-    defaults set), rows ``deleted`` in turn, and ``violations`` that forbid it."""
+    the ``default`` expression set), rows ``deleted`` in turn, and ``violations``
+    that forbid it. Actions: cascade, set null, set default, restrict, no action;
+    another is an error. A default that is itself among the deleted keys is a
+    violation, null passes."""
+    if action not in ("cascade", "set null", "set default", "restrict", "no action"):
+        raise ValueError(f"unknown action {action!r}")
     keys = deleted.select(F.col(key).alias("__gone")).distinct()
     hit = child.join(keys, child[column] == F.col("__gone"), "left_semi")
     missed = child.join(keys, child[column] == F.col("__gone"), "left_anti")
     none = child.limit(0)
     if action == "cascade":
         return {"kept": missed, "deleted": hit, "violations": none}
-    if action == "set null":
-        return {"kept": missed.unionByName(hit.withColumn(column, F.lit(None).cast(dict(child.dtypes)[column]))), "deleted": none, "violations": none}
+    if action in ("set null", "set default"):
+        value = F.lit(None) if action == "set null" or default is None else F.expr(default)
+        put = hit.withColumn(column, value.cast(dict(child.dtypes)[column]))
+        return {"kept": missed.unionByName(put), "deleted": none, "violations": put.join(keys, put[column] == F.col("__gone"), "left_semi")}
     return {"kept": child, "deleted": none, "violations": hit}

@@ -57,9 +57,17 @@ def route_many(df: DataFrame, column: str, bounds: DataFrame, width: float) -> D
 
 
 def overlapping_bounds(bounds: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ranges ``(*by, name, start, end)`` that begin before an earlier one ends."""
-    w = Window.partitionBy(*by).orderBy("start", "name").rowsBetween(Window.unboundedPreceding, -1)
-    return bounds.withColumn("taken_to", F.max("end").over(w)).where(F.col("start") < F.col("taken_to"))
+    """Ranges ``(*by, name, start, end)`` that begin before an earlier one ends;
+    a null start or end is open. ``taken_to`` is null where that is open."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("start"), "name").rowsBetween(Window.unboundedPreceding, -1)
+    open_end = F.coalesce(F.max(F.col("end").isNull()).over(w), F.lit(False))
+    marked = bounds.withColumn("__first", F.count("*").over(w) == 0).withColumn("__open", open_end).withColumn("taken_to", F.when(~open_end, F.max("end").over(w)))
+    return marked.where(~F.col("__first") & (F.col("__open") | F.col("start").isNull() | (F.col("start") < F.col("taken_to")))).drop("__first", "__open")
+
+
+def repeated_defaults(bounds: DataFrame, by: Sequence[str], default: str = "is_default") -> DataFrame:
+    """``(*by, defaults)``: parents with more than one default partition."""
+    return bounds.where(F.col(default)).groupBy(*by).agg(F.count("*").alias("defaults")).where("defaults > 1")
 
 
 def repeated_values(lists: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +12,16 @@ from covenant.operators.diff import result_difference
 from covenant.shared import shared_dir
 
 
-def view_order(views: Mapping[str, str]) -> list[str]:
-    """Names with those they mention first, ties by name; a cycle is an error."""
-    needs = {v: {w for w in views if w != v and re.search(rf"\b{re.escape(w)}\b", q)} for v, q in views.items()}
+#: String literals and comments, where a name means no view.
+SILENT = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.S)
+
+
+def view_order(views: Mapping[str, str], uses: Mapping[str, Collection[str]] | None = None) -> list[str]:
+    """Names with those they use first, ties by name; a cycle is an error.
+    ``uses`` names what each view reads; a view that it lacks is taken to use
+    every view whose name its text mentions outside of literals."""
+    text = {v: SILENT.sub("''", q) for v, q in views.items()}
+    needs = {v: {w for w in views if w != v and (w in uses[v] if uses and v in uses else re.search(rf"\b{re.escape(w)}\b", text[v]))} for v in views}
     out: list[str] = []
     while needs:
         ready = sorted(v for v, n in needs.items() if not n - set(out))
@@ -25,17 +32,19 @@ def view_order(views: Mapping[str, str]) -> list[str]:
     return out
 
 
-def run_views(spark: SparkSession, tables: Mapping[str, DataFrame], views: Mapping[str, str], wanted: str) -> DataFrame:
-    """The result of a view: its definitions are registered in order, under names
-    of this call, so that calls do not disturb each other."""
+def run_views(spark: SparkSession, tables: Mapping[str, DataFrame], views: Mapping[str, str], wanted: str, uses: Mapping[str, Collection[str]] | None = None) -> DataFrame:
+    """The result of a view. Tables and the views before it become common table
+    expressions, so that Spark resolves the names and texts stay as they are."""
     tag = uuid.uuid4().hex[:8]
-    named = {n: f"{n}_{tag}" for n in [*tables, *views]}
-    word = re.compile(r"\b(" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")\b")
+    held = {n: f"{n}_{tag}" for n in tables}
     for n, df in tables.items():
-        df.createOrReplaceTempView(named[n])
-    for n in view_order(views):
-        spark.sql(word.sub(lambda m: named[m[0]], views[n])).createOrReplaceTempView(named[n])
-    return spark.table(named[wanted])
+        df.createOrReplaceTempView(held[n])
+    parts = [f"`{n}` AS (SELECT * FROM `{t}`)" for n, t in held.items()] + [f"`{n}` AS ({views[n]})" for n in view_order(views, uses)]
+    try:
+        return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM `{wanted}`")
+    finally:
+        for t in held.values():
+            spark.catalog.dropTempView(t)
 
 
 class MaterializedView:

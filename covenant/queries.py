@@ -369,9 +369,10 @@ RENAMES = "SELECT db_id, 't' || n AS old, CASE WHEN n % 3 = 0 THEN 't' || n || '
 
 
 @query(FLEET + f""", q AS ({RENAMES.format(t='t')} UNION ALL SELECT db_id, 'none' || n, 'x' || n, 1 FROM t WHERE n % 31 = 0)
+-- what stands at a new name here is at most asked to keep its name, so none is freed
 SELECT q.db_id, q.old, q.new, CASE WHEN q.old = q.new THEN 'noop' WHEN o.name IS NULL AND w.name IS NOT NULL THEN 'noop' WHEN o.name IS NULL THEN 'missing_source'
-  WHEN w.name IS NULL OR f.ordinal < q.ordinal THEN 'applied' ELSE 'dest_exists' END AS rename_status
-FROM q LEFT JOIN t o ON o.db_id = q.db_id AND o.name = q.old LEFT JOIN t w ON w.db_id = q.db_id AND w.name = q.new LEFT JOIN q f ON f.db_id = q.db_id AND f.old = q.new""")
+  WHEN w.name IS NULL THEN 'applied' ELSE 'dest_exists' END AS rename_status
+FROM q LEFT JOIN t o ON o.db_id = q.db_id AND o.name = q.old LEFT JOIN t w ON w.db_id = q.db_id AND w.name = q.new""")
 def j03_renames(spark, sf):
     t = snapshot.fleet(spark, sf)["tables"]
     asked = t.where("n % 13 < 3").select("db_id", F.expr("'t' || n AS old"), F.expr("CASE WHEN n % 3 = 0 THEN 't' || n || '_v2' WHEN n % 3 = 1 THEN 't' || (n + 1) ELSE 't' || n END AS new"), F.expr("cast(CASE WHEN n % 3 = 1 THEN 100 - n % 50 ELSE 10 + n % 50 END AS int) AS ordinal"))
@@ -958,3 +959,6 @@ def t01_streaming_gate(spark, sf):
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def t02_streaming_unique(spark, sf):
     return stream_gate.unique_stream(stream_gate.file_stream(spark, sf, "events"), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
+
+
+from covenant import queries_rules  # noqa: E402, F401  registers its queries here

@@ -60,9 +60,9 @@ CONTRACT_SCHEMA = "name string, kind string, definition string"
 def load_contracts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Objects of JSON files; a repeated definition is an error."""
     objects = spark.read.schema(CONTRACT_SCHEMA).json(list(paths))
-    double = [r.name for r in objects.groupBy("kind", "name").count().where("count > 1").orderBy("name").limit(20).collect()]
+    double = [r.name for r in objects.groupBy("kind", "name").count().where("count > 1").orderBy("name").limit(21).collect()]
     if double:
-        raise ValueError(f"defined more than once: {', '.join(double)}")
+        raise ValueError(f"defined more than once: {', '.join(double[:20])}{' and others' * (len(double) > 20)}")
     return objects
 
 
@@ -109,12 +109,36 @@ def ordered_columns(rows: DataFrame, by: Sequence[str], position: str, name: str
     return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(position, name))), lambda x: x[name]).alias("columns"))
 
 
-def role_sets(rows: DataFrame, by: Sequence[str], role: str = "role") -> DataFrame:
-    """Distinct sorted roles; none means ``public``."""
+def role_sets(rows: DataFrame, by: Sequence[str], role: str = "role", role_id: str | None = None) -> DataFrame:
+    """Distinct sorted roles; none means ``public``, and so does id 0 in the
+    column ``role_id``, beside the named ones."""
+    if role_id is not None:
+        rows = rows.withColumn(role, F.when(F.col(role_id) == 0, F.lit("public")).otherwise(F.col(role)))
     found = rows.groupBy(*by).agg(F.array_sort(F.collect_set(role)).alias("roles"))
     return found.withColumn("roles", F.when(F.size("roles") == 0, F.array(F.lit("public"))).otherwise(F.col("roles")))
 
 
+#: Fixed: the namespaces in which an object of a kind takes its name.
+NAMESPACES = {
+    "table": ("relation", "type"), "view": ("relation", "type"), "materialized view": ("relation", "type"),
+    "sequence": ("relation",), "index": ("relation",), "composite type": ("relation", "type"), "domain": ("type",), "enum": ("type",),
+    "primary key": ("relation", "constraint"), "unique": ("relation", "constraint"), "exclusion": ("relation", "constraint"),
+    "check": ("constraint",), "foreign key": ("constraint",), "attribute": ("attribute",), "enum value": ("enum value",),
+}
+
+
+def namespace_clashes(objects: DataFrame, scope: Sequence[str] = ("db_id", "schema")) -> DataFrame:
+    """``(*scope, namespace, owner, name, kinds, n, reason)`` of names claimed
+    twice. ``objects (*scope, owner, name, kind)``: ``owner`` is the table, domain
+    or type that a constraint, attribute or label belongs to. Relations and types
+    are of the schema, the others of their owner. ``reason``: ``duplicate`` for
+    objects of one kind, else ``clash``. Kinds that are not known take no name."""
+    spaces = F.create_map(*[x for kind, names in NAMESPACES.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
+    claims = objects.select(*scope, "owner", "name", "kind", F.explode(spaces[F.col("kind")]).alias("namespace")).withColumn("owner", F.when(~F.col("namespace").isin("relation", "type"), F.col("owner")))
+    found = claims.groupBy(*scope, "namespace", "owner", "name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("kind").alias("__kinds"))
+    return found.where("n > 1").select(*scope, "namespace", "owner", "name", "kinds", "n", F.when(F.col("__kinds") == 1, "duplicate").otherwise("clash").alias("reason"))
+
+
 def name_collisions(objects: DataFrame, scope: Sequence[str] = ("db_id", "schema")) -> DataFrame:
     """``(*scope, name, kinds, n)``: names that several objects of a namespace share."""
     found = objects.groupBy(*scope, "name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
@@ -135,11 +159,12 @@ def gate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     return marked.where(~bad).drop("_violations"), marked.where(visible(bad))
 
 
-def write_gate(df: DataFrame, rules: Sequence[Rule], target: str, quarantine: str, mode: str = "append") -> None:
-    """Rules are applied once: both writes read one marked table."""
+def write_gate(df: DataFrame, rules: Sequence[Rule], target: str, quarantine: str, mode: str = "append", hidden: Sequence[str] = ()) -> None:
+    """Rules are applied once: both writes read one marked table. ``hidden``
+    columns serve rules only and are not written."""
     marked = df.withColumn("_violations", violations(rules)).persist()
     try:
-        marked.where(F.size("_violations") == 0).drop("_violations").write.mode(mode).parquet(target)
-        marked.where(F.size("_violations") > 0).write.mode(mode).parquet(quarantine)
+        marked.where(F.size("_violations") == 0).drop("_violations", *hidden).write.mode(mode).parquet(target)
+        marked.where(F.size("_violations") > 0).drop(*hidden).write.mode(mode).parquet(quarantine)
     finally:
         marked.unpersist()

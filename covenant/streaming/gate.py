@@ -23,23 +23,27 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def gate_stream(stream: DataFrame, rules: Sequence[Rule], parent: DataFrame | None = None, column: str | None = None, parent_column: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run the gate over what a stream has now; returns the tables of rows that
     passed and of rows put aside. With ``parent``, a row whose reference is
-    missing there is put aside too (rule ``reference``)."""
+    missing there is put aside too (rule ``reference``). Each batch has a folder
+    of its own that it overwrites, so a batch that runs again is not doubled. A
+    stream without rows gives empty tables."""
     spark = stream.sparkSession
     place = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
+        kept, aside = f"{place}/passed/batch={number}", f"{place}/aside/batch={number}"
         if parent is not None:
             keys = parent.select(F.col(parent_column).alias("__key")).distinct().withColumn("__there", F.lit(True))
             df = df.join(keys, df[column] == F.col("__key"), "left").drop("__key")
-            write_gate(df, [*rules, Rule("reference", f"`{column}` IS NULL OR __there IS NOT NULL")], f"{place}/passed", f"{place}/aside")
+            write_gate(df, [*rules, Rule("reference", f"`{column}` IS NULL OR __there IS NOT NULL")], kept, aside, "overwrite", hidden=("__there",))
         else:
-            write_gate(df, rules, f"{place}/passed", f"{place}/aside")
+            write_gate(df, rules, kept, aside, "overwrite")
 
+    batch(spark.createDataFrame([], stream.schema), -1)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    kept = spark.read.schema(stream.schema).parquet(f"{place}/passed")
+    kept = spark.read.schema(stream.schema).parquet(f"{place}/passed").select(stream.columns)
     aside = spark.createDataFrame([], stream.schema).withColumn("_violations", violations([Rule("r", "true")]))
-    return kept, spark.read.schema(aside.schema).parquet(f"{place}/aside")
+    return kept, spark.read.schema(aside.schema).parquet(f"{place}/aside").select(aside.columns)
 
 
 def unique_stream(stream: DataFrame, keys: Sequence[str], time: str, horizon: str) -> DataFrame:

@@ -6,6 +6,7 @@ from covenant.model import ColumnSpec, DropPolicy, KeySpec, PolicySpec, Referenc
 from covenant.operators import audit, diff, evolve, graph, policy
 from covenant.plans import views
 from covenant.sources import snapshot
+from covenant.streaming import gate
 
 
 def test_contract_round_trip():
@@ -85,3 +86,57 @@ def test_levels_end_or_raise(spark):
     assert {r.node: r.level for r in graph.levels(nodes, edges, max_rounds=4).collect()} == {"n3": 0, "n2": 1, "n1": 2, "n0": 3}
     with pytest.raises(RuntimeError):
         graph.levels(nodes, edges, max_rounds=2)
+
+
+def test_a_rename_to_itself_frees_nothing(spark):
+    current = spark.createDataFrame([(1, "a"), (1, "b")], "db_id int, name string")
+    asked = spark.createDataFrame([(1, "b", "b", 1), (1, "a", "b", 2), (1, "a", "c", 3), (1, "b", "c", 4), (1, "c", "d", 5)], "db_id int, old string, new string, ordinal int")
+    told = diff.resolve_renames(current, asked.select("db_id", F.col("new").alias("name")), asked).orderBy("ordinal").collect()
+    assert [r.rename_status for r in told] == ["noop", "dest_exists", "applied", "dest_exists", "applied"]
+    crossed = asked.where("ordinal = 3").withColumn("old_schema", F.lit("x")).withColumn("new_schema", F.lit("y"))
+    assert diff.resolve_renames(current, crossed.select("db_id", F.col("new").alias("name")), crossed).first().rename_status == "cross_schema"
+
+
+def test_delete_actions(spark):
+    gone, child = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1,), (2,), (None,)], "f int")
+    got = graph.propagate_delete(gone, "k", child, "f", "set default", "2")
+    assert sorted(r.f or 0 for r in got["kept"].collect()) == [0, 2, 2] and got["violations"].count() == 0
+    assert graph.propagate_delete(gone, "k", child, "f", "set default", "1")["violations"].count() == 1
+    with pytest.raises(ValueError):
+        graph.propagate_delete(gone, "k", child, "f", "ignore")
+
+
+def test_decimals_round(spark):
+    df = spark.sql("SELECT cast(x AS decimal(5,1)) AS d FROM VALUES (2.7), (2.5), (-2.5), (-2.4) t(x)")
+    assert [r[0] for r in df.select(evolve.cast_value(F.col("d"), "decimal(5,1)", "int")).collect()] == [3, 3, -3, -2]
+
+
+def test_value_is_a_word(spark):
+    assert audit.of_value("VALUE > 0 AND 'VALUE' <> `VALUE` AND VALUES = value", "c") == "`c` > 0 AND 'VALUE' <> `VALUE` AND VALUES = `c`"
+
+
+def test_globs(spark):
+    names = spark.createDataFrame([("a*b",), ("axb",), ("!b",), ("cb",)], "name string")
+    kept = lambda p: sorted(r[0] for r in snapshot.filter_names(names, [p]).collect())
+    assert kept("a\\*b") == ["a*b"] and kept("a*b") == ["a*b", "axb"] and kept("[!c]b") == ["!b", "cb"] and kept("[^c]b") == ["!b"]
+
+
+def test_a_batch_that_runs_again_is_not_doubled(spark, tmp_path):
+    rows = spark.range(5).withColumn("ok", F.col("id") > 1)
+    for _ in range(2):
+        snapshot.write_gate(rows, [Rule("r", "ok")], f"{tmp_path}/passed/batch=0", f"{tmp_path}/aside/batch=0", "overwrite", hidden=("ok",))
+    kept = spark.read.parquet(f"{tmp_path}/passed")
+    assert kept.count() == 3 and "ok" not in kept.columns
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    spark.range(0).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    kept, aside = gate.gate_stream(stream, [Rule("r", "id > 0")])
+    assert kept.count() == 0 and aside.count() == 0 and kept.columns == ["id"] and aside.columns == ["id", "_violations"]
+
+
+def test_deep_levels_end(spark):
+    nodes = spark.createDataFrame([(1, f"n{i}") for i in range(6)], "db_id int, node string")
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(5)], "db_id int, src string, dst string")
+    assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {f"n{i}": 5 - i for i in range(6)}
