@@ -113,3 +113,21 @@ def ordered(column: str, descending: bool = False, collation: str | None = None)
     """Nulls last ascending and first descending, whatever Spark's default."""
     c = F.col(column) if collation is None else F.collate(F.col(column), collation)
     return c.desc_nulls_first() if descending else c.asc_nulls_last()
+
+
+def collation_equal(a: Column, b: Column) -> Column:
+    """Whether two names of collations mean one: the last parts agree, and so do
+    the schemas where both are given; none only equals none."""
+    part = lambda c: F.split(F.replace(c, F.lit('"'), F.lit("")), r"\.")
+    last = F.element_at(part(a), -1) == F.element_at(part(b), -1)
+    schemas = (F.size(part(a)) < 2) | (F.size(part(b)) < 2) | (part(a)[0] == part(b)[0])
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(last & schemas)
+
+
+#: A cast behind a value in a default, such as ::character varying(40)[].
+CAST = r"::\s*\"?[A-Za-z_][\w.\"]*(?: varying| precision| with(?:out)? time zone)?(?:\([\d, ]*\))?(?:\[\])*(?=(?:[^']*'[^']*')*[^']*$)"
+
+
+def default_value(default: Column) -> Column:
+    """A default without its casts and outer white space."""
+    return F.trim(F.regexp_replace(default, CAST, ""))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covenant.functions import logic
+
 
 def keyed_diff(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(*key, change, *old_c, *new_c)`` with change create, drop, alter or same.
@@ -248,3 +250,45 @@ def swap_actions(diff: DataFrame, key: Sequence[str], alterable: Column, allow_d
     """``(*key, action)`` of altered objects: ``alter`` in place where it can be
     done so, else ``recreate``, which needs drops to be allowed, or ``skipped``."""
     return diff.where("change = 'alter'").select(*key, F.when(F.coalesce(alterable, F.lit(False)), "alter").otherwise("recreate" if allow_drops else "skipped").alias("action"))
+
+
+def default_changes(current: DataFrame, desired: DataFrame, key: Sequence[str], value: str = "default") -> DataFrame:
+    """``(*key, action)`` for keys of both sides: ``set``, ``drop``, ``change`` or
+    ``same`` default. Casts do not count; none and one differ."""
+    both = current.select(*key, F.col(value).alias("__old")).join(desired.select(*key, F.col(value).alias("__new")), list(key))
+    old, new = logic.default_value(F.col("__old")), logic.default_value(F.col("__new"))
+    action = F.when(old.eqNullSafe(new), "same").when(old.isNull(), "set").when(new.isNull(), "drop").otherwise("change")
+    return both.select(*key, action.alias("action"))
+
+
+def generated_changes(current: DataFrame, desired: DataFrame, key: Sequence[str], value: str = "generated") -> DataFrame:
+    """``(*key, verdict)`` for keys of both sides: a column that becomes generated,
+    stops being so or gets another expression is ``rejected``, else ``same``."""
+    both = current.select(*key, F.col(value).alias("__old")).join(desired.select(*key, F.col(value).alias("__new")), list(key))
+    return both.select(*key, F.when(F.col("__old").eqNullSafe(F.col("__new")), "same").otherwise("rejected").alias("verdict"))
+
+
+def validation_changes(current: DataFrame, desired: DataFrame, key: Sequence[str], definition: str = "definition", validated: str = "validated") -> DataFrame:
+    """``(*key, action)`` of constraints: ``validate`` where the definition stays
+    and only the check of old rows is asked for; one that loses validation, or
+    changes its definition, is ``recreate``; ``create``, ``drop`` and ``same``."""
+    sides = [df.select(*key, F.lit(True).alias(f"__{n}"), F.col(definition).alias(f"__{n}_text"), F.col(validated).alias(f"__{n}_valid")) for n, df in (("old", current), ("new", desired))]
+    both = sides[0].join(sides[1], list(key), "full")
+    same = F.col("__old_text").eqNullSafe(F.col("__new_text"))
+    kept = F.col("__old_valid").eqNullSafe(F.col("__new_valid"))
+    action = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), "drop").when(same & kept, "same").when(same & F.col("__new_valid"), "validate").otherwise("recreate")
+    return both.select(*key, action.alias("action"))
+
+
+def view_actions(current: DataFrame, desired: DataFrame, replaceable: DataFrame, by: Sequence[str] = ("db_id", "view"), allow_drops: bool = False) -> DataFrame:
+    """``(*by, action)`` of views ``(*by, stored, definition)``: a view that stays
+    plain and keeps its columns (``replaceable``) is ``replace``; one that turns
+    into a stored view or back, or changes otherwise, is ``recreate``. What drops
+    a view is ``skipped`` unless drops are allowed."""
+    left = current.select(*by, F.col("stored").alias("__old"), F.col("definition").alias("__text"))
+    right = desired.select(*by, F.col("stored").alias("__new"), F.col("definition").alias("__wanted"))
+    both = left.join(right, list(by), "full").join(replaceable.select(*by, "replaceable"), list(by), "left")
+    drop = lambda name: F.lit(name if allow_drops else "skipped")
+    plain = ~F.col("__old") & ~F.col("__new")
+    action = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), drop("drop")).when((F.col("__old") == F.col("__new")) & F.col("__text").eqNullSafe(F.col("__wanted")), "same").when(plain & F.col("replaceable"), "replace").otherwise(drop("recreate"))
+    return both.select(*by, action.alias("action"))

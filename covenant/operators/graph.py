@@ -6,6 +6,7 @@ Rounds run over all databases at once; each is written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -64,11 +65,10 @@ def impact(edges: DataFrame, changed: DataFrame, max_rounds: int | None = None)
         seen = stored(seen.unionByName(front), "graph-seen")
 
 
-def reference_edges(columns: DataFrame, references: DataFrame, objects: DataFrame) -> DataFrame:
-    """Edges by name: columns to the types they use (array brackets off), tables
-    to tables they refer to. A bare name is looked up in its own schema, then in
-    public; names of nothing defined give no edge."""
-    used = columns.select("db_id", "schema", F.col("table").alias("src"), F.regexp_replace("type_name", r"(\[\d*\])+$", "").alias("name")).unionByName(references.select("db_id", "schema", F.col("table").alias("src"), F.col("ref_table").alias("name")))
+def resolve_edges(used: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges ``(db_id, src, dst)`` of ``used (db_id, schema, src, name)``. A bare
+    name is looked up in its own schema, then in public; names of nothing defined
+    and an object's own name give no edge."""
     exact = objects.select("db_id", F.col("schema").alias("o_schema"), F.col("name").alias("o_name"))
     parts = F.split("name", r"\.")
     asked = used.withColumn("bare", F.element_at(parts, -1)).withColumn("given", F.when(F.size(parts) > 1, parts[0]))
@@ -78,6 +78,33 @@ def reference_edges(columns: DataFrame, references: DataFrame, objects: DataFram
     return first.select(asked["db_id"], F.col("src"), F.col("o_name").alias("dst")).where("src <> dst").distinct()
 
 
+def reference_edges(columns: DataFrame, references: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges by name: columns to the types they use (array brackets off), tables
+    to tables they refer to."""
+    used = columns.select("db_id", "schema", F.col("table").alias("src"), F.regexp_replace("type_name", r"(\[\d*\])+$", "").alias("name")).unionByName(references.select("db_id", "schema", F.col("table").alias("src"), F.col("ref_table").alias("name")))
+    return resolve_edges(used, objects)
+
+
+#: A sequence named in a default, with or without a cast of its name.
+SEQUENCE_IN_DEFAULT = r"(?i)nextval\(\s*'([^']+)'"
+
+
+def catalog_edges(objects: DataFrame, columns: DataFrame, references: DataFrame, defaults: DataFrame | None = None, parents: DataFrame | None = None, uses: DataFrame | None = None) -> DataFrame:
+    """`reference_edges`, and those of tables to the sequences that ``defaults
+    (db_id, schema, table, default)`` draw from, of partitions and heirs to their
+    parents by ``parents (db_id, schema, child, parent)``, and of views to the
+    relations that ``uses (db_id, schema, view, relation)`` declares."""
+    parts = [reference_edges(columns, references, objects)]
+    if defaults is not None:
+        drawn = defaults.select("db_id", "schema", F.col("table").alias("src"), F.regexp_extract("default", SEQUENCE_IN_DEFAULT, 1).alias("name"))
+        parts.append(resolve_edges(drawn.where("name <> ''"), objects))
+    if parents is not None:
+        parts.append(resolve_edges(parents.select("db_id", "schema", F.col("child").alias("src"), F.col("parent").alias("name")), objects))
+    if uses is not None:
+        parts.append(resolve_edges(uses.select("db_id", "schema", F.col("view").alias("src"), F.col("relation").alias("name")), objects))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def change_order(changes: DataFrame, position: DataFrame) -> DataFrame:
     """``changes (db_id, node, action, seq)`` with ``phase, pos, step``: reference
     drops, drops of views and tables (dependents first), creates and alters
@@ -89,6 +116,24 @@ def change_order(changes: DataFrame, position: DataFrame) -> DataFrame:
     return joined.withColumn("phase", phase).withColumn("pos", signed).withColumn("step", F.row_number().over(w))
 
 
+#: Phases of an order over kinds; drops go against the dependencies.
+ORDER_PHASES = {("reference", "drop"): 0, ("view", "drop"): 1, ("table", "create"): 2, ("table", "alter"): 2, ("table", "persist"): 3, ("table", "drop"): 4, ("reference", "create"): 5, ("view", "create"): 6}
+
+
+def phased_order(changes: DataFrame, position: DataFrame) -> DataFrame:
+    """``changes (db_id, kind, node, action, seq)`` with ``phase, pos, step``:
+    references go first, then views, tables are made, altered, persisted and
+    dropped, references added, and views made. Within a phase what others depend
+    on comes first, or last where it is dropped; members of cycles and unknown
+    nodes (no position) come before the others, by name. Pairs of kind and action
+    that have no phase come last."""
+    phase = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("action") == a), n) for (k, a), n in ORDER_PHASES.items()], F.lit(len(ORDER_PHASES)))
+    joined = changes.join(position.select("db_id", "node", "pos"), ["db_id", "node"], "left")
+    signed = F.when(F.col("action") == "drop", -F.col("pos")).otherwise(F.col("pos"))
+    w = Window.partitionBy("db_id").orderBy("phase", F.col("pos").asc_nulls_first(), "node", "seq")
+    return joined.withColumn("phase", phase).withColumn("pos", signed).withColumn("step", F.row_number().over(w))
+
+
 def propagate_delete(deleted: DataFrame, key: str, child: DataFrame, column: str, action: str, default: str | None = None) -> Mapping[str, DataFrame]:
     """What a delete of parent keys does to a child: ``kept`` rows (with nulls or
     the ``default`` expression set), rows ``deleted`` in turn, and ``violations``

@@ -961,4 +961,4 @@ def t02_streaming_unique(spark, sf):
     return stream_gate.unique_stream(stream_gate.file_stream(spark, sf, "events"), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
 
 
-from covenant import queries_rules  # noqa: E402, F401  registers its queries here
+from covenant import queries_catalog, queries_rules  # noqa: E402, F401  register their queries here

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covenant.functions.logic import name_matches, visible
@@ -88,6 +89,44 @@ def remap_schemas(df: DataFrame, mapped: Mapping[str, str], columns: Sequence[st
     return df.withColumns({c: F.coalesce(known[F.col(c)], F.col(c)) for c in columns})
 
 
+def remap_text(df: DataFrame, mapped: Mapping[str, str], columns: Sequence[str], reverse: bool = False) -> DataFrame:
+    """Schema names before a dot, in text such as view definitions and targets of
+    references, outside of string literals. All names are replaced at once, so
+    that a -> b and b -> c do not run into each other."""
+    if len(set(mapped.values())) < len(mapped):
+        raise ValueError("two schemas are mapped to one")
+    pairs = [(v, k) if reverse else (k, v) for k, v in mapped.items()]
+    outside = r"(?=(?:[^']*'[^']*')*[^']*$)"
+
+    def replaced(text: Column) -> Column:
+        for n, (old, _) in enumerate(pairs):
+            text = F.regexp_replace(text, rf"(?<![\w.\"\x00]){re.escape(old)}\.(?=[\w\"]){outside}|(?<!\.)\"{re.escape(old)}\"\.{outside}", f"\x00{n}\x00.")
+        for n, (_, new) in enumerate(pairs):
+            text = F.replace(text, F.lit(f"\x00{n}\x00."), F.lit(f"{new}."))
+        return text
+
+    return df.withColumns({c: replaced(F.col(c)) for c in columns})
+
+
+def ignored_report(current: DataFrame, desired: DataFrame, ignored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``(*key, in_current, in_desired)`` of the ignored objects that either side
+    has, sorted."""
+    held = current.select(*key, F.lit(True).alias("c"), F.lit(False).alias("d")).unionByName(desired.select(*key, F.lit(False).alias("c"), F.lit(True).alias("d")))
+    hit = held.join(ignored.select(*key).distinct(), list(key), "left_semi")
+    return hit.groupBy(*key).agg(F.max("c").alias("in_current"), F.max("d").alias("in_desired")).orderBy(*key)
+
+
+def managed_only(objects: DataFrame, constraints: DataFrame, owned: DataFrame, extensions: DataFrame, scope: Sequence[str] = ("db_id", "schema")) -> DataFrame:
+    """``objects (*scope, name, kind)`` that are managed by themselves: without
+    indexes that back a primary key, unique or exclusion constraint (``type`` p, u
+    or x) of their name, sequences that a column owns, and whatever belongs to an
+    extension (``extensions (*scope, name, kind)``)."""
+    by = [*scope, "name"]
+    backing = constraints.where(F.col("type").isin("p", "u", "x")).select(*by, F.lit("index").alias("kind"))
+    out = backing.unionByName(owned.select(*by, F.lit("sequence").alias("kind"))).unionByName(extensions.select(*by, "kind"))
+    return objects.join(out, [*by, "kind"], "left_anti")
+
+
 def ignore(df: DataFrame, ignored: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.join(ignored.select(*key).distinct(), list(key), "left_anti")
 
