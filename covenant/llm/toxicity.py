@@ -8,14 +8,17 @@
    that the letters read can stand for, and states are made when first met. A
    word is out once its set is empty, mostly after a few letters.
 3. Each hit is looked at in a window of characters around it: within quotation
-   marks, or next to a word of reporting, it is likely mention and not abuse.
+   marks, or next to a word of reporting, it is likely mention and not abuse. Words
+   of reporting are learned: those that stand before hits in clean training rows
+   and hardly in toxic ones, beside a few given to start with.
 4. For every (term, edits, how often, mention or not), the share of toxic texts
    among training rows that the lexicon was not chosen from, smoothed, is its
    weight; a text's score joins the weights of its hits as independent causes.
 
 Learning reads at most ``max_rows`` training rows of either label (chosen by a
-hash of the id, so that the choice does not depend on order); all else covers
-every row.
+hash of the id, so that the choice does not depend on order), and the lexicon has
+at most ``max_terms`` terms, chosen from the ``20 * max_terms`` most frequent that
+tell; all else covers every row.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import pyarrow as pa
 import xxhash
@@ -37,11 +40,14 @@ STEM_CHARS = (4, 5, 6, 7)
 #: Characters looked at before and behind a hit.
 WINDOW = 60
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "‹": "›"}
+#: Words of reporting known before any are learned.
 REPORTING = frozenset("word words term called quote quoted quotes said says saying slur wort sagte nannte begriff zitat mot terme dit appelé cité palabra término dijo llamó cita".split())
 #: What a mention counts where training rows show nothing of it.
 MENTION = 0.3
 #: Least surprise (a chi-square of one degree) of a term, above what the number of terms calls for.
 SURPRISE = 2.0
+#: Clean rows in which a word must stand before a hit to be one of reporting.
+LEAST_REPORTS = 4
 CACHE_WORDS = 300_000
 
 
@@ -135,7 +141,12 @@ class Lexicon:
         return {k: e for k, e in got.items() if e == least}
 
 
-def mention(text: str, start: int, end: int) -> bool:
+def words_before(text: str, start: int) -> list[str]:
+    """The last words of the line, within the window, before ``start``."""
+    return WORD.findall(text[max(0, start - WINDOW) : start].rpartition("\n")[2].lower())[-3:]
+
+
+def mention(text: str, start: int, end: int, reporting: Set[str] = REPORTING) -> bool:
     """Whether what stands at ``start:end`` is quoted or reported."""
     before, after = text[max(0, start - WINDOW) : start].rpartition("\n")[2], text[end : end + WINDOW].partition("\n")[0]
     for opening, closing in QUOTES.items():
@@ -144,15 +155,14 @@ def mention(text: str, start: int, end: int) -> bool:
                 return True
         elif (at := before.rfind(opening)) >= 0 and not any(c in before[at + 1 :] for c in closing) and any(c in after for c in closing):
             return True
-    near = WORD.findall(before.lower())[-3:]
-    return any(w in REPORTING for w in near)
+    return any(w in reporting for w in words_before(text, start))
 
 
 class Reader:
     """Finds the lexicon's hits in texts, and remembers words it has seen."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]]):
-        self.lexicon = Lexicon(terms)
+    def __init__(self, terms: Iterable[tuple[str, bool]], reporting: Set[str] = REPORTING):
+        self.lexicon, self.reporting = Lexicon(terms), reporting
         self.seen: dict[str, dict[int, int] | None] = {}
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, int, bool]]:
@@ -177,7 +187,7 @@ class Reader:
         out = []
         for m in WORD.finditer(low):
             for k, e in found.get(m[0], {}).items():
-                out.append((k, e, m.start(), m.end(), mention(low, m.start(), m.end())))
+                out.append((k, e, m.start(), m.end(), mention(low, m.start(), m.end(), self.reporting)))
         return out
 
 
@@ -192,10 +202,11 @@ def evidence(hits: list[tuple[int, int, int, int, bool]]) -> set[tuple[int, int,
 
 
 class Model:
-    """Terms, the weights of what they show, and the score of a text without hits."""
+    """Terms, the weights of what they show, the score of a text without hits, and
+    the words of reporting."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int, int, bool], float], base: float):
-        self.terms, self.weights, self.base = terms, weights, base
+    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int, int, bool], float], base: float, reporting: Set[str] = REPORTING):
+        self.terms, self.weights, self.base, self.reporting = terms, weights, base, reporting
 
     def score(self, hits: list[tuple[int, int, int, int, bool]]) -> float:
         best: dict[tuple[int, bool], float] = defaultdict(float)
@@ -267,8 +278,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     found = frequent.where((odds >= 0.95) & (surprise >= 2 * math.log(frequent.count() + 1) + SURPRISE)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * max_terms).collect()
     terms = choose([(r.term, r.stem, r.toxic) for r in found])[:max_terms]
 
+    reporting = REPORTING | reporting_words(chosen_from, terms, sizes)
+
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms)
+        reader = Reader(terms, reporting)
         seen: Counter = Counter()
         for batch in batches:
             for x, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -297,7 +310,26 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                     weights[k, e, n, False] = min(w, 0.99)
                     b, g = shown.get((k, e, n, True), (0.0, 0.0))
                     weights[k, e, n, True] = min((b + 2 * MENTION) / (b + g + 2), w)
-    return Model(terms, weights, min(0.5, bad / (bad + good + 1)))
+    return Model(terms, weights, min(0.5, bad / (bad + good + 1)), reporting)
+
+
+def reporting_words(rows: DataFrame, terms: list[tuple[str, bool]], sizes: dict[int, int]) -> frozenset[str]:
+    """Words that stand shortly before hits in at least ``LEAST_REPORTS`` clean rows
+    and, by the shares of either label, in toxic rows hardly ever. ``rows`` is the
+    bounded sample, so what is sent back is bounded by it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(terms)
+        seen: Counter = Counter()
+        for batch in batches:
+            for x, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen.update({(w, toxic) for _, _, start, _, _ in reader.hits(x) for w in words_before(x, start)})
+        keys = list(seen)
+        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k in keys], pa.string()), "toxic": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array([seen[k] for k in keys], pa.int64())})
+
+    counted = map_arrow(rows.select("text", "toxic"), count, "word string, toxic long, n long").groupBy("word").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
+    share = (F.col("bad") / sizes[1]) / (F.col("bad") / sizes[1] + F.col("good") / sizes[0])
+    return frozenset(r.word for r in counted.where((F.col("good") >= LEAST_REPORTS) & (share <= 0.1)).select("word").collect())
 
 
 def choose(found: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
@@ -330,10 +362,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("score", "hits")]
     kinds = dict(docs.dtypes)
-    terms = model.terms
+    terms, reporting = model.terms, model.reporting
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms)
+        reader = Reader(terms, reporting)
         kind = pa.list_(pa.struct([("term", pa.string()), ("word_start", pa.int64()), ("word_end", pa.int64()), ("edits", pa.int64()), ("mention", pa.bool_())]))
         for batch in batches:
             found = [reader.hits(x) for x in batch.column("__text").to_pylist()]

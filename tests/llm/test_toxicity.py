@@ -1,6 +1,9 @@
 import random
+import re
 
-from covenant.llm import toxicity
+import pytest
+
+from covenant.llm import queries, toxicity
 
 
 def distance(a, b):
@@ -67,10 +70,92 @@ def test_learns_and_scores(spark):
 
 
 def test_held_out_accuracy(spark):
-    from covenant.llm import queries
-
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op2_toxicity"](spark, sf)
     both = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
     hit = sum(r.predicted and r.toxic for r in both)
     assert hit / sum(r.toxic for r in both) > 0.9 and hit / sum(r.predicted for r in both) > 0.7
+
+
+def quoted(text, start, end, reporting):
+    """Mention from its definition: a pair of marks on the line around the hit, in
+    the window, or a word of reporting among the three before it."""
+    before = text[max(0, start - 60) : start].split("\n")[-1]
+    after = text[end : end + 60].split("\n")[0]
+    for opening, closing in {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "‹": "›"}.items():
+        shut = any(c in after for c in closing)
+        if opening == closing:
+            is_open = before.count(opening) % 2 == 1
+        else:
+            is_open = opening in before and not set(closing) & set(before[before.rfind(opening) + 1 :])
+        if is_open and shut:
+            return True
+    return bool(set(re.findall(r"[^\W\d_]+", before)[-3:]) & reporting)
+
+
+def brute_score(text, model, near):
+    """Hits by edit distances, and their weights joined as independent causes."""
+    counts = {}
+    text = (text or "").lower()
+    for m in re.finditer(r"[^\W\d_]+", text):
+        for k, e in near(m[0]).items():
+            at = (k, e, quoted(text, m.start(), m.end(), model.reporting))
+            counts[at] = counts.get(at, 0) + 1
+    best = {}
+    for (k, e, q), n in counts.items():
+        for step, least in ((1, 1), (2, 2), (3, 3), (4, 5)):
+            if n >= least:
+                best[k, q] = max(best.get((k, q), 0), model.weights.get((k, e, step, q), 0))
+    clean = 1 - model.base
+    for w in best.values():
+        clean *= 1 - w
+    return 1 - clean
+
+
+def test_query_like_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    known = {}
+
+    def near(word):
+        if word not in known:
+            found = {}
+            for k, (t, stem) in enumerate(model.terms):
+                most = toxicity.edits(t)
+                # fewer letters shared than this cannot be within the edits
+                if len(word) < len(t) - most or not stem and len(word) > len(t) + most or sum(c in word for c in t) < len(t) - most:
+                    continue
+                row = distance(t, word)
+                d = min(row) if stem else row[-1]
+                if d <= most:
+                    found[k] = d
+            known[word] = {k: d for k, d in found.items() if d == min(found.values())}
+        return known[word]
+
+    got = {r.doc_id: r.score for r in queries.QUERIES["op2_toxicity"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys() and model.terms
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(brute_score(t, model, near), abs=1e-9), i
+
+
+def test_learned_reporting(spark):
+    """A word that stands before hits in clean rows only turns them into mentions."""
+    rows, labels = frame(spark)
+    rng = random.Random(6)
+    for i in range(1000, 1020):
+        rows.append((i, " ".join(rng.choice(["mira", "ulo"]) + rng.choice(["ka", "orin", "pal", "lo"]) + str(rng.random())[2:6].translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)) + " vorgaf grimble"))
+        labels.append((i, 0))
+    rows += [(i, f"{rows[j][1]} grimble") for i, j in zip(range(2000, 2400), range(400), strict=True)]
+    labels += [(i, 1) for i in range(2000, 2400)]
+    # few clean rows hold the term, so that it stays one of the lexicon
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grimble" in {t for t, _ in model.terms} and "vorgaf" in model.reporting and "vorgaf" not in toxicity.REPORTING
+    given = [(1, "mira vorgaf grimble"), (1, "mira vorgaf grimble"), (2, "mira ulo grimble")]
+    got = toxicity.score(spark.createDataFrame(given, "doc_id long, text string"), model).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.score, r.hits[0].mention))
+    assert len(by[1]) == 2 and by[1][0] == by[1][1] and by[1][0][1] and not by[2][0][1] and by[1][0][0] < by[2][0][0]
