@@ -10,7 +10,9 @@ character; a temperature fitted on tuning rows turns the differences into a
 score, and a bound on the cross-entropy, fitted on the same rows, marks texts in
 none of the languages.
 
-Learning reads at most about ``max_rows`` rows a language, chosen by a hash.
+Learning reads at most about ``max_rows`` rows a language, chosen by a hash. The
+model is sent to every executor, so its size is bounded by parameters of `learn`,
+``max_languages`` and ``max_grams``; more is an error, never a smaller model.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGIN, END = "\x02", "\x03"
 ORDER = 5
 UND = "und"
-#: Languages, and grams of all languages, that a model may have: it is sent to every executor.
-MAX_LANGUAGES, MAX_GRAMS = 500, 5_000_000
 CACHE_WORDS = 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,16 +182,16 @@ def posterior(bits: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", parts: int = 3, left_out: int = 1, max_rows: int = 1500) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", parts: int = 3, left_out: int = 1, max_rows: int = 1500, max_languages: int = 500, max_grams: int = 5_000_000) -> Model:
     """Learn from rows with a text and a language whose fold is not ``left_out``.
 
     One row in five of the sample is not counted but used for tuning. Without
     any rows the model has no languages.
     """
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col(key), parts) != left_out))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return Model()
     spark = docs.sparkSession
@@ -213,9 +213,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "gram": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     table = map_arrow(sample.where("not tune").select("lang", "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = table.limit(MAX_GRAMS + 1).toArrow()  # bounded by the sample, and checked
-    if got.num_rows > MAX_GRAMS:
-        raise ValueError(f"more than {MAX_GRAMS} grams: take a smaller max_rows")
+    got = table.limit(max_grams + 1).toArrow()  # bounded by the sample, and checked
+    if got.num_rows > max_grams:
+        raise ValueError(f"more than {max_grams} grams: take a smaller max_rows")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for name, gram, n in zip(*(got.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
         counts[name][gram] = n

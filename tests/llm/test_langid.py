@@ -1,7 +1,10 @@
+import math
 import random
+import re
 
 import numpy as np
-
+import pytest
+from pyspark.sql import functions as F
 
 from covenant.llm import langid, queries
 
@@ -70,3 +73,86 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+
+
+def kneser_ney(raw):
+    """The probability of a character after a history, for each language, from
+    the definition: ``raw`` has the counts of the longest grams of each."""
+    counts = {}
+    for lang, grams in raw.items():
+        by = {n: {} for n in range(1, 6)}
+        for g, c in grams.items():
+            by[len(g)][g] = by[len(g)].get(g, 0) + c
+        for n in range(4, 0, -1):
+            for g in by[n + 1]:
+                by[n][g[1:]] = by[n].get(g[1:], 0) + 1
+        counts[lang] = by
+    chars = {g for by in counts.values() for g in by[1]}
+    discounts = {}
+    for lang, by in counts.items():
+        for n in by:
+            once, twice = (sum(c == k for c in by[n].values()) for k in (1, 2))
+            discounts[lang, n] = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+    following = {}
+    for lang, by in counts.items():
+        for n in by:
+            for g, c in by[n].items():
+                following.setdefault((lang, g[:-1]), []).append(c)
+
+    def p(lang, history, c):
+        below = p(lang, history[1:], c) if history else 1 / (len(chars) + 1)
+        after = following.get((lang, history))
+        if after is None:
+            return below
+        n = len(history) + 1
+        d, total = discounts[lang, n], sum(after)
+        return max(counts[lang][n].get(history + c, 0) - d, 0) / total + d * len(after) / total * below
+
+    return p
+
+
+def test_query_like_definition(spark):
+    """Every text of a small table, by plain recursion over counts made anew."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tune = F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(5)) == 0
+    rows = docs.select("doc_id", "text", "lang", tune.alias("tune"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).alias("learned")).collect()
+    words_of = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    raw = {}
+    for r in rows:
+        if r.learned and not r.tune and r.lang is not None and r.text is not None:
+            into = raw.setdefault(r.lang, {})
+            for g, n in counts_of([" ".join(words_of(r.text))]).items():
+                into[g] = into.get(g, 0) + n
+    p, languages = kneser_ney(raw), sorted(raw)
+    model = langid.learn(docs)
+    assert model.languages == languages
+    known = {}
+
+    def bits(w):
+        if w not in known:
+            s = langid.BEGIN + w + langid.END
+            known[w] = [-sum(math.log2(p(k, s[max(0, i - 4) : i], s[i])) for i in range(1, len(s))) for k in languages]
+        return known[w]
+
+    got = {r.doc_id: r for r in queries.QUERIES["op8_langid"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words = words_of(r.text)
+        if not words:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        entropy = [sum(column) / sum(len(w) + 1 for w in words) for column in zip(*map(bits, words), strict=True)]
+        least = min(entropy)
+        assert languages[entropy.index(least)] == got[r.doc_id].lang_pred
+        assert got[r.doc_id].score == pytest.approx(1 / sum(2.718281828459045 ** (model.temperature * (least - e)) for e in entropy), abs=1e-3)
+
+
+def test_repeated_rows_and_bounds(spark):
+    train = spark.createDataFrame([(i, w * 30, k) for i in range(40) for w, k in (("hello world the ", "en"), ("bonjour monde le ", "fr"))], "doc_id long, text string, lang string")
+    got = langid.identify(spark.createDataFrame([(1, "hello you"), (1, "hello you"), (2, "hello you")], "doc_id long, text string"), langid.learn(train)).collect()
+    assert len(got) == 3 and len({(r.lang_pred, r.score, r.bits) for r in got}) == 1
+    with pytest.raises(ValueError):
+        langid.learn(train, max_languages=1)
+    with pytest.raises(ValueError):
+        langid.learn(train, max_grams=10)
