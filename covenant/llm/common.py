@@ -17,7 +17,7 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of one arrow batch; texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 1000
 #: Bytes of one arrow batch, for rows that hold packed arrays.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
