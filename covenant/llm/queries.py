@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bm25, bpe, chat, embedding_dedup, katz, langid, line_dedup, mixing, simhash, toxicity
+from covenant.llm import bm25, bpe, chat, embedding_dedup, exact_dedup, katz, langid, lexical, line_dedup, mixing, resample, simhash, toxicity
 from covenant.llm.common import fold
 
 
@@ -142,6 +142,73 @@ SELECT doc_id, source, lang, topic, tokens, round(scale, 6) AS scale, round(chan
 """
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A text in lower case, A-Z only, as SQL.
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_TERMS = rf"unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {OP11_TERMS} FROM documents) GROUP BY ALL),
+l AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS size FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, CAST(sum(size) AS BIGINT) AS terms FROM l),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, a GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, {OP11_TERMS} FROM benchmark) GROUP BY ALL),
+v AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * docs) // terms))) AS part
+  FROM t JOIN l USING (doc_id) JOIN w USING (term), a),
+s AS (SELECT item_id, doc_id, CAST(sum(n * part) AS BIGINT) AS score FROM i JOIN v USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.classes(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
+
+
+OP12_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm FROM documents)
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sql(buckets: int = resample.BUCKETS, percent: int = resample.PERCENT, least: int = resample.LEAST_WORDS, seed: int = resample.SEED) -> str:
+    """For runs of one word. CRC-32 is told by its rule: a table of the eight shifts
+    of each byte, then a step for each byte of each distinct word."""
+    words = rf"unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word"
+    return f"""
+WITH c AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b)),
+d AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, {words} FROM documents) GROUP BY ALL),
+b AS (SELECT word, count(*) AS n FROM (SELECT {words} FROM benchmark) GROUP BY ALL),
+h AS (SELECT word, hex(encode(word)) AS told FROM (SELECT word FROM d UNION SELECT word FROM b)),
+k AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(CAST(length(told) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(told, 2 * i + 1, 2) AS BIGINT))),
+    lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % {buckets} AS bucket FROM h, c),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM d JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {buckets})::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM d JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {least} ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= {least}) AS able FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {least} AND place <= {percent} * able // 100 THEN place END AS rank FROM o
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -153,6 +220,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_lexical": op11_lexical,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -160,4 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_bm25": OP6_SQL,
     "op9_chat": op9_sql(),
     "op10_mixing": OP10_SQL,
+    "op11_lexical": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_resample": op13_sql(),
 }
