@@ -9,8 +9,8 @@ the items under the one: a whole batch of items leaves a whole batch of document
 What is left is expanded level by level; the leaves that are left are scored exactly.
 
 Documents are tokenised once, into a stored index of blocks, in which only terms
-that some item may have are kept: items' terms set the bits of a table of `ASKED`
-bits, and a term whose bit is not set has no item. A task streams the index blocks
+that some item may have are kept: items' terms set the bits of a table of fixed
+size, and a term whose bit is not set has no item. A task streams the index blocks
 of a shard past the items, builds each block's tree when it comes, and keeps the best k
 documents of each item, so what it holds does not grow with the documents. Document
 counts, the number of documents and their length are those of all documents, so
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +35,41 @@ from pyspark.sql import functions as F
 
 from covenant.llm.common import grouped, map_arrow, materialize, shuffle_partitions
 
-#: Documents of an index block and of a leaf; its distinct terms over all documents
-#: at most, unless one document has more.
-BLOCK_DOCS, LEAF_DOCS, BLOCK_TERMS = 2048, 32, 1 << 18
-#: Items that are packed and searched side by side, and their terms, at most (one item
-#: may have more); items of a leaf; children of a node.
-PACK_ITEMS, PACK_TERMS, LEAF_ITEMS, FAN = 256, 1 << 15, 8, 4
-#: Items that a task holds; documents of a shard where there are many.
-HELD_ITEMS, SHARD_DOCS = 32_768, 1 << 18
-#: Bits of the table of terms that items have.
-ASKED = 1 << 22
-#: Found documents that are merged into the best at once; words a worker remembers.
-MERGE, CACHE_WORDS = 1 << 14, 500_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How the work is cut; results do not depend on it."""
+
+    #: Documents of an index block, and their distinct terms over all of them, at
+    #: most, unless one document has more; documents of a leaf.
+    block_docs: int = 2048
+    block_terms: int = 1 << 18
+    leaf_docs: int = 32
+    #: Items that are packed and searched side by side, and their terms, at most (one
+    #: item may have more); items of a leaf; children of a node.
+    pack_items: int = 256
+    pack_terms: int = 1 << 15
+    leaf_items: int = 8
+    fan: int = 4
+    #: Items that a task holds; documents of a shard where there are many.
+    held_items: int = 32_768
+    shard_docs: int = 1 << 18
+    #: Bits of the table of terms that items have.
+    asked: int = 1 << 22
+    #: Found documents that are merged into the best at once.
+    merge: int = 1 << 14
+    #: Sums below this are taken as doubles.
+    exact: int = 1 << 53
+
+
+#: Words a worker remembers.
+CACHE_WORDS = 500_000
 #: Fixed: factors of the score, and the share of the length's weight.
 WEIGHT, FREQUENCY, SATURATION, LENGTH = 1000, 1_000_000_000, 12, 25
 #: A term's bytes as they are, A-Z in lower case; all that parts terms as spaces.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 INDEX = "block long, docs long, tokens long, ids array<long>, lengths binary, each binary, terms binary, counts binary"
-EXACT = 1 << 53
 
 
 class Asked(dict):
@@ -63,7 +81,7 @@ class Asked(dict):
 
     def __missing__(self, term: bytes) -> int | None:
         h = xxhash.xxh64_intdigest(term)
-        got = self[term] = h if self.bits is None or self.bits[(h % ASKED) >> 6] >> np.uint64(h & 63) & np.uint64(1) else None
+        got = self[term] = h if self.bits is None or self.bits[(h >> 6) % len(self.bits)] >> np.uint64(h & 63) & np.uint64(1) else None
         return got
 
     def of(self, text: bytes | None) -> tuple[int, list[int], list[int]]:
@@ -90,18 +108,18 @@ def item_terms(items: DataFrame) -> DataFrame:
     return parts.groupBy("item", "term").agg(F.sum("n").alias("n"))
 
 
-def asked_bits(terms: DataFrame) -> np.ndarray:
-    """The table of bits of ``terms (term)``, as words of 64; at most `ASKED` / 64 rows
+def asked_bits(terms: DataFrame, bits: int) -> np.ndarray:
+    """The table of bits of ``terms (term)``, as words of 64; at most ``bits`` / 64 rows
     come to the driver, whatever the items."""
-    place = F.pmod("term", F.lit(ASKED))
+    place = F.pmod("term", F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    out = np.zeros(ASKED >> 6, np.uint64)
+    out = np.zeros(bits >> 6, np.uint64)
     for at, word in terms.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("word")).collect():
         out[at] = word % (1 << 64)
     return out
 
 
-def build_index(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def build_index(rows: DataFrame, bits: np.ndarray, sizes: Sizes) -> DataFrame:
     """Index blocks of each input partition's whole texts, without a shuffle; in a
     partition alike documents stand side by side as far as it holds them together."""
 
@@ -121,9 +139,9 @@ def build_index(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             held.sort(key=lambda x: (x[0], x[2]))
-            while len(held) >= BLOCK_DOCS or all_of_it and held:
-                reach = np.cumsum([len(x[3]) for x in held[:BLOCK_DOCS]])
-                n = max(1, int(np.searchsorted(reach, BLOCK_TERMS, "right")))
+            while len(held) >= sizes.block_docs or all_of_it and held:
+                reach = np.cumsum([len(x[3]) for x in held[: sizes.block_docs]])
+                n = max(1, int(np.searchsorted(reach, sizes.block_terms, "right")))
                 part, held = held[:n], held[n:]
                 yield block(part)
 
@@ -133,7 +151,7 @@ def build_index(rows: DataFrame, bits: np.ndarray) -> DataFrame:
                 docs, tokens = docs + (length > 0), tokens + length
                 if terms:
                     held.append((terms[counts.index(max(counts))], i, length, terms, counts))
-            if len(held) >= 8 * BLOCK_DOCS:
+            if len(held) >= 8 * sizes.block_docs:
                 yield from cut(False)
         yield from cut(True)
         if docs:
@@ -159,8 +177,8 @@ def weight_of(total: int, docs: Column) -> Column:
     return F.floor(F.lit(WEIGHT) * F.ln(F.lit(2.0 * total + 2) / (2 * docs + 1).cast("double"))).cast("long")
 
 
-def pack_items(weighed: DataFrame, packs: int) -> DataFrame:
-    """``(pack, items, each, terms, worth)``: up to `PACK_ITEMS` items in a row,
+def pack_items(weighed: DataFrame, packs: int, sizes: Sizes) -> DataFrame:
+    """``(pack, items, each, terms, worth)``: up to ``sizes.pack_items`` items in a row,
     those that share their weightiest term side by side. A pack may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +189,8 @@ def pack_items(weighed: DataFrame, packs: int) -> DataFrame:
                 own.append((w[0][1], item, [t for _, t in w], [x for x, _ in w]))
             own.sort()
             while own:
-                reach = np.cumsum([len(x[2]) for x in own[:PACK_ITEMS]])
-                n = max(1, int(np.searchsorted(reach, PACK_TERMS, "right")))
+                reach = np.cumsum([len(x[2]) for x in own[: sizes.pack_items]])
+                n = max(1, int(np.searchsorted(reach, sizes.pack_terms, "right")))
                 yield packed_row(group.column("pack")[0].as_py(), own[:n])
                 own = own[n:]
 
@@ -185,7 +203,7 @@ def packed_row(pack: int, own: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([pack]), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], ["pack", "items", "i_each", "i_terms", "i_worth"])
 
 
-def tree(rows: np.ndarray, leaf: int) -> list[np.ndarray]:
+def tree(rows: np.ndarray, leaf: int, fan: int) -> list[np.ndarray]:
     """Coordinate maxima by level, from the leaves (of ``leaf`` rows) to the root."""
     out, size = [], leaf
     while True:
@@ -193,7 +211,7 @@ def tree(rows: np.ndarray, leaf: int) -> list[np.ndarray]:
         out.append(rows)
         if len(rows) == 1:
             return out
-        size = FAN
+        size = fan
 
 
 class Documents:
@@ -222,8 +240,9 @@ class Documents:
 class Items:
     """A pack of items, and the best ``k`` documents that each has so far."""
 
-    def __init__(self, pack: dict, k: int):
-        self.k, self.items = k, np.frombuffer(pack["items"], np.int64)
+    def __init__(self, pack: dict, k: int, sizes: Sizes):
+        self.k, self.sizes = k, sizes
+        self.items = np.frombuffer(pack["items"], np.int64)
         self.each = np.frombuffer(pack["i_each"], np.int32).astype(np.int64)
         self.terms, self.term = np.unique(np.frombuffer(pack["i_terms"], np.int64).view(np.uint64), return_inverse=True)
         self.worth = np.frombuffer(pack["i_worth"], np.int64)
@@ -240,7 +259,7 @@ class Items:
             return
         most = np.zeros(len(self.terms), np.int64)
         np.maximum.at(most, self.term, self.worth)
-        dtype = np.float64 if int(most.sum()) * (FREQUENCY // 1000) < EXACT else np.int64
+        dtype = np.float64 if int(most.sum()) * (FREQUENCY // 1000) < self.sizes.exact else np.int64
         place = np.full(len(self.terms), -1)
         place[mine] = np.arange(len(common))
         own = np.zeros((len(self.items), len(common)), dtype)
@@ -248,9 +267,9 @@ class Items:
         own[self.owner[there], place[self.term[there]]] = self.worth[there]
         use = np.full(len(docs.columns), -1)
         use[theirs] = np.arange(len(common))
-        size = len(docs.each)
-        leaves = np.concatenate([docs.dense(lo, min(lo + LEAF_DOCS, size), use, dtype).max(axis=0)[None] for lo in range(0, size, LEAF_DOCS)])
-        below, beside = tree(own, LEAF_ITEMS), [leaves, *(tree(leaves, FAN) if len(leaves) > 1 else [])]
+        size, leaf_docs, leaf_items = len(docs.each), self.sizes.leaf_docs, self.sizes.leaf_items
+        leaves = np.concatenate([docs.dense(lo, min(lo + leaf_docs, size), use, dtype).max(axis=0)[None] for lo in range(0, size, leaf_docs)])
+        below, beside = tree(own, leaf_items, self.sizes.fan), [leaves, *(tree(leaves, self.sizes.fan, self.sizes.fan) if len(leaves) > 1 else [])]
         pairs = np.ones((1, 1), bool)
         for level in range(max(len(below), len(beside)) - 1, -1, -1):
             i, d = min(level, len(below) - 1), min(level, len(beside) - 1)
@@ -269,34 +288,33 @@ class Items:
                 break
             weakest = self.weakest(len(below[0]), 0)
             alive = np.flatnonzero(pairs[:, leaf] & (bound[:, leaf] >= weakest))
-            asked = (alive[:, None] * LEAF_ITEMS + np.arange(LEAF_ITEMS)).ravel()
+            asked = (alive[:, None] * leaf_items + np.arange(leaf_items)).ravel()
             asked = asked[asked < len(self.items)]
             top = own[asked] @ leaves[leaf]
             asked = asked[(top > 0) & (top >= self.kth[asked])]
             if len(asked):
-                lo = leaf * LEAF_DOCS
-                scores = own[asked] @ docs.dense(lo, min(lo + LEAF_DOCS, size), use, dtype).T
+                lo = leaf * leaf_docs
+                scores = own[asked] @ docs.dense(lo, min(lo + leaf_docs, size), use, dtype).T
                 a, b = np.nonzero((scores > 0) & (scores >= self.kth[asked][:, None]))
                 self.add(asked[a], scores[a, b].astype(np.int64), [docs.ids[x] for x in (lo + b).tolist()])
         self.merge()
 
-    @staticmethod
-    def expanded(pairs: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    def expanded(self, pairs: np.ndarray, rows: int, cols: int) -> np.ndarray:
         """Pairs of children of the pairs of nodes that are left."""
         for axis, n in ((0, rows), (1, cols)):
             if n > pairs.shape[axis]:
-                pairs = np.repeat(pairs, FAN, axis=axis).take(range(n), axis=axis)
+                pairs = np.repeat(pairs, self.sizes.fan, axis=axis).take(range(n), axis=axis)
         return pairs
 
     def weakest(self, nodes: int, level: int) -> np.ndarray:
         """The weakest k-th best score of the items under each node of a level."""
-        under = LEAF_ITEMS * FAN**level
+        under = self.sizes.leaf_items * self.sizes.fan**level
         return np.minimum.reduceat(self.kth, np.arange(nodes) * under)
 
     def add(self, item: np.ndarray, score: np.ndarray, ids: list[int | None]) -> None:
         self.found.append((item, score, np.array([i is None for i in ids], bool), np.array([i or 0 for i in ids], np.int64)))
         self.waiting += len(ids)
-        if self.waiting >= MERGE:
+        if self.waiting >= self.sizes.merge:
             self.merge()
 
     def merge(self) -> None:
@@ -321,7 +339,7 @@ def nothing(spark: SparkSession, item: str) -> DataFrame:
     return spark.createDataFrame([], f"item_id {item}, rank int, doc_id long, score long")
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", sizes: Sizes = Sizes()) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the best ``k`` documents of each item.
 
     A score is the sum, over an item's terms with repeats, of the term's weight times
@@ -330,6 +348,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, text: str = "
     share an item id, or have none, are one item. Null and empty texts, and terms that
     no document holds, have no score. Empty tables give an empty one. Other columns
     do not matter. Scores are exact below 2^63, documents' terms below 2^31 each.
+    ``sizes`` cut the work and change no result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -338,17 +357,17 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, text: str = "
     numbered = given.alias("g").join(named.alias("n"), F.col("g.item_id").eqNullSafe(F.col("n.item_id"))).select("item", "text")
     terms = materialize(item_terms(numbered), "lexical-terms")
     # a row group a block, so that a reader holds one block at a time
-    index = materialize(build_index(rows, asked_bits(terms)), "lexical-index", **{"parquet.block.row.count.limit": "1"})
+    index = materialize(build_index(rows, asked_bits(terms, sizes.asked), sizes), "lexical-index", **{"parquet.block.row.count.limit": "1"})
     total, tokens = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    if not total:
+    number = named.count()
+    if not total or not number:
         return nothing(spark, dict(given.dtypes)["item_id"])
     worth = (F.col("n") * weight_of(total, F.col("docs"))).alias("worth")
     weighed = terms.join(document_counts(index), "term").select("item", F.struct("term", worth).alias("w")).where("w.worth > 0").groupBy("item").agg(F.collect_list("w").alias("w"))
-    number = named.count()
-    packs = -(-number // PACK_ITEMS)
-    packed = materialize(pack_items(weighed.withColumn("pack", F.pmod(F.xxhash64("item"), F.lit(packs))), packs), "lexical-packs", **{"parquet.block.row.count.limit": "1"})
-    shards = max(-(-total // SHARD_DOCS), min(shuffle_partitions(spark), -(-total // BLOCK_DOCS)))
-    parts = -(-number // HELD_ITEMS)
+    packs = -(-number // sizes.pack_items)
+    packed = materialize(pack_items(weighed.withColumn("pack", F.pmod(F.xxhash64("item"), F.lit(packs))), packs, sizes), "lexical-packs", **{"parquet.block.row.count.limit": "1"})
+    shards = max(-(-total // sizes.shard_docs), min(shuffle_partitions(spark), -(-total // sizes.block_docs)))
+    parts = -(-number // sizes.held_items)
 
     of_index = [c.split()[0] for c in INDEX.split(", ") if c.split()[0] not in ("docs", "tokens")]
     kinds = dict(index.dtypes) | dict(packed.dtypes)
@@ -372,7 +391,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, text: str = "
                     yield from (x.result() for x in here)
                     now, here = row["cell"], []
                 if row["turn"] == 0:
-                    here.append(Items(row, k))
+                    here.append(Items(row, k, sizes))
                 elif here:
                     block = Documents(row, total, tokens)
                     for x in here:
