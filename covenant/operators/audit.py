@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from covenant.functions.logic import fails
 from covenant.model import DomainSpec, KeySpec, Rule, TableContract
+from covenant.operators import scan
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,24 +123,18 @@ def enum_usage(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
     return listed.join(used, "label", "left").select("label", "ordinal", F.coalesce("n", F.lit(0)).cast("long").alias("uses"))
 
 
-def exclusion_pairs(df: DataFrame, key: str, equal: Sequence[str], lo: str, hi: str, bucket_seconds: int = 86_400) -> DataFrame:
-    """``(a, b)``: pairs of rows equal on ``equal`` whose ranges ``[lo, hi)`` overlap.
-
-    Ranges are dealt to time buckets, so rows meet by (equal, bucket) and a hot
-    value is spread over time; a pair counts in the first bucket both are in.
-    """
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    first, last = F.floor(seconds(lo) / bucket_seconds), F.floor((seconds(hi) - 0.000001) / bucket_seconds)
-    spread = df.where(F.col(lo) < F.col(hi)).select(F.col(key).alias("id"), *equal, F.col(lo).alias("lo"), F.col(hi).alias("hi"), first.alias("first"), F.explode(F.sequence(first, last)).alias("bucket"))
-    x, y = spread.alias("x"), spread.alias("y")
-    on = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*equal, "bucket"]])
-    return x.join(y, on & (F.col("x.id") < F.col("y.id")) & (F.col("x.lo") < F.col("y.hi")) & (F.col("y.lo") < F.col("x.hi")) & (F.col("x.bucket") == F.greatest("x.first", "y.first"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def exclusion_pairs(df: DataFrame, key: str, equal: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """``(a, b)``: pairs of rows equal on ``equal`` whose ranges ``[lo, hi)`` overlap
+    (`scan.overlaps`); a null in ``equal`` clashes with nothing."""
+    return scan.overlaps(df, key, equal, lo, hi)
 
 
 def exclusion_rows(df: DataFrame, key: str, equal: Sequence[str], lo: str, hi: str) -> DataFrame:
-    """Rows that overlap an earlier one (by ``lo``, ``key``): no pairs are made."""
-    w = Window.partitionBy(*equal).orderBy(lo, key).rowsBetween(Window.unboundedPreceding, -1)
-    return df.where(F.col(lo) < F.col(hi)).withColumn("__most", F.max(hi).over(w)).where(F.col("__most") > F.col(lo)).drop("__most")
+    """Rows that overlap an earlier one (by ``lo``, ``key``): no pairs are made. A null
+    in ``equal`` clashes with nothing. The latest end so far comes from a prefix scan,
+    so a hot value of ``equal`` is spread."""
+    asked = df.where((F.col(lo) < F.col(hi)) & reduce(Column.__and__, [F.col(c).isNotNull() for c in equal], F.lit(True)))
+    return scan.running(asked, equal, [lo, key], {"__most": ("max", F.col(hi))}).where(F.col("__most") > F.col(lo)).drop("__most")
 
 
 def type_conformance(df: DataFrame, types: Mapping[str, str], lengths: Mapping[str, int] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.functions import logic
+from covenant.operators import scan
 
 
 def keyed_diff(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -108,13 +109,13 @@ def predicate_difference(df: DataFrame, a: str, b: str) -> DataFrame:
 def merge_runs(actions: DataFrame, by: Sequence[str], order: str, subject: str, mergeable: Column, action: str) -> DataFrame:
     """Consecutive mergeable actions on one subject become one row.
 
-    A run ends where the subject changes and at an action that is not mergeable.
+    A run ends where the subject changes and at an action that is not mergeable. Runs
+    are told by prefix scans, so a key with many actions is spread; a run is a row.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    ok = F.coalesce(mergeable, F.lit(False))
-    marked = actions.withColumn("__ok", ok)
-    begins = ~(F.col("__ok") & F.coalesce(F.lag("__ok").over(w), F.lit(False)) & F.col(subject).eqNullSafe(F.lag(subject).over(w)))
-    runs = marked.withColumn("__run", F.sum(begins.cast("int")).over(w))
+    marked = actions.withColumn("__ok", F.coalesce(mergeable, F.lit(False)))
+    told = scan.before(marked, by, [order], {"__ok_before": F.col("__ok"), "__subject_before": F.col(subject)})
+    begins = ~(F.col("__ok") & F.coalesce("__ok_before", F.lit(False)) & F.col(subject).eqNullSafe(F.col("__subject_before")))
+    runs = scan.running(told, by, [order], {"__run": ("sum", begins.cast("long"))}, inclusive=True)
     return runs.groupBy(*by, "__run").agg(F.first(subject).alias(subject), F.min(order).alias("first"), F.count("*").alias("merged"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, action))), lambda x: x[action]), ", ").alias("actions")).drop("__run")
 
 

@@ -1,6 +1,7 @@
 """Dependency analytics over edges ``(db_id, src, dst)``: src depends on dst.
 
-Rounds run over all databases at once; each is written to the shared folder.
+Rounds run over all databases at once; what a round leaves is written to the shared
+folder.
 """
 
 from __future__ import annotations
@@ -12,30 +13,89 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covenant.shared import stored
+from covenant.shared import stored, stored_with
+
+
+#: Links of a chain that a round joins into one: two doublings.
+HOPS = 4
+
+
+def known_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = nodes.select("db_id", "node").distinct()
+    real = edges.where("src <> dst").join(known.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi").join(known.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi")
+    return known, real.select("db_id", "src", "dst").distinct()
 
 
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(db_id, node, level)``: 0 for nodes without dependencies, else one more
     than the highest they depend on; null for members of cycles and nodes behind
-    them. Edges to unknown nodes and to the node itself do not count. The
-    rounds go on until no node is free; more than ``max_rounds`` levels, if it is
-    given, are an error."""
-    known = nodes.select("db_id", "node").distinct()
-    real = edges.where("src <> dst").join(known.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi").join(known.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").distinct()
-    left, open_edges, placed = stored(known, "graph-left"), stored(real.select("db_id", "src", "dst"), "graph-edges"), None
-    for n in count():
-        blocked = open_edges.select("db_id", F.col("src").alias("node")).distinct()
-        front = stored(left.join(blocked, ["db_id", "node"], "left_anti").withColumn("level", F.lit(n)), "graph-front")
-        if front.isEmpty():
-            break
-        if n == max_rounds:
+    them. Edges to unknown nodes and to the node itself do not count.
+
+    Rake and compress: a round settles nodes all of whose dependencies are settled,
+    then those that depend on these alone; and it shortens chains. A node with one
+    open dependency has the level max(floor, weight + level of that one); two such
+    rules in a row are one rule again, so pointers along a chain double, `HOPS` by
+    `HOPS`, and edges that lead into a chain go on to its end. Trees and chains take
+    rounds by the logarithm of their depth, other graphs by what branches. More than
+    ``max_rounds`` levels, if it is given, are an error."""
+    known, real = known_edges(nodes, edges)
+    linked = real.select("db_id", F.col("src").alias("node"), "dst", F.lit(1).alias("w"))
+    left = stored(known.join(linked, ["db_id", "node"], "left").withColumn("floor", F.lit(0)), "graph-open")
+    placed: list[DataFrame] = []
+    while True:
+        first = raked(left)
+        second = raked(first.where("level IS NULL").drop("level", "links"))
+        both = first.where("level IS NOT NULL").unionByName(second)
+        state, seen = stored_with(both, "graph-raked", settled=F.count_if(F.col("level").isNotNull()), open=F.count_if(F.col("level").isNull()), top=F.max("level"))
+        if max_rounds is not None and (seen["top"] or 0) >= max_rounds > 0:
             raise RuntimeError(f"levels did not end in {max_rounds} rounds")
-        placed = front if placed is None else placed.unionByName(front)
-        left = stored(left.join(front, ["db_id", "node"], "left_anti"), "graph-left")
-        open_edges = stored(open_edges.join(front.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"], "left_anti").select("db_id", "src", "dst"), "graph-edges")
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if placed is None else placed.unionByName(rest)
+        left = state.where("level IS NULL").drop("level")
+        if seen["settled"]:
+            placed.append(state.where("level IS NOT NULL"))
+        if not seen["settled"] or not seen["open"]:
+            rest = left.select("db_id", "node").distinct().withColumn("level", F.lit(None).cast("int"))
+            return reduce(DataFrame.unionByName, [x.select("db_id", "node", "level") for x in placed], rest)
+        left = stored(compressed(left), "graph-open")
+
+
+def raked(left: DataFrame) -> DataFrame:
+    """``left (db_id, node, dst, w, floor)``, a row for each open dependency of a node or
+    one without ``dst``. Nodes without any get ``level``, their floor; the others' floors
+    rise by what these settle. ``links`` is how many dependencies a node still has."""
+    free = left.where("dst IS NULL").withColumn("level", F.col("floor")).withColumn("links", F.lit(0).cast("long"))
+    ends = free.select("db_id", F.col("node").alias("dst"), "level")
+    met = left.where("dst IS NOT NULL").join(ends, ["db_id", "dst"], "left").withColumn("at", F.col("level") + F.col("w")).drop("level")
+    own = Window.partitionBy("db_id", "node")
+    still = F.col("at").isNull()
+    told = met.withColumns({"links": F.count_if(still).over(own), "floor": F.greatest("floor", F.coalesce(F.max("at").over(own), "floor")), "n": F.row_number().over(own.orderBy("dst"))})
+    kept = told.where(still | ((F.col("links") == 0) & (F.col("n") == 1)))
+    rows = kept.select("db_id", "node", F.when(still, F.col("dst")).alias("dst"), F.when(still, F.col("w")).alias("w"), "floor", "links", F.lit(None).cast("int").alias("level"))
+    return rows.unionByName(free.select(*rows.columns))
+
+
+def compressed(left: DataFrame) -> DataFrame:
+    """``left`` with chains shortened: pointers of nodes with one open dependency jump
+    ahead, and edges into such nodes lead to where they point."""
+    jumps = left.where("links = 1").drop("links")
+    for _ in range(HOPS // 2):
+        jumps = hop(jumps)
+    ends = jumps.select("db_id", F.col("node").alias("dst"), F.col("dst").alias("end"), F.col("w").alias("more"), F.col("floor").alias("low"))
+    led = left.where("links > 1").join(ends, ["db_id", "dst"], "left")
+    merged = led.groupBy("db_id", "node", F.coalesce("end", "dst").alias("dst")).agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.max("floor").alias("floor"), F.max(F.col("w") + F.col("low")).alias("low"))
+    own = Window.partitionBy("db_id", "node")
+    merged = merged.select("db_id", "node", "dst", "w", F.greatest("floor", F.coalesce(F.max("low").over(own), "floor")).alias("floor"))
+    return left.where("links = 0").drop("links").unionByName(jumps).unionByName(merged)
+
+
+def hop(jumps: DataFrame) -> DataFrame:
+    """Pointers ``(db_id, node, dst, w, floor)`` led on by the pointer of their end. On
+    a cycle of such nodes they go round; their weights stay bounded, as they are
+    never used."""
+    ahead = jumps.select("db_id", F.col("node").alias("dst"), F.col("dst").alias("end"), F.col("w").alias("more"), F.col("floor").alias("low"))
+    met = jumps.join(ahead, ["db_id", "dst"], "left")
+    far = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(1 << 29))
+    floor = F.least(F.greatest("floor", F.coalesce(F.col("w") + F.col("low"), "floor")), F.lit(1 << 29))
+    return met.select("db_id", "node", F.coalesce("end", "dst").alias("dst"), far.alias("w"), floor.alias("floor"))
 
 
 def positions(leveled: DataFrame) -> DataFrame:
@@ -52,17 +112,90 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels(ahead, back).where("level IS NULL").select("db_id", "node")
 
 
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(db_id, node, component, members)``: nodes that depend on each other, by the
+    least of them; a node that is on no cycle is a component of its own.
+
+    What is ahead of all cycles or behind them is trimmed (`cycle_members`). The rest
+    is coloured: each node by the greatest node that depends on it, however far. A
+    node of its own colour and those of its colour that it depends on in a circle are
+    a component; edges between colours join no component, so the others of a colour
+    go on by themselves."""
+    known, real = known_edges(nodes, edges)
+    core, told = stored_with(cycle_members(known, real), "graph-core", n=F.count("*"))
+    links = real.join(core.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").join(core.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi")
+    links, found = stored(links, "graph-edges"), []
+    while told["n"]:
+        colour = coloured(core, links)
+        own = links.join(colour.select("db_id", F.col("node").alias("src"), F.col("colour").alias("c")), ["db_id", "src"]).join(colour.select("db_id", F.col("node").alias("dst"), F.col("colour").alias("d")), ["db_id", "dst"]).where("c = d").select("db_id", "src", "dst")
+        own = stored(own, "graph-edges")
+        # nodes of a colour that reach its root; the root reaches them all
+        back = impact(own, colour.where("node = colour").select("db_id", "node")).select("db_id", "node")
+        members = stored(colour.join(back, ["db_id", "node"], "left_semi"), "graph-component")
+        found.append(members)
+        core, told = stored_with(core.join(members, ["db_id", "node"], "left_anti"), "graph-core", n=F.count("*"))
+        links = stored(own.join(core.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").join(core.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi"), "graph-edges")
+    if not found:
+        return known.select("db_id", "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
+    held = reduce(DataFrame.unionByName, found)
+    named = held.groupBy("db_id", "colour").agg(F.min("node").alias("component"), F.count("*").alias("members"))
+    told = held.join(named, ["db_id", "colour"]).select("db_id", "node", "component", "members")
+    return known.join(told, ["db_id", "node"], "left").select("db_id", "node", F.coalesce("component", "node").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
+
+
+def coloured(core: DataFrame, links: DataFrame) -> DataFrame:
+    """``(db_id, node, colour)``: the greatest node from which a path leads to the
+    node, itself included. A stored round takes two steps along the edges, and one to
+    the colour that the colour's own node has."""
+    labels = stored(core.withColumn("colour", F.col("node")), "graph-colour")
+    while True:
+        now = labels.withColumn("was", F.col("colour"))
+        for _ in range(2):
+            given = links.join(now.select("db_id", F.col("node").alias("src"), "colour"), ["db_id", "src"]).select("db_id", F.col("dst").alias("node"), "colour", F.lit(None).cast("string").alias("was"))
+            now = now.unionByName(given).groupBy("db_id", "node").agg(F.max("colour").alias("colour"), F.max("was").alias("was"))
+        ahead = labels.select("db_id", F.col("node").alias("colour"), F.col("colour").alias("further"))
+        now = now.join(ahead, ["db_id", "colour"], "left").select("db_id", "node", F.greatest("colour", F.coalesce("further", "colour")).alias("colour"), "was")
+        labels, seen = stored_with(now, "graph-colour", changed=F.count_if(F.col("colour") != F.col("was")))
+        labels = labels.drop("was")
+        if not seen["changed"]:
+            return labels
+
+
+def unit_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(db_id, node, component, members, level)``: levels where the members of a
+    cycle are one unit, so that nodes behind a cycle are ordered too. Members of a
+    unit share a level."""
+    known, real = known_edges(nodes, edges)
+    units = stored(strong_components(known, real), "graph-units")
+    at = lambda end: units.select("db_id", F.col("node").alias(end), F.col("component").alias(f"{end}_unit"))
+    between = real.join(at("src"), ["db_id", "src"]).join(at("dst"), ["db_id", "dst"]).select("db_id", F.col("src_unit").alias("src"), F.col("dst_unit").alias("dst"))
+    leveled = levels(units.select("db_id", F.col("component").alias("node")), between).withColumnRenamed("node", "component")
+    return units.join(leveled, ["db_id", "component"]).select("db_id", "node", "component", "members", "level")
+
+
+#: Steps along edges that a stored round of `impact` takes.
+STEPS = 4
+
+
 def impact(edges: DataFrame, changed: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``(db_id, node, distance)``: everything that depends on a changed node."""
+    """``(db_id, node, distance)``: everything that depends on a changed node. A stored
+    round takes `STEPS` steps and goes on from what only the last of them reached;
+    more than ``max_rounds`` rounds, if it is given, are an error."""
     seen = front = stored(changed.select("db_id", "node").distinct().withColumn("distance", F.lit(0)), "graph-seen")
     for n in count(1):
         if n == max_rounds:
             raise RuntimeError(f"impact did not end in {max_rounds} rounds")
-        step = edges.join(front.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"]).select("db_id", F.col("src").alias("node")).distinct()
-        front = stored(step.join(seen, ["db_id", "node"], "left_anti").withColumn("distance", F.lit(n)), "graph-front")
-        if front.isEmpty():
+        far, parts, at = n * STEPS, [], front.select("db_id", "node")
+        for step in range(far - STEPS + 1, far + 1):
+            at = edges.join(at.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"]).select("db_id", F.col("src").alias("node")).distinct()
+            parts.append(at.withColumn("distance", F.lit(step)))
+        reached = reduce(DataFrame.unionByName, parts).groupBy("db_id", "node").agg(F.min("distance").alias("distance"))
+        new, told = stored_with(reached.join(seen, ["db_id", "node"], "left_anti"), "graph-front", last=F.count_if(F.col("distance") == far))
+        seen, front = seen.unionByName(new), new.where(F.col("distance") == far)
+        if not told["last"]:
             return seen
-        seen = stored(seen.unionByName(front), "graph-seen")
+        if n % 16 == 0:
+            seen = stored(seen, "graph-seen")  # fewer files and a short plan
 
 
 def resolve_edges(used: DataFrame, objects: DataFrame) -> DataFrame:

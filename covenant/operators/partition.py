@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.model import PartitionSpec
+from covenant.operators import scan
 from covenant.operators.evolve import Change
 
 #: Bounds that are written as one CASE; beyond that they are joined.
@@ -47,22 +49,43 @@ def unrouted(df: DataFrame, levels: Sequence[tuple[str, Sequence[PartitionSpec]]
     return route(df, levels, "__to").where("__to IS NULL").drop("__to")
 
 
-def route_many(df: DataFrame, column: str, bounds: DataFrame, width: float) -> DataFrame:
-    """Many numeric ranges ``bounds (name, start, end)``: rows and bounds meet by
-    a bucket of ``width``, an equi-join, instead of a nested loop."""
-    listed = bounds.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1e-9) / width))))
-    rows = df.withColumn("__bucket", F.floor(F.col(column) / width))
-    on = (rows["__bucket"] == listed["__bucket"]) & (rows[column] >= listed["start"]) & (rows[column] < listed["end"])
-    return rows.join(listed, on, "left").select(*[rows[c] for c in df.columns], listed["name"].alias("partition"))
+def route_many(df: DataFrame, column: str, bounds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Many ranges ``bounds (*by, name, start, end)``: rows and bounds are merged by one
+    scan (`scan.locate`), however wide the ranges are. ``by`` names columns that
+    both have: the levels above."""
+    return scan.locate(df, column, bounds, by)
+
+
+def route_tree(df: DataFrame, levels: Sequence[tuple[str, DataFrame]], name: str = "partition") -> DataFrame:
+    """``df`` with its path of partitions over levels ``(column, bounds)`` of many bounds.
+
+    ``bounds (parent, name, start, end, values, is_default)``: the parent is the path so
+    far, null on the first level; a range, or a list of ``values`` (as text), or
+    the default, which takes what no other does, nulls included. No path is given
+    where a level takes no row. ``parent`` and ``name`` are distinct together.
+    """
+    out, lost = df.withColumn("__path", F.lit(None).cast("string")), []
+    for column, bounds in levels:
+        told = bounds.withColumn("__path", F.col("parent"))
+        ranges = told.where("NOT is_default AND values IS NULL").select("__path", "name", "start", "end")
+        out = scan.locate(out.withColumn("__top", F.coalesce("__path", F.lit(""))), column, ranges.withColumn("__top", F.coalesce("__path", F.lit(""))), ["__top"], to="__range")
+        listed = told.where("NOT is_default AND values IS NOT NULL").select(F.coalesce("__path", F.lit("")).alias("__top"), F.explode("values").alias("__listed"), F.col("name").alias("__list"))
+        other = told.where("is_default").select(F.coalesce("__path", F.lit("")).alias("__top"), F.col("name").alias("__other"))
+        out = out.withColumn("__listed", F.col(column).cast("string")).join(listed, ["__top", "__listed"], "left").join(other, "__top", "left")
+        own = F.coalesce("__range", "__list", "__other")
+        out = out.select(*df.columns, F.when(F.col("__top") == "", own).otherwise(F.concat("__path", F.lit("/"), own)).alias("__path"))
+        lost.append(out.where("__path IS NULL"))
+        out = out.where("__path IS NOT NULL")
+    return reduce(DataFrame.unionByName, lost, out).withColumnRenamed("__path", name)
 
 
 def overlapping_bounds(bounds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Ranges ``(*by, name, start, end)`` that begin before an earlier one ends;
-    a null start or end is open. ``taken_to`` is null where that is open."""
-    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("start"), "name").rowsBetween(Window.unboundedPreceding, -1)
-    open_end = F.coalesce(F.max(F.col("end").isNull()).over(w), F.lit(False))
-    marked = bounds.withColumn("__first", F.count("*").over(w) == 0).withColumn("__open", open_end).withColumn("taken_to", F.when(~open_end, F.max("end").over(w)))
-    return marked.where(~F.col("__first") & (F.col("__open") | F.col("start").isNull() | (F.col("start") < F.col("taken_to")))).drop("__first", "__open")
+    a null start or end is open. ``taken_to`` is null where that is open. What is
+    taken so far comes from a prefix scan, so a parent of many ranges is spread."""
+    sums = {"__seen": ("sum", F.lit(1)), "__open": ("max", F.col("end").isNull()), "taken_to": ("max", F.col("end"))}
+    marked = scan.running(bounds, by, ["start", "name"], sums).withColumn("taken_to", F.when(~F.col("__open"), F.col("taken_to")))
+    return marked.where(F.col("__seen").isNotNull() & (F.col("__open") | F.col("start").isNull() | (F.col("start") < F.col("taken_to")))).drop("__seen", "__open")
 
 
 def repeated_defaults(bounds: DataFrame, by: Sequence[str], default: str = "is_default") -> DataFrame:

@@ -22,6 +22,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
@@ -390,7 +392,7 @@ def j04_anti_join(spark, sf):
 def j06_range_join(spark, sf):
     prices = read(spark, sf, "part").select(F.floor(F.col("p_retailprice") / 50).alias("b")).distinct()
     bounds = prices.select(F.concat(F.lit("b"), "b").alias("name"), (F.col("b") * 50).cast("double").alias("start"), ((F.col("b") + 1) * 50).cast("double").alias("end"))
-    return partition.route_many(read(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", bounds, 100.0).select("p_partkey", "partition")
+    return partition.route_many(read(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", bounds).select("p_partkey", "partition")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0 LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -730,7 +732,7 @@ def p05_ignore(spark, sf):
 
 
 @query(FLEET + "SELECT db_id, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.db_id = t.db_id AND r.ref_table = t.name) GROUP BY db_id")
-def p06_managed_only(spark, sf):
+def p06_unreferenced(spark, sf):
     f = snapshot.fleet(spark, sf)
     return snapshot.ignore(f["tables"], f["references"].select("db_id", F.col("ref_table").alias("name")), ["db_id", "name"]).groupBy("db_id").agg(F.count("*").alias("n"))
 
@@ -961,4 +963,4 @@ def t02_streaming_unique(spark, sf):
     return stream_gate.unique_stream(stream_gate.file_stream(spark, sf, "events"), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
 
 
-from covenant import queries_catalog, queries_rules  # noqa: E402, F401  register their queries here
+from covenant import queries_catalog, queries_graphs, queries_rules, queries_sources  # noqa: E402, F401  register their queries here

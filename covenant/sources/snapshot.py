@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from covenant.functions.logic import name_matches, visible
 from covenant.operators.audit import violations
-from covenant.model import Rule
+from covenant.model import Rule, TableContract
 
 #: Databases get so many tables each.
 TABLES = 50
@@ -67,6 +67,15 @@ def load_contracts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return objects
 
 
+def table_contracts(objects: DataFrame, names: Sequence[str]) -> dict[str, TableContract]:
+    """The contracts of the named tables out of `load_contracts`; a name that no
+    file declares is an error. All of them as rows: `catalog.declared_rows`."""
+    held = {r.name: TableContract.from_json(r.definition) for r in objects.where((F.col("kind") == "table") & F.col("name").isin(list(names))).collect()}
+    if missing := sorted(set(names) - set(held)):
+        raise ValueError(f"not declared: {', '.join(missing)}")
+    return held
+
+
 def filter_names(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), name: str = "name") -> DataFrame:
     return df.where(name_matches(F.col(name), include, exclude))
 
