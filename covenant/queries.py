@@ -12,6 +12,7 @@ from covenant.functions import logic
 from covenant.model import ColumnSpec, DomainSpec, DropPolicy, KeySpec, PartitionSpec, PolicySpec, ReferenceSpec, Rule, TableContract
 from covenant.operators import audit, diff, evolve, graph, partition, policy
 from covenant.plans import views
+from covenant.queries_fleet import COLUMNS, TABLES, fleet
 from covenant.sources import snapshot
 from covenant.streaming import gate as stream_gate
 
@@ -208,8 +209,8 @@ def c11_exclusion_rows(spark, sf):
 
 
 FLEET = f"""
-WITH t AS (SELECT c_custkey // {snapshot.TABLES} AS db_id, 'app' AS schema, 't' || c_custkey AS name, c_custkey AS n, c_custkey % {snapshot.TABLES} AS i FROM customer),
-c AS (SELECT db_id, schema, name AS "table", n, o AS ordinal, col AS name, kind AS type_name, o <= 2 AS not_null FROM t, (VALUES {', '.join(f"({i + 1}, '{c}', '{k}')" for i, (c, k) in enumerate(snapshot.COLUMNS))}) v(o, col, kind)),
+WITH t AS (SELECT c_custkey // {TABLES} AS db_id, 'app' AS schema, 't' || c_custkey AS name, c_custkey AS n, c_custkey % {TABLES} AS i FROM customer),
+c AS (SELECT db_id, schema, name AS "table", n, o AS ordinal, col AS name, kind AS type_name, o <= 2 AS not_null FROM t, (VALUES {', '.join(f"({i + 1}, '{c}', '{k}')" for i, (c, k) in enumerate(COLUMNS))}) v(o, col, kind)),
 t2 AS (SELECT * FROM t WHERE n % 11 <> 0),
 c2 AS (SELECT db_id, schema, "table", n, ordinal, name, CASE WHEN n % 5 = 0 AND name = 'owner' THEN 'bigint' ELSE type_name END AS type_name, not_null FROM c WHERE n % 11 <> 0
   UNION ALL SELECT db_id, schema, name, n, 10, 'extra', 'text', false FROM t2 WHERE n % 7 = 0),
@@ -220,7 +221,7 @@ r AS (SELECT * FROM (SELECT db_id, schema, name AS "table", 'fk_' || name AS nam
 
 @query(FLEET + "SELECT db_id, name, count(*) AS definitions FROM (SELECT db_id, name FROM t UNION ALL SELECT db_id, name FROM t2 WHERE n % 13 = 0) GROUP BY ALL HAVING count(*) > 1")
 def c12_duplicate_definitions(spark, sf):
-    a, b = snapshot.fleet(spark, sf)["tables"], snapshot.fleet(spark, sf, True)["tables"]
+    a, b = fleet(spark, sf)["tables"], fleet(spark, sf, True)["tables"]
     return audit.duplicate_definitions(a.select("db_id", "name").unionByName(b.where("n % 13 = 0").select("db_id", "name")), ["db_id", "name"])
 
 
@@ -240,7 +241,7 @@ def c14_generated(spark, sf):
 
 @query(FLEET + """SELECT r.db_id, r.schema, r."table", r.name, r.col AS "column" FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.db_id = r.db_id AND c."table" = r."table" AND c.name = r.col)""")
 def c15_dangling_columns(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     return audit.dangling_columns(f["references"], f["columns"])
 
 
@@ -334,7 +335,7 @@ def f08_collation(spark, sf):
 
 @query(FLEET + """SELECT DISTINCT type_name, CASE type_name WHEN 'int4' THEN 'integer' WHEN 'varchar(40)' THEN 'character varying(40)' WHEN 'numeric(12, 2)' THEN 'numeric(12,2)' WHEN 'timestamptz' THEN 'timestamp with time zone' WHEN 'timestamp' THEN 'timestamp without time zone' WHEN 'int2[]' THEN 'smallint[]' ELSE type_name END AS usual FROM c""")
 def f09_type_names(spark, sf):
-    return snapshot.fleet(spark, sf)["columns"].select("type_name", logic.type_name(F.col("type_name"), F.col("schema")).alias("usual")).distinct()
+    return fleet(spark, sf)["columns"].select("type_name", logic.type_name(F.col("type_name"), F.col("schema")).alias("usual")).distinct()
 
 
 # -- diff -----------------------------------------------------------------------
@@ -364,7 +365,7 @@ def j01_diff_counts(spark, sf):
 def j02_attribute_diff(spark, sf):
     pick = lambda f: f["columns"].select("db_id", "table", "name", "ordinal", "type_name", "not_null")
     key = ["db_id", "table", "name"]
-    return diff.attribute_diff(diff.keyed_diff(pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True)), key), key)
+    return diff.attribute_diff(diff.keyed_diff(pick(fleet(spark, sf)), pick(fleet(spark, sf, True)), key), key)
 
 
 RENAMES = "SELECT db_id, 't' || n AS old, CASE WHEN n % 3 = 0 THEN 't' || n || '_v2' WHEN n % 3 = 1 THEN 't' || (n + 1) ELSE 't' || n END AS new, CASE WHEN n % 3 = 1 THEN 100 - n % 50 ELSE 10 + n % 50 END AS ordinal FROM {t} WHERE n % 13 < 3"
@@ -376,7 +377,7 @@ SELECT q.db_id, q.old, q.new, CASE WHEN q.old = q.new THEN 'noop' WHEN o.name IS
   WHEN w.name IS NULL THEN 'applied' ELSE 'dest_exists' END AS rename_status
 FROM q LEFT JOIN t o ON o.db_id = q.db_id AND o.name = q.old LEFT JOIN t w ON w.db_id = q.db_id AND w.name = q.new""")
 def j03_renames(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
     asked = t.where("n % 13 < 3").select("db_id", F.expr("'t' || n AS old"), F.expr("CASE WHEN n % 3 = 0 THEN 't' || n || '_v2' WHEN n % 3 = 1 THEN 't' || (n + 1) ELSE 't' || n END AS new"), F.expr("cast(CASE WHEN n % 3 = 1 THEN 100 - n % 50 ELSE 10 + n % 50 END AS int) AS ordinal"))
     asked = asked.unionByName(t.where("n % 31 = 0").select("db_id", F.expr("'none' || n AS old"), F.expr("'x' || n AS new"), F.lit(1).alias("ordinal")))
     wanted = asked.select("db_id", F.col("new").alias("name"))
@@ -403,7 +404,7 @@ def j07_enrichment(spark, sf):
 
 @query(FLEET + """SELECT db_id, "table", name, CASE WHEN col = 'owner' AND substr("table", 2)::BIGINT % 4 = 0 THEN 'holder' ELSE col END AS columns FROM r""")
 def j08_rename_propagation(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     renames = f["tables"].where("n % 4 = 0").select("db_id", F.col("name").alias("table"), F.lit("owner").alias("old"), F.lit("holder").alias("new"))
     return diff.propagate_column_renames(f["references"], renames).select("db_id", "table", "name", F.array_join("columns", ",").alias("columns"))
 
@@ -474,14 +475,14 @@ def w05_insert_positions(spark, sf):
 @query(FLEET + """SELECT c.db_id, c."table" AS view, bool_and(c2.name IS NOT NULL AND c2.type_name = c.type_name) AS replaceable FROM c LEFT JOIN c2 ON c.db_id = c2.db_id AND c."table" = c2."table" AND c.ordinal = c2.ordinal GROUP BY ALL""")
 def w06_replaceable_views(spark, sf):
     pick = lambda f: f["columns"].select("db_id", F.col("table").alias("view"), "ordinal", F.col("name").alias("column"), F.col("type_name").alias("type"))
-    return diff.replaceable_views(pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True)))
+    return diff.replaceable_views(pick(fleet(spark, sf)), pick(fleet(spark, sf, True)))
 
 
 @query(FLEET + """, k AS (SELECT coalesce(t2.db_id, t.db_id) AS db_id, coalesce(t2.name, t.name) AS name, CASE WHEN t.name IS NULL THEN 'create' WHEN t2.name IS NULL THEN 'skipped' END AS action FROM t FULL JOIN t2 ON t.db_id = t2.db_id AND t.name = t2.name)
 SELECT db_id, name, 'table' AS kind, action, action <> 'skipped' AS executable FROM k WHERE action IS NOT NULL AND name NOT LIKE 't%7'""")
 def e16_change_report(spark, sf):
     pick = lambda f: f["tables"].select("db_id", "name", "schema")
-    a, b = pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True))
+    a, b = pick(fleet(spark, sf)), pick(fleet(spark, sf, True))
     return diff.change_report(diff.keyed_diff(a, b, ["db_id", "name"]), ["db_id", "name"], "table", ignored=a.where("name LIKE 't%7'"))
 
 
@@ -634,14 +635,14 @@ UNION ALL SELECT c.db_id, c."table", c.name, 'alter' FROM c JOIN c2 ON c.db_id =
 def e15_swap(spark, sf):
     pick = lambda f: f["columns"].select("db_id", "table", "name", "type_name")
     key = ["db_id", "table", "name"]
-    found = diff.keyed_diff(pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True)), key)
+    found = diff.keyed_diff(pick(fleet(spark, sf)), pick(fleet(spark, sf, True)), key)
     return diff.swap_actions(found, key, F.expr("cast(substr(`table`, 2) AS bigint) % 2 = 0"), allow_drops=True)
 
 
 @query(FLEET + """, x AS (SELECT db_id, "table", name, CASE WHEN ordinal % 3 = 0 THEN 'drop' ELSE 'alter' END AS action, ordinal % 2 = 0 AS generated FROM c)
 SELECT db_id, "table", name, CAST(row_number() OVER (PARTITION BY db_id, "table" ORDER BY CASE WHEN action = 'drop' AND generated THEN 0 WHEN action <> 'drop' THEN 1 ELSE 2 END, name) AS INTEGER) AS step FROM x""")
 def o03_table_steps(spark, sf):
-    c = snapshot.fleet(spark, sf)["columns"]
+    c = fleet(spark, sf)["columns"]
     changes = c.select("db_id", "table", "name", F.expr("CASE WHEN ordinal % 3 = 0 THEN 'drop' ELSE 'alter' END AS action"), F.expr("ordinal % 2 = 0 AS generated"))
     return diff.table_steps(changes).select("db_id", "table", "name", "step")
 
@@ -701,7 +702,7 @@ def r05_policy_impact(spark, sf):
 
 @query(FLEET + "SELECT db_id, count(*) AS n FROM t WHERE (name LIKE 't1%' OR regexp_matches(name, '^t[2-3].$')) AND name NOT LIKE '%7' GROUP BY db_id")
 def p01_name_filter(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
     return snapshot.filter_names(t, ["t1*", "t[2-3]?"], ["*7"]).groupBy("db_id").agg(F.count("*").alias("n"))
 
 
@@ -715,25 +716,25 @@ OBJECTS = "o AS (SELECT db_id, schema, name, 'table' AS kind FROM t UNION ALL SE
 
 @query(FLEET + f", {OBJECTS} SELECT kind, count(*) AS n FROM o WHERE kind IN ('table', 'reference') GROUP BY kind")
 def p02_kind_filter(spark, sf):
-    return snapshot.filter_kinds(all_objects(snapshot.fleet(spark, sf)), ["table", "reference"], ["table"]).groupBy("kind").agg(F.count("*").alias("n"))
+    return snapshot.filter_kinds(all_objects(fleet(spark, sf)), ["table", "reference"], ["table"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(FLEET + ", s AS (SELECT db_id, name, CASE WHEN n % 3 = 0 THEN 'audit' ELSE 'app' END AS schema FROM t) SELECT db_id, name, CASE schema WHEN 'app' THEN 'prod' ELSE schema END AS schema FROM s WHERE schema IN ('app', 'prod')")
 def p03_p04_schemas(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"].withColumn("schema", F.expr("CASE WHEN n % 3 = 0 THEN 'audit' ELSE 'app' END")).select("db_id", "name", "schema")
+    t = fleet(spark, sf)["tables"].withColumn("schema", F.expr("CASE WHEN n % 3 = 0 THEN 'audit' ELSE 'app' END")).select("db_id", "name", "schema")
     mapped = {"app": "prod"}
     return snapshot.remap_schemas(snapshot.filter_schemas(t, ["app"], mapped), mapped)
 
 
 @query(FLEET + "SELECT db_id, name FROM t WHERE n % 6 <> 0")
 def p05_ignore(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
     return snapshot.ignore(t, t.where("n % 6 = 0"), ["db_id", "name"]).select("db_id", "name")
 
 
 @query(FLEET + "SELECT db_id, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.db_id = t.db_id AND r.ref_table = t.name) GROUP BY db_id")
 def p06_unreferenced(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     return snapshot.ignore(f["tables"], f["references"].select("db_id", F.col("ref_table").alias("name")), ["db_id", "name"]).groupBy("db_id").agg(F.count("*").alias("n"))
 
 
@@ -747,12 +748,12 @@ def u05_parent_read(spark, sf):
 
 @query(FLEET + """SELECT db_id, "table", string_agg(name, ',' ORDER BY ordinal) AS columns FROM c GROUP BY ALL""")
 def a01_ordered_columns(spark, sf):
-    return snapshot.ordered_columns(snapshot.fleet(spark, sf)["columns"], ["db_id", "table"], "ordinal", "name").select("db_id", "table", F.array_join("columns", ",").alias("columns"))
+    return snapshot.ordered_columns(fleet(spark, sf)["columns"], ["db_id", "table"], "ordinal", "name").select("db_id", "table", F.array_join("columns", ",").alias("columns"))
 
 
 @query(FLEET + "SELECT db_id, 'active,inactive,pending' AS labels FROM (SELECT DISTINCT db_id FROM t2)")
 def a02_enum_labels(spark, sf):
-    e = snapshot.fleet(spark, sf, True)["enums"]
+    e = fleet(spark, sf, True)["enums"]
     return snapshot.ordered_columns(e, ["db_id", "name"], "ordinal", "label").select("db_id", F.array_join("columns", ",").alias("labels"))
 
 
@@ -764,14 +765,14 @@ def a03_role_sets(spark, sf):
 
 @query(FLEET + f", {OBJECTS} SELECT db_id, count(*) FILTER (WHERE kind = 'table') AS \"table\", count(*) FILTER (WHERE kind = 'constraint') AS \"constraint\", count(*) FILTER (WHERE kind = 'reference') AS reference FROM o GROUP BY db_id")
 def a04_object_counts(spark, sf):
-    return diff.pivot_counts(all_objects(snapshot.fleet(spark, sf)), ["db_id"], ["table", "constraint", "reference"])
+    return diff.pivot_counts(all_objects(fleet(spark, sf)), ["db_id"], ["table", "constraint", "reference"])
 
 
 @query(FLEET + "SELECT db_id, bool_or(n % 11 <> 0 AND n % 5 = 0) AS drifted FROM t GROUP BY db_id")
 def a05_drift(spark, sf):
     pick = lambda f: f["columns"].select("db_id", "table", "name", "type_name")
     key = ["db_id", "table", "name"]
-    a, b = pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True)).where("name <> 'extra'")
+    a, b = pick(fleet(spark, sf)), pick(fleet(spark, sf, True)).where("name <> 'extra'")
     report = diff.change_report(diff.keyed_diff(a, b, key), key, "column")
     found = report.groupBy("db_id").agg(F.bool_or("executable").alias("drifted"))
     return a.select("db_id").distinct().join(found, "db_id", "left").select("db_id", F.coalesce("drifted", F.lit(False)).alias("drifted"))
@@ -780,7 +781,7 @@ def a05_drift(spark, sf):
 @query(FLEET + """, o AS (SELECT db_id, schema, name, 'table' AS kind FROM t UNION ALL SELECT db_id, schema, CASE WHEN n % 23 = 0 THEN 't' || n ELSE 'v' || n END, 'view' FROM t UNION ALL SELECT db_id, schema, 'v' || n, 'view' FROM t WHERE n % 29 = 0)
 SELECT db_id, schema, name, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM o GROUP BY ALL HAVING count(*) > 1""".replace("GROUP BY ALL HAVING", "GROUP BY db_id, schema, name HAVING"))
 def a06_name_collisions(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
     base = ["db_id", "schema"]
     objects = t.select(*base, "name", F.lit("table").alias("kind")).unionByName(t.select(*base, F.expr("CASE WHEN n % 23 = 0 THEN 't' || n ELSE 'v' || n END AS name"), F.lit("view").alias("kind"))).unionByName(t.where("n % 29 = 0").select(*base, F.expr("'v' || n AS name"), F.lit("view").alias("kind")))
     return snapshot.name_collisions(objects)
@@ -789,7 +790,7 @@ def a06_name_collisions(spark, sf):
 @query(FLEET + """, o AS (SELECT db_id, schema, "table", name, 'f' AS type FROM r UNION ALL SELECT db_id, schema, name, name || '_pkey', 'p' FROM t)
 SELECT db_id, "table", name, CAST(row_number() OVER (PARTITION BY db_id ORDER BY schema, "table", CASE type WHEN 'p' THEN 1 ELSE 5 END, name) AS INTEGER) AS position FROM o""")
 def o01_catalog_order(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     objects = f["references"].select("db_id", "schema", "table", "name", F.lit("f").alias("type")).unionByName(f["constraints"].select("db_id", "schema", "table", "name", "type"))
     return snapshot.catalog_order(objects).select("db_id", "table", "name", "position")
 
@@ -815,30 +816,30 @@ def table_edges(f: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 @query(CHAIN + "SELECT t.db_id, t.name AS node, max(level) AS level FROM t LEFT JOIN walk w ON w.db_id = t.db_id AND w.node = t.name GROUP BY ALL")
 def g01_levels(spark, sf):
-    return graph.levels(*table_edges(snapshot.fleet(spark, sf)))
+    return graph.levels(*table_edges(fleet(spark, sf)))
 
 
 @query(CHAIN + """, l AS (SELECT t.db_id, t.name AS node, max(level) AS level FROM t LEFT JOIN walk w ON w.db_id = t.db_id AND w.node = t.name GROUP BY ALL)
 SELECT db_id, node, CAST(row_number() OVER (PARTITION BY db_id ORDER BY level NULLS LAST, node) AS INTEGER) AS pos FROM l""")
 def g01_positions(spark, sf):
-    return graph.positions(graph.levels(*table_edges(snapshot.fleet(spark, sf)))).select("db_id", "node", "pos")
+    return graph.positions(graph.levels(*table_edges(fleet(spark, sf)))).select("db_id", "node", "pos")
 
 
 @query(CHAIN + "SELECT t.db_id, t.name AS node FROM t WHERE db_id % 19 = 0 AND i IN (1, 2) AND EXISTS (SELECT 1 FROM t x WHERE x.db_id = t.db_id AND x.i = 1) AND EXISTS (SELECT 1 FROM t x WHERE x.db_id = t.db_id AND x.i = 2)")
 def g02_cycles(spark, sf):
-    return graph.cycle_members(*table_edges(snapshot.fleet(spark, sf)))
+    return graph.cycle_members(*table_edges(fleet(spark, sf)))
 
 
 @query(CHAIN + "SELECT db_id, src, dst FROM edge")
 def g03_edges(spark, sf):
-    return table_edges(snapshot.fleet(spark, sf))[1]
+    return table_edges(fleet(spark, sf))[1]
 
 
 @query(CHAIN + """, hit AS (SELECT db_id, name AS node FROM t WHERE i = 3
   UNION SELECT e.db_id, e.src FROM hit h JOIN edge e ON e.db_id = h.db_id AND e.dst = h.node)
 SELECT db_id, node FROM hit""")
 def g05_impact(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     return graph.impact(table_edges(f)[1], f["tables"].where("i = 3").select("db_id", F.col("name").alias("node"))).select("db_id", "node")
 
 
@@ -846,7 +847,7 @@ def g05_impact(spark, sf):
 p AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY level NULLS LAST, node) AS pos, CASE WHEN n % 11 = 0 THEN 'drop' WHEN n % 5 = 0 THEN 'alter' WHEN n % 3 = 0 THEN 'drop_reference' ELSE 'add_reference' END AS action FROM l)
 SELECT db_id, node, action, CAST(row_number() OVER (PARTITION BY db_id ORDER BY CASE action WHEN 'drop_reference' THEN 0 WHEN 'drop' THEN 1 WHEN 'alter' THEN 2 ELSE 3 END, CASE WHEN action = 'drop' THEN -pos ELSE pos END, n) AS INTEGER) AS step FROM p""")
 def o02_change_order(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     at = graph.positions(graph.levels(*table_edges(f)))
     changes = f["tables"].select("db_id", F.col("name").alias("node"), F.expr("CASE WHEN n % 11 = 0 THEN 'drop' WHEN n % 5 = 0 THEN 'alter' WHEN n % 3 = 0 THEN 'drop_reference' ELSE 'add_reference' END AS action"), F.col("n").alias("seq"))
     return graph.change_order(changes, at).select("db_id", "node", "action", "step")
@@ -963,4 +964,4 @@ def t02_streaming_unique(spark, sf):
     return stream_gate.unique_stream(stream_gate.file_stream(spark, sf, "events"), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
 
 
-from covenant import queries_catalog, queries_graphs, queries_rules, queries_sources  # noqa: E402, F401  register their queries here
+from covenant import queries_catalog, queries_graphs, queries_rules, queries_sources, queries_views  # noqa: E402, F401  register their queries here

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from covenant.functions import logic
 from covenant.operators import diff, graph
 from covenant.queries import FLEET, query, read
+from covenant.queries_fleet import fleet
 from covenant.sources import snapshot
 
 
 def tables(spark, sf) -> DataFrame:
-    return snapshot.fleet(spark, sf)["tables"]
+    return fleet(spark, sf)["tables"]
 
 
 # -- edges and order ----------------------------------------------------------------
@@ -32,7 +33,7 @@ SELECT DISTINCT db_id, src, dst FROM (
   UNION ALL SELECT db_id, 'view_' || name, name FROM t WHERE n % 5 = 0
   UNION ALL SELECT db_id, 'view_' || name, 'shared' FROM t WHERE n % 10 = 0) WHERE src <> dst""")
 def g03_catalog_edges(spark, sf):
-    f = snapshot.fleet(spark, sf)
+    f = fleet(spark, sf)
     t = f["tables"]
     some = lambda name, where="true", schema="schema": t.where(where).select("db_id", F.expr(f"{schema} AS schema"), F.expr(f"{name} AS name"))
     objects = reduce(DataFrame.unionByName, [some("name"), some("'seq_' || name", "n % 3 = 0"), some("'part_' || name", "n % 4 = 0"), some("'view_' || name", "n % 5 = 0"), some("'status'").distinct(), some("'shared'", schema="'public'").distinct()])
@@ -69,7 +70,7 @@ def p04_remap_text(spark, sf):
 @query(FLEET + """
 SELECT db_id, name, max(side = 1) AS in_current, max(side = 2) AS in_desired FROM (SELECT db_id, name, n, 1 AS side FROM t UNION ALL SELECT db_id, name, n, 2 FROM t2) WHERE n % 6 = 0 GROUP BY db_id, name""")
 def p05_ignored_report(spark, sf):
-    current, desired = (snapshot.fleet(spark, sf, x)["tables"] for x in (False, True))
+    current, desired = (fleet(spark, sf, x)["tables"] for x in (False, True))
     return snapshot.ignored_report(current, desired, current.where("n % 6 = 0"), ["db_id", "name"])
 
 

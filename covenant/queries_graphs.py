@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from covenant.model import ColumnSpec, KeySpec, ReferenceSpec, TableContract
 from covenant.operators import audit, deletes, diff, graph, partition, scan
 from covenant.queries import CHAIN, query, read, table_edges
-from covenant.sources import snapshot
+from covenant.queries_fleet import fleet
 
 # -- deletes ------------------------------------------------------------------------
 
@@ -105,7 +105,7 @@ SELECT p.db_id, p.node, p.component, (SELECT count(*) FROM part q WHERE q.db_id
 FROM part p JOIN walk w ON w.db_id = p.db_id AND w.node = p.component GROUP BY ALL""")
 def g01_unit_levels(spark, sf):
     """Cycles as units: what is behind one is ordered too."""
-    return graph.unit_levels(*table_edges(snapshot.fleet(spark, sf)))
+    return graph.unit_levels(*table_edges(fleet(spark, sf)))
 
 
 def ring_edges(spark, sf) -> tuple[DataFrame, DataFrame]:

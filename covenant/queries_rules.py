@@ -14,6 +14,7 @@ from covenant.model import ColumnSpec, DomainSpec, ExclusionSpec, Rule, TableCon
 from covenant.operators import audit, diff, evolve, graph, partition
 from covenant.plans import views
 from covenant.queries import FLEET, LABELS, LEGACY, query, read
+from covenant.queries_fleet import fleet
 from covenant.shared import shared_dir
 from covenant.sources import snapshot
 
@@ -29,7 +30,7 @@ SELECT db_id, name AS old, CASE WHEN n % 10 = 2 THEN name || '_free' ELSE 't' ||
 FROM t WHERE {CHAINED.format(t='t')}""")
 def j03_rename_chains(spark, sf):
     """a -> b, b -> c, c -> free: whole where the last comes first, else only c."""
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
     top = t.agg(F.max("n")).first()[0] or 0
     chained = t.where(f"n % 10 < 3 AND n - n % 10 + 2 <= {top} AND n >= 10")
     asked = chained.select("db_id", F.col("name").alias("old"), F.expr("CASE WHEN n % 10 = 2 THEN name || '_free' ELSE 't' || (n + 1) END AS new"), F.expr("cast(CASE WHEN cast(n / 10 AS int) % 2 = 0 THEN 20 - n % 10 ELSE n % 10 END AS int) AS ordinal"))
@@ -108,7 +109,7 @@ rep AS (
 
 def whole_report(spark, sf) -> DataFrame:
     pick = lambda f: {"table": f["tables"].select("db_id", "name"), "column": f["columns"].select("db_id", "table", "name", "type_name")}
-    current, desired = pick(snapshot.fleet(spark, sf)), pick(snapshot.fleet(spark, sf, True))
+    current, desired = pick(fleet(spark, sf)), pick(fleet(spark, sf, True))
     keys = {"table": ("db_id", "name"), "column": ("db_id", "table", "name")}
     return diff.full_report(current, desired, keys, allowed=("column",), ignored={"column": current["column"].where("name = 'note'")})
 
@@ -127,7 +128,7 @@ def e16_report_counts(spark, sf):
   SELECT 'tables' AS kind FROM t UNION ALL SELECT 'columns' FROM c UNION ALL SELECT 'references' FROM r UNION ALL SELECT 'constraints' FROM t) GROUP BY kind""")
 def s01_s02_round_trip(spark, sf):
     """What is written as a snapshot and scanned again differs in nothing."""
-    held = {k: v for k, v in snapshot.fleet(spark, sf).items() if k != "enums"}
+    held = {k: v for k, v in fleet(spark, sf).items() if k != "enums"}
     place = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.write_snapshot(held, place)
     parts = []
@@ -160,7 +161,7 @@ SELECT db_id, schema, namespace, owner, name, string_agg(DISTINCT kind, ',' ORDE
   UNION ALL SELECT db_id, schema, 'constraint', owner, name, kind FROM o WHERE kind IN ('primary key', 'check', 'foreign key'))
 GROUP BY db_id, schema, namespace, owner, name HAVING count(*) > 1""")
 def a06_namespaces(spark, sf):
-    t = snapshot.fleet(spark, sf)["tables"]
+    t = fleet(spark, sf)["tables"]
 
     def objects(kind: str, name: str, owner: str = "NULL") -> DataFrame:
         return t.select("db_id", "schema", F.expr(f"cast({owner} AS string) AS owner"), F.expr(f"{name} AS name"), F.lit(kind).alias("kind"))

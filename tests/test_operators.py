@@ -5,6 +5,7 @@ from covenant.functions.logic import glob
 from covenant.model import ColumnSpec, DropPolicy, KeySpec, PolicySpec, ReferenceSpec, Rule, TableContract
 from covenant.operators import audit, diff, evolve, graph, policy
 from covenant.plans import views
+from covenant.queries_fleet import fleet
 from covenant.sources import snapshot
 from covenant.streaming import gate
 
@@ -64,7 +65,7 @@ def test_policies(spark):
 
 
 def test_snapshot_round_trip(spark, tmp_path):
-    f = {k: v for k, v in snapshot.fleet(spark, "/root/testdata/sf0.001").items() if k != "enums"}
+    f = {k: v for k, v in fleet(spark, "/root/testdata/sf0.001").items() if k != "enums"}
     snapshot.write_snapshot(f, str(tmp_path))
     for k, v in f.items():
         back = snapshot.read_snapshot(spark, str(tmp_path), k).select(v.columns).withColumn("db_id", F.col("db_id").cast("bigint"))
