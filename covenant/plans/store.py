@@ -34,9 +34,9 @@ class Version:
     definition: str
 
 
-class VersionedStore:
-    """Tables under ``path``, which all sessions share; its file system must refuse
-    to create a file that exists, as HDFS and local ones do."""
+class Manifests:
+    """Numbered JSON objects under ``path``, each created once. The file system must
+    refuse to create a file that exists, as HDFS and local ones do."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -52,13 +52,32 @@ class VersionedStore:
             return []
         return sorted(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(where) if s.getPath().getName().endswith(".json"))
 
-    def versions(self) -> list[Version]:
-        """Committed ones, oldest first. A manifest that its writer has not finished
-        is empty and does not count."""
+    def held(self, schema: str) -> list[dict]:
+        """What the manifests hold, in their order. One that its writer has not
+        finished is empty and does not count."""
         if not self.numbers():
             return []
-        held = self.spark.read.schema("number int, data string, schema string, definition string").json(f"{self.path}/manifests")
-        return sorted((Version(*r) for r in held.collect() if r.number is not None), key=lambda v: v.number)
+        rows = self.spark.read.schema(f"number int, {schema}").json(f"{self.path}/manifests").where("number IS NOT NULL").collect()
+        return sorted((r.asDict(recursive=True) for r in rows), key=lambda r: r["number"])
+
+    def put(self, number: int, told: dict) -> None:
+        where, fs = self.file(f"{self.path}/manifests/v{number:010d}.json")
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            raise CommitConflict(f"version {number} of {self.path} is there already") from error
+        out.write((json.dumps({"number": number} | told) + "\n").encode())
+        out.close()
+
+
+class VersionedStore(Manifests):
+    """Tables under ``path``, which all sessions share."""
+
+    def versions(self) -> list[Version]:
+        """Committed ones, oldest first."""
+        return [Version(**r) for r in self.held("data string, schema string, definition string")]
 
     def last(self) -> Version | None:
         return next(iter(self.versions()[::-1]), None)
@@ -74,15 +93,7 @@ class VersionedStore:
         after = max(self.numbers(), default=0) if after is None else after
         made = Version(after + 1, f"{self.path}/data-{uuid.uuid4().hex}", df.schema.json(), definition)
         df.write.parquet(made.data)
-        where, fs = self.file(f"{self.path}/manifests/v{made.number:010d}.json")
-        try:
-            out = fs.create(where, False)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" not in str(error.java_exception):
-                raise
-            raise CommitConflict(f"version {made.number} of {self.path} is there already") from error
-        out.write((json.dumps(made.__dict__) + "\n").encode())
-        out.close()
+        self.put(made.number, {"data": made.data, "schema": made.schema, "definition": made.definition})
         return made
 
     def vacuum(self, keep: int = 2) -> list[str]:

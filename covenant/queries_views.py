@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from covenant.operators import merkle
+from covenant.operators.keyindex import KeyIndex
 from covenant.plans.incremental import Group, Join, Select, Source, signed_change
 from covenant.plans.store import StoredView
 from covenant.queries import DIFF, ORDERS_NEXT, ORDERS_NOW, orders_next, orders_now, query, read
-from covenant.shared import shared_dir
+from covenant.shared import shared_dir, stored
 
 
 def new_path(spark, name: str) -> str:
@@ -89,3 +90,25 @@ def v02_versions(spark, sf):
     view.refresh({"orders": orders_next(spark, sf), "customer": customer}, {"orders": signed_change(orders_now(spark, sf), orders_next(spark, sf))})
     other = StoredView(spark.newSession(), path, BY_NATION)
     return other.read(1).select(F.lit(1).alias("version"), "*").unionByName(other.read().select(F.lit(2).alias("version"), "*"))
+
+
+#: Orders come in five batches; some come again in the next one, some twice in one.
+BATCHES = 5
+ARRIVALS = f"SELECT o_orderkey % {BATCHES} AS batch, o_orderkey FROM orders UNION ALL SELECT o_orderkey % {BATCHES} + 1, o_orderkey FROM orders WHERE o_orderkey % 50 < 3 UNION ALL SELECT o_orderkey % {BATCHES}, o_orderkey FROM orders WHERE o_orderkey % 77 = 0"
+
+
+@query(f"""
+WITH a AS (SELECT batch, o_orderkey, count(*) AS rows FROM ({ARRIVALS}) GROUP BY ALL),
+m AS (SELECT *, min(batch) OVER (PARTITION BY o_orderkey) < batch AS known FROM a)
+SELECT batch, o_orderkey, rows, CASE WHEN known THEN 'known' ELSE 'repeated' END AS reason FROM m WHERE known OR rows > 1""")
+def c02_kept_index(spark, sf):
+    """Each batch is checked against the keys of all before it, without their rows."""
+    orders = read(spark, sf, "orders").select((F.col("o_orderkey") % BATCHES).alias("batch"), "o_orderkey")
+    arrivals = orders.unionByName(orders.where("o_orderkey % 50 < 3").withColumn("batch", F.col("batch") + 1)).unionByName(orders.where("o_orderkey % 77 = 0"))
+    index, out = KeyIndex(spark, new_path(spark, "keys"), [("o_orderkey", "bigint")], 16), None
+    for n in range(BATCHES + 1):
+        batch = arrivals.where(F.col("batch") == n)
+        found = stored(index.clashes(batch).select(F.lit(n).cast("long").alias("batch"), "o_orderkey", "rows", "reason"), "clashes")
+        index.add(batch)
+        out = found if out is None else out.unionByName(found)
+    return out
