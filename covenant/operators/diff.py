@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from covenant.functions import logic
 from covenant.operators import scan
+from covenant.shared import stored, stored_with
 
 
 def keyed_diff(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -47,35 +48,76 @@ def resolve_renames(current: DataFrame, desired: DataFrame, renames: DataFrame,
     ``missing_source``; ``dest_exists``; ``cross_schema`` where ``renames`` has
     columns ``old_schema`` and ``new_schema`` and they differ; else ``applied``,
     which frees the old name and takes the new one. ``desired`` only says which
-    renames are asked for: a new name it lacks is ignored. What one scope renames
-    is one row, folded by built-in functions.
+    renames are asked for: a new name it lacks is ignored.
+
+    A rename asks whether its two names are there, and each was left so by the last
+    rename before that touched it. With one of the two known, what the rename leaves
+    is known or what the other one is, so such answers are pointers, which double
+    along chains: rounds go by the logarithm of the longest chain, and no scope has
+    to be in one task.
     """
     scope = list(scope)
     asked = renames.join(desired.select(*scope, F.col(key).alias("new")).distinct(), [*scope, "new"], "left_semi")
-    crossed = ~F.col("old_schema").eqNullSafe(F.col("new_schema")) if {"old_schema", "new_schema"} <= set(renames.columns) else F.lit(False)
+    crossed = F.coalesce(~F.col("old_schema").eqNullSafe(F.col("new_schema")), F.lit(False)) if {"old_schema", "new_schema"} <= set(renames.columns) else F.lit(False)
+    turns = scan.running(asked.select(*scope, "old", "new", "ordinal", crossed.alias("__crossed")), scope, ["ordinal", "old", "new"], {"__t": ("sum", F.lit(1).cast("long"))})
+    turns = stored(turns.withColumn("__t", F.coalesce("__t", F.lit(0))), "renames")
+    moving = turns.where("old <> new")
+    touches = moving.select(*scope, "__t", F.col("old").alias("__name"), F.lit(0).alias("__role")).unionByName(moving.select(*scope, "__t", F.col("new").alias("__name"), F.lit(1).alias("__role")))
+    # what a touch leaves is named by its turn and role
+    touches = scan.before(touches, [*scope, "__name"], ["__t"], {"ref": F.col("__t") * 2 + F.col("__role")})
     names = current.select(*scope, F.col(key).alias("__name"), F.lit(True).alias("__there")).distinct()
-    touched = asked.select(*scope, F.explode(F.array("old", "new")).alias("__name")).distinct().join(names, [*scope, "__name"], "left")
-    there = touched.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("__name", F.coalesce("__there", F.lit(False))))).alias("__names"))
-    turns = asked.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("ordinal", "old", "new", crossed.alias("crossed")))).alias("__turns"))
-
-    def step(state: Column, x: Column) -> Column:
-        has_old, has_new = state["names"][x["old"]], state["names"][x["new"]]
-        status = (
-            F.when((x["old"] == x["new"]) | (~has_old & has_new), "noop")
-            .when(~has_old, "missing_source")
-            .when(has_new, "dest_exists")
-            .when(x["crossed"], "cross_schema")
-            .otherwise("applied")
-        )
-        after = F.map_concat(F.map_filter(state["names"], lambda k, _: ~k.isin(x["old"], x["new"])), F.map_from_arrays(F.array(x["old"], x["new"]), F.array(F.lit(False), F.lit(True))))
-        # a rename to the same name changes nothing, and would repeat a key of the map
-        names = F.when(status == "applied", after).otherwise(state["names"])
-        return F.struct(names.alias("names"), F.concat(state["told"], F.array(status)).alias("told"))
-
-    none = F.struct(F.col("__names").alias("names"), F.array().cast("array<string>").alias("told"))
-    folded = turns.join(there, scope).withColumn("__told", F.aggregate("__turns", none, step, lambda state: state["told"]))
-    rows = folded.select(*scope, F.explode(F.arrays_zip("__turns", "__told")).alias("x"))
-    return rows.select(*scope, "x.__turns.old", "x.__turns.new", "x.__turns.ordinal", F.col("x.__told").alias("rename_status"))
+    first = F.when(F.col("ref").isNull(), F.coalesce("__there", F.lit(False)))
+    told = touches.join(names, [*scope, "__name"], "left").select(*scope, "__t", "__role", first.alias("v"), "ref")
+    of = lambda role, c: F.max(F.when(F.col("__role") == role, F.col(c)))
+    asks = told.groupBy(*scope, "__t").agg(of(0, "v").alias("pv"), of(0, "ref").alias("pr"), of(1, "v").alias("qv"), of(1, "ref").alias("qr"))
+    asks = stored(asks.join(moving.select(*scope, "__t", "__crossed"), [*scope, "__t"]), "rename-asks")
+    while True:
+        left = left_by(asks, scope)
+        for _ in range(2):
+            left = led_on(left, scope, "ref", "v", "to")
+        for v, r in (("pv", "pr"), ("qv", "qr")):
+            asks = answered(asks, left, scope, v, r)
+        asks, seen = stored_with(asks, "rename-asks", open=F.count_if(F.col("pr").isNotNull() | F.col("qr").isNotNull()))
+        if not seen["open"]:
+            break
+    rows = turns.join(asks.select(*scope, "__t", "pv", "qv"), [*scope, "__t"], "left")
+    status = (
+        F.when((F.col("old") == F.col("new")) | (~F.col("pv") & F.col("qv")), "noop")
+        .when(~F.col("pv"), "missing_source")
+        .when(F.col("qv"), "dest_exists")
+        .when(F.col("__crossed"), "cross_schema")
+        .otherwise("applied")
+    )
+    return rows.select(*scope, "old", "new", "ordinal", status.alias("rename_status"))
+
+
+def left_by(asks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``(*scope, ref, v, to)``: whether a rename leaves its old and its new name there:
+    ``v``, or what ``to`` is; neither where both of what it asks are open and differ."""
+    p, q, c = F.col("pv"), F.col("qv"), F.col("__crossed")
+    same = F.when(F.col("pr") == F.col("qr"), F.col("pr"))
+    none, no = F.lit(None).cast("boolean"), F.lit(False)
+    # the old name stays where the new one is taken or the rename crosses schemas
+    old_v = F.when(~p, no).when(p, F.when(c, F.lit(True)).otherwise(q)).otherwise(F.when(~c & ~q, no).otherwise(none))
+    old_to = F.when(p & ~c, F.col("qr")).when(p.isNull(), F.when(c | q, F.col("pr")).when(q.isNull(), same))
+    new_v = F.when(q, F.lit(True)).when(~q, F.when(c, no).otherwise(p)).otherwise(F.when(~c & p, F.lit(True)).otherwise(none))
+    new_to = F.when(~q & ~c, F.col("pr")).when(q.isNull(), F.when(c | ~p, F.col("qr")).when(p.isNull(), same))
+    ends = F.explode(F.array(F.struct((F.col("__t") * 2).alias("ref"), old_v.alias("v"), old_to.alias("to")), F.struct((F.col("__t") * 2 + 1).alias("ref"), new_v.alias("v"), new_to.alias("to"))))
+    return asks.select(*scope, ends.alias("x")).select(*scope, "x.ref", "x.v", F.when(F.col("x.v").isNull(), F.col("x.to")).alias("to"))
+
+
+def answered(asks: DataFrame, left: DataFrame, scope: Sequence[str], v: str, r: str) -> DataFrame:
+    """``asks`` with ``v`` and ``r`` replaced by what ``r`` is known or said to be."""
+    ends = left.select(*scope, F.col("ref").alias(r), F.col("v").alias("__v"), F.col("to").alias("__to"))
+    met = asks.join(ends, [*scope, r], "left")
+    return met.withColumns({v: F.coalesce(v, "__v"), r: F.when(F.col("__v").isNull(), F.coalesce("__to", r))}).select(asks.columns)
+
+
+def led_on(left: DataFrame, scope: Sequence[str], ref: str, v: str, to: str) -> DataFrame:
+    """Pointers ``to`` replaced by what they point at says."""
+    ends = left.select(*scope, F.col(ref).alias(to), F.col(v).alias("__v"), F.col(to).alias("__to"))
+    met = left.join(ends, [*scope, to], "left")
+    return met.withColumns({v: F.coalesce(v, "__v"), to: F.when(F.col("__v").isNull(), F.coalesce("__to", to))}).select(left.columns)
 
 
 def apply_renames(current: DataFrame, resolved: DataFrame, key: str = "name", scope: Sequence[str] = ("db_id",)) -> DataFrame:
