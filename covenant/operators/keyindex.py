@@ -49,9 +49,10 @@ class KeyIndex:
         there = reduce(Column.__and__, [F.col(k).isNotNull() for k in self.key])
         return df.select(*(F.col(k).cast(t).alias(k) for k, t in self.kinds.items())).where(there).withColumn("__bucket", self.bucket())
 
-    def runs(self) -> tuple[int, list[Run]]:
-        """The number of the last manifest, and the runs that it lists."""
-        held = self.manifests.held(RUNS)
+    def runs(self, number: int | None = None) -> tuple[int, list[Run]]:
+        """The number of the last manifest, and the runs that it lists; or those of the
+        last one up to ``number``."""
+        held = [m for m in self.manifests.held(RUNS) if number is None or m["number"] <= number]
         last = max(self.manifests.numbers(), default=0)
         return last, [Run(**r) for r in held[-1]["runs"]] if held else []
 
@@ -65,10 +66,10 @@ class KeyIndex:
         told = reduce(DataFrame.unionByName, parts)
         return told.groupBy(*self.key, "__bucket").agg(F.max_by("__gone", "__seq").alias("__gone"), F.max("__seq").alias("__seq"))
 
-    def known(self, batch: DataFrame) -> DataFrame:
-        """The distinct keys of ``batch`` that the index holds. At most as many bucket
+    def known(self, batch: DataFrame, number: int | None = None) -> DataFrame:
+        """The distinct keys of ``batch`` that the index holds (or held as of a manifest). At most as many bucket
         numbers as there are buckets come to the driver, to leave the others unread."""
-        _, runs = self.runs()
+        _, runs = self.runs(number)
         asked = self.keys(batch).distinct()
         if not runs:
             return asked.select(*self.key).limit(0)

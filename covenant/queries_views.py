@@ -13,6 +13,7 @@ from covenant.plans.incremental import Group, Join, Select, Source, signed_chang
 from covenant.plans.store import StoredView
 from covenant.queries import DIFF, ORDERS_NEXT, ORDERS_NOW, orders_next, orders_now, query, read
 from covenant.shared import shared_dir, stored
+from covenant.streaming import gate
 
 
 def new_path(spark, name: str) -> str:
@@ -112,3 +113,35 @@ def c02_kept_index(spark, sf):
         index.add(batch)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+#: Purchases refer to a signup of their user; what is younger than this is still held.
+HELD = "7 days"
+SURE = "(SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) FROM events) - INTERVAL 7 DAY"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN user_id IS NULL OR EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'signup' AND p.user_id = c.user_id AND p.ts >= c.ts - INTERVAL 5 DAY AND p.ts <= c.ts + INTERVAL 1 DAY) THEN 'passed' ELSE 'aside' END AS went
+FROM (SELECT event_id, ts, CASE WHEN event_id % 41 = 0 THEN NULL ELSE user_id END AS user_id FROM events WHERE event_type = 'purchase') c WHERE ts < {SURE}""")
+def t01_streaming_parent(spark, sf):
+    """Both sides are streams: a purchase passes with a signup of five days before it
+    to a day after it, and is put aside once that day is over."""
+    events = gate.file_stream(spark, sf, "events")
+    child = events.where("event_type = 'purchase'").select("event_id", "ts", F.expr("CASE WHEN event_id % 41 = 0 THEN NULL ELSE user_id END AS user_id"))
+    parent = events.where("event_type = 'signup'").select("user_id", "ts")
+    place = new_path(spark, "parents")
+    gate.parent_stream(child, ["event_id"], parent, "user_id", "user_id", "ts", "ts", "5 days", "1 day", place)
+    sure = read(spark, sf, "events").groupBy().agg(F.least(*(F.max(F.when(F.col("event_type") == t, F.col("ts"))) for t in ("signup", "purchase"))).alias("top")).select((F.col("top") - F.expr(f"INTERVAL {HELD}")).alias("sure"))
+    went = [gate.written(spark, f"{place}/{x}", "event_id bigint, ts timestamp_ntz").select("event_id", "ts", F.lit(x).alias("went")) for x in ("passed", "aside")]
+    return went[0].unionByName(went[1]).join(F.broadcast(sure), F.col("ts") < F.col("sure")).select("event_id", "went")
+
+
+@query("""
+SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'passed' ELSE 'repeated' END AS went FROM events""")
+def t02_unique_gate(spark, sf):
+    """Repeats are put aside, not lost."""
+    place, events = new_path(spark, "unique"), gate.file_stream(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    gate.unique_gate(events, ["user_id", "event_type"], ["ts", "event_id"], place, 8)
+    kinds = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    kept, aside = gate.written(spark, f"{place}/passed", kinds), gate.written(spark, f"{place}/aside", kinds + ", reason string")
+    return kept.select("event_id", F.lit("passed").alias("went")).unionByName(aside.select("event_id", F.col("reason").alias("went")))
