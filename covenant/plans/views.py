@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from covenant.functions import lineage
 from covenant.operators.diff import result_difference
 from covenant.shared import shared_dir
 
 
-#: String literals and comments, where a name means no view.
-SILENT = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.S)
-
-
 def view_order(views: Mapping[str, str], uses: Mapping[str, Collection[str]] | None = None) -> list[str]:
     """Names with those they use first, ties by name; a cycle is an error.
-    ``uses`` names what each view reads; a view that it lacks is taken to use
-    every view whose name its text mentions outside of literals."""
-    text = {v: SILENT.sub("''", q) for v, q in views.items()}
-    needs = {v: {w for w in views if w != v and (w in uses[v] if uses and v in uses else re.search(rf"\b{re.escape(w)}\b", text[v]))} for v in views}
+    ``uses`` names what each view reads; of a view that it lacks, Spark's parser
+    tells (`lineage.view_uses`)."""
+    read = lineage.view_uses(SparkSession.active(), {v: q for v, q in views.items() if not (uses and v in uses)} | {v: "SELECT 1" for v in uses or () if v in views})
+    needs = {v: {w for w in views if w != v and w in (uses[v] if uses and v in uses else read[v])} for v in views}
     out: list[str] = []
     while needs:
         ready = sorted(v for v, n in needs.items() if not n - set(out))

@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.model import ColumnSpec, KeySpec, ReferenceSpec, Rule, TableContract
+from covenant.functions import lineage
+from covenant.model import ColumnSpec, KeySpec, PolicySpec, ReferenceSpec, Rule, TableContract
 from covenant.operators import audit, diff, graph
 from covenant.queries import query, read
 from covenant.shared import shared_dir
@@ -150,3 +151,20 @@ def s03_loaded_contracts(spark, sf):
     orders, customer = read(spark, sf, "orders").withColumns(faults), read(spark, sf, "customer")
     parents = {"customer": customer, "nation": read(spark, sf, "nation")}
     return audit.audit(orders, loaded["orders"], "o_orderkey", parents).unionByName(audit.audit(customer, loaded["customer"], "c_custkey", parents))
+
+
+#: Texts that name columns, some of which are not there; literals and lambda
+#: variables only look like columns.
+TEXTS = (
+    TableContract("orders", (ColumnSpec("o_note", "string", default="concat('o_gone', cast(o_orderkey AS string))"), ColumnSpec("o_net", "double", generated="o_totalprice - o_rebate")), checks=(Rule("known", "o_orderstatus IN ('o_lost', 'F') OR exists(array(1), o_tax -> o_tax > 0)"),)),
+    TableContract("lineitem", (), (KeySpec("open", ("l_orderkey",), where="l_linestatus = 'O' AND l_deleted IS NULL"),), (Rule("parts", "l_partkey > 0 AND `l_weight` < 3"),), policies=(PolicySpec("own", using="l_suppkey = l_owner"),)),
+)
+
+
+@query(f"""WITH {DESCRIBED} SELECT * FROM (VALUES ('orders', 'generated', 'o_net', 'o_rebate'), ('lineitem', 'key', 'open', 'l_deleted'), ('lineitem', 'check', 'parts', 'l_weight'), ('lineitem', 'policy', 'own', 'l_owner')) v("table", kind, name, "column")
+WHERE "column" NOT IN (SELECT name FROM c)""")
+def c15_dangling_in_texts(spark, sf):
+    """Columns that checks, defaults, generated values, keys and policies name, and
+    the scanned table lacks."""
+    there = catalog.columns(scan(spark, sf)).select("table", F.col("name").alias("column"))
+    return lineage.used_columns(spark, TEXTS).join(there, ["table", "column"], "left_anti").select("table", "kind", "name", "column")
