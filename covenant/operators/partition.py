@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.model import PartitionSpec
-from covenant.operators import scan
+from covenant.operators import diff, scan
 from covenant.operators.evolve import Change
 
 #: Bounds that are written as one CASE; beyond that they are joined.
@@ -110,3 +110,21 @@ def bound_changes(old: Sequence[PartitionSpec], new: Sequence[PartitionSpec]) ->
     out = [Change("partition", n, "create", True) for n in now if n not in was]
     out += [Change("partition", n, "recreate", True) for n in now if n in was and was[n] != now[n]]
     return out + [Change("partition", n, "skipped", False) for n in was if n not in now]
+
+
+def partition_changes(current: DataFrame, desired: DataFrame, current_keys: DataFrame, desired_keys: DataFrame, scope: Sequence[str] = ("db_id",)) -> DataFrame:
+    """``(*scope, name, change)`` of partitions ``(*scope, name, parent, start, end,
+    is_default)`` and of the tables ``(*scope, table, strategy, key)`` they part.
+
+    A table that is parted by another key or in another way is to ``rebuild``, with the
+    partitions it keeps. A partition with another parent is to ``reattach``, with its
+    bounds as they then are; one with other bounds to ``recreate``, as bounds cannot be
+    altered in place. ``create`` and ``drop`` come before these. What stays is left out.
+    """
+    scope = list(scope)
+    rebuilt = diff.keyed_diff(current_keys, desired_keys, [*scope, "table"]).where("change = 'alter'").select(*scope, F.col("table").alias("name"))
+    kept = ["name", "parent", "start", "end", "is_default"]
+    both = diff.keyed_diff(current.select(*scope, *kept), desired.select(*scope, *kept), [*scope, "name"])
+    under = both.join(rebuilt.select(*scope, F.col("name").alias("new_parent"), F.lit(True).alias("__rebuilt")), [*scope, "new_parent"], "left")
+    change = F.when(F.col("change").isin("create", "drop"), F.col("change")).when(F.col("__rebuilt"), "rebuild").when(~F.col("old_parent").eqNullSafe(F.col("new_parent")), "reattach").when(F.col("change") == "alter", "recreate")
+    return under.select(*scope, "name", change.alias("change")).where("change IS NOT NULL").unionByName(rebuilt.withColumn("change", F.lit("rebuild")))

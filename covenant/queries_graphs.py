@@ -220,3 +220,48 @@ def e12_tree_routing(spark, sf):
     first = partition.route_tree(orders, [("o_orderstatus", top)])
     done = partition.route_tree(orders.where("o_orderstatus IN ('F', 'O')"), [("o_orderstatus", top), ("o_custkey", below)])
     return done.select("o_orderkey", "partition").unionByName(first.where("partition = 'open'").select("o_orderkey", "partition"))
+
+
+# -- changed partitions, labels of many enums ----------------------------------------
+
+PARTED = "SELECT c_nationkey AS db_id, 'p' || c_custkey AS name, 't' || (c_custkey % 5) AS parent, c_custkey * 10 AS start, c_custkey * 10 + 10 AS \"end\", c_custkey % 50 = 0 AS is_default, c_custkey AS n FROM customer"
+
+
+@query(f"""
+WITH a AS ({PARTED}), k AS (SELECT DISTINCT db_id, parent AS "table", db_id % 4 = 0 AND parent = 't3' AS rebuilt FROM a)
+SELECT a.db_id, name, CASE WHEN n % 13 = 0 THEN 'drop' WHEN (SELECT bool_or(rebuilt) FROM k WHERE k.db_id = a.db_id AND k."table" = CASE WHEN n % 11 = 0 THEN 't0' ELSE parent END) THEN 'rebuild' WHEN n % 11 = 0 AND parent <> 't0' THEN 'reattach' ELSE 'recreate' END AS change
+FROM a WHERE n % 13 = 0 OR n % 11 = 0 AND parent <> 't0' OR n % 7 = 0 OR (SELECT bool_or(rebuilt) FROM k WHERE k.db_id = a.db_id AND k."table" = CASE WHEN n % 11 = 0 THEN 't0' ELSE parent END)
+UNION ALL SELECT db_id, 'q' || n, 'create' FROM a WHERE n % 17 = 0 UNION ALL SELECT db_id, "table", 'rebuild' FROM k WHERE rebuilt""")
+def e13_partition_changes(spark, sf):
+    """Keys, parents and bounds that change."""
+    a = read(spark, sf, "customer").selectExpr("c_nationkey AS db_id", "'p' || c_custkey AS name", "'t' || (c_custkey % 5) AS parent", "c_custkey * 10 AS start", "c_custkey * 10 + 10 AS end", "c_custkey % 50 = 0 AS is_default", "c_custkey AS n")
+    b = a.where("n % 13 <> 0").withColumns({"start": F.expr("CASE WHEN n % 7 = 0 THEN start + 1 ELSE start END"), "parent": F.expr("CASE WHEN n % 11 = 0 THEN 't0' ELSE parent END")})
+    b = b.unionByName(a.where("n % 17 = 0").withColumn("name", F.expr("'q' || n")))
+    keys = a.selectExpr("db_id", "parent AS table", "'range' AS strategy", "'id' AS key").distinct()
+    wanted = keys.withColumn("key", F.expr("CASE WHEN db_id % 4 = 0 AND table = 't3' THEN 'other' ELSE key END"))
+    return partition.partition_changes(a.drop("n"), b.drop("n"), keys, wanted)
+
+
+#: An enum for each brand of parts, its labels the parts' names with their numbers.
+PART_LABELS = "SELECT p_brand AS brand, p_name || p_partkey AS label, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY {o}) AS INTEGER) AS ordinal FROM part WHERE {w}"
+MIXED = "CASE WHEN p_brand LIKE '%1' THEN -p_partkey ELSE p_partkey END"
+
+
+def part_labels(spark, sf, order: str, where: str) -> DataFrame:
+    rows = read(spark, sf, "part").where(where).select(F.col("p_brand").alias("brand"), F.expr("p_name || p_partkey AS label"), F.expr(order).alias("o"))
+    return scan.running(rows, ["brand"], ["o"], {"ordinal": ("sum", F.lit(1))}, inclusive=True).select("brand", "label", F.col("ordinal").cast("int").alias("ordinal"))
+
+
+@query(f"""
+WITH a AS ({PART_LABELS.format(o='p_partkey', w='true')}), b AS ({PART_LABELS.format(o=MIXED, w='p_partkey % 5 <> 0')})
+SELECT brand, max(down) AS reordered FROM (SELECT a.brand, coalesce(b.ordinal < lag(b.ordinal) OVER (PARTITION BY a.brand ORDER BY a.ordinal), false) AS down FROM a JOIN b USING (brand, label)) GROUP BY brand""")
+def w04_part_labels(spark, sf):
+    return diff.is_reordered(part_labels(spark, sf, "p_partkey", "true"), part_labels(spark, sf, MIXED, "p_partkey % 5 <> 0"), ["brand"])
+
+
+@query(f"""
+WITH a AS ({PART_LABELS.format(o='p_partkey', w='p_partkey % 3 <> 0')}), b AS ({PART_LABELS.format(o='p_partkey', w='true')}),
+m AS (SELECT b.*, a.label IS NOT NULL AS there, lag(b.label) OVER w AS before, first(CASE WHEN a.label IS NOT NULL THEN b.label END IGNORE NULLS) OVER (PARTITION BY b.brand ORDER BY b.ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM b LEFT JOIN a USING (brand, label) WINDOW w AS (PARTITION BY b.brand ORDER BY b.ordinal))
+SELECT brand, label, CASE WHEN before IS NOT NULL THEN 'after' WHEN next IS NOT NULL THEN 'before' ELSE 'append' END AS placed, coalesce(before, next) AS neighbour FROM m WHERE NOT there""")
+def w05_part_labels(spark, sf):
+    return diff.insert_positions(part_labels(spark, sf, "p_partkey", "p_partkey % 3 <> 0"), part_labels(spark, sf, "p_partkey", "true"), ["brand"])
