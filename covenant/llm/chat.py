@@ -89,7 +89,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     Null roles and texts count as empty. Rows of equal turn are ordered by role
     and text, and repeated rows stay. Rows without an id make one conversation
-    without an id. An empty table gives an empty one; other columns are ignored.
+    without an id, apart from those of any id. An empty table gives an empty one; other columns are ignored.
     A conversation becomes one text, so its task holds it whole.
     """
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -112,7 +112,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
         if ids:
             yield emit(ids, roles, texts, starts)
 
-    whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("__turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("conv_id").cast("long"), F.lit(-(2**63))).alias("__group"))
+    whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("__turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("__group"))
     dealt = whole.repartition("__group").sortWithinPartitions("__group", "__turn", "role", "text").select("__group", "conv_id", "role", "text")
     return map_arrow(dealt, run, "conv_id long, formatted string, loss array<struct<from: bigint, to: bigint>>")
 

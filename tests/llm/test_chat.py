@@ -48,6 +48,13 @@ def test_frame(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_least_id_and_none(spark):
+    rows = [(-(1 << 63), 0, "user", "least"), (None, 0, "user", "none"), (-1, 0, "user", "x"), (10, 0, "user", "y"), (2, 0, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert got == brute(rows) and len(got) == 5
+
+
 def test_query_like_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
