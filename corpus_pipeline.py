@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import bpe, line_dedup, mixing, simhash, toxicity
+from covenant.llm import bpe, line_dedup, mixing, simhash_verified, toxicity
 from covenant.llm.common import DOCUMENT_COLUMNS, materialize
 from covenant.llm.queries import TOXIC
 
@@ -39,23 +39,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of least id. Rows without an id
-    stay; of rows that repeat an id one of each group stays."""
-    groups, docs = simhash.classes(docs), docs.select(DOCUMENT_COLUMNS)
-    kept = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("component") < F.max("component")).alias("several"), F.max(F.col("doc_id") == F.col("component_id")).alias("least"))
-    kept = materialize(kept.where("least"), "near-kept")
-    rest = ("text", "lang", "source", "n_chars")
-
-    def one(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest))
-
-    chosen = docs.join(kept.where("NOT several"), F.col("doc_id") == F.col("__id"), "left_semi")
-    # ids with texts in several groups: each row by the group of its own text
-    repeated = docs.join(kept.where("several"), F.col("doc_id") == F.col("__id"), "left_semi")
-    printed = simhash.fingerprints(repeated.select("text", F.struct(*DOCUMENT_COLUMNS).alias("told")), key="told")
-    own = groups.select("fingerprint", "component", "component_id").distinct()
-    placed = printed.join(own, "fingerprint").where("told.doc_id = component_id").select("told.*", "component")
-    return one(chosen, "doc_id").unionByName(one(placed, "doc_id", "component")).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of texts that share 0.8 of their five-word shingles
+    stays: the one of least id. Rows without an id stay; of rows that repeat an id one
+    of each group stays."""
+    return simhash_verified.one_of_each(docs.select(DOCUMENT_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
