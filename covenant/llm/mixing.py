@@ -91,17 +91,18 @@ def rake(cells: DataFrame, dims: Sequence[str] = DIMENSIONS, targets: Mapping[st
     return out.drop(*goals)
 
 
-def calibrate(raked: DataFrame, share: float, max_steps: int = 60) -> DataFrame:
+def calibrate(raked: DataFrame, share: float) -> DataFrame:
     """``raked`` with ``scale`` (weight by mass, 1 on average) and ``chance``.
 
     The common factor solves sum(min(1, factor * scale) * mass) = share * total.
     Each step fixes the cells that have reached 1 and solves for the rest; these
-    only grow in number, so the steps end. Two sums go to the driver per step.
+    only grow in number, so the steps end: at a solution, after as many steps as
+    there are cells at most. Two sums go to the driver per step.
     """
     total = raked.agg(F.sum("mass")).first()[0] or 0.0
     out = raked.withColumn("scale", F.col("weight") / F.col("mass") * F.lit(total))
     factor = share
-    for _ in range(max_steps):
+    while True:
         full = F.col("scale") * F.lit(factor) >= 1
         fixed, rest = out.agg(F.coalesce(F.sum(F.when(full, F.col("mass"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("mass") * F.col("scale"))), F.lit(0.0))).first()
         after = max(factor, (share * total - fixed) / rest) if rest > 0 else factor

@@ -54,3 +54,11 @@ def test_copies_meet_targets(spark):
     copied = dict(mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens"))).collect())
     total = mixed.agg(F.sum("tokens")).first()[0]
     assert copied["small"] == pytest.approx(0.4 * total, rel=0.05) and copied["big"] == pytest.approx(0.4 * total, rel=0.05)
+
+
+def test_calibration_ends_at_a_solution(spark):
+    """Weights that halve from cell to cell: a step fixes only some of the cells that are left."""
+    n, share = 80, 0.95
+    raked = spark.createDataFrame([(i, 1.0, 0.5**i / (2 - 2.0 ** (1 - n))) for i in range(n)], "cell long, mass double, weight double")
+    got = mixing.calibrate(raked, share).agg(F.sum("chance"), F.max("chance"), F.sum((F.col("chance") == 1).cast("int"))).first()
+    assert got[0] == pytest.approx(share * n) and got[1] == 1 and 0 < got[2] < n
