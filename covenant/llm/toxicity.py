@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, matched with spelling errors, read in context.
 
 1. A lexicon is learned from labelled training rows: words, and stems (first
-   letters that many words share), that toxic texts hold far more often than
-   others.
+   letters that many words share), that toxic texts hold far more often, by their
+   length in words, than others. Repeats within a row count less and less.
 2. The lexicon is a trie. A Levenshtein automaton for each of its terms is run
    along that trie all at once: a state is the set of (trie node, edits so far)
    that the letters read can stand for, and states are made when first met. A
@@ -11,20 +11,24 @@
    marks, or next to a word of reporting, it is likely mention and not abuse. Words
    of reporting are learned: those that stand before hits in clean training rows
    and hardly in toxic ones, beside a few given to start with.
-4. For every (term, edits, how often, mention or not), the share of toxic texts
-   among training rows that the lexicon was not chosen from, smoothed, is its
-   weight; a text's score joins the weights of its hits as independent causes.
-
-Learning reads at most ``max_rows`` training rows of either label (chosen by a
-hash of the id, so that the choice does not depend on order), and the lexicon has
-at most ``max_terms`` terms, chosen from the ``20 * max_terms`` most frequent that
-tell; all else covers every row.
+4. How dense a term is in a text is told by chance: how likely as many hits, at the
+   rate that clean training rows have, are in a text of as many words. One hit in a
+   short text may say more than three in a long one.
+5. For every (term, edits, density, mention or not), the smoothed share of toxic texts
+   among training rows is its weight; a text's score joins the weights of its hits as
+   independent causes.
+
+Learning reads at most about ``max_rows`` training rows of either label (chosen by a
+hash of the id, so that the choice does not depend on order), which bounds what
+the driver holds; every term that tells among them is taken, and all else covers
+every row.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Set
 
@@ -46,6 +50,13 @@ REPORTING = frozenset("word words term called quote quoted quotes said says sayi
 MENTION = 0.3
 #: Least surprise (a chi-square of one degree) of a term, above what the number of terms calls for.
 SURPRISE = 2.0
+#: Toxic rows that hold a term at least, and how much denser it is there at least.
+LEAST_ROWS, DENSER = 4, 4.0
+#: A text holds a term more densely by one level for each of these chances, one in
+#: ten to this power, that its hits stay below.
+LEVELS = (1, 3, 6, 10)
+#: What the lowest level counts where training rows show nothing of it.
+LOWEST = 0.3
 #: Clean rows in which a word must stand before a hit to be one of reporting.
 LEAST_REPORTS = 4
 CACHE_WORDS = 300_000
@@ -167,13 +178,18 @@ class Reader:
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, int, bool]]:
         """(term, edits, start, end, mention) of each hit in a whole text."""
+        return self.read(text)[0]
+
+    def read(self, text: str | None) -> tuple[list[tuple[int, int, int, int, bool]], int]:
+        """The hits in a whole text, and its number of words."""
         if not text:
-            return []
+            return [], 0
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer: keep places right
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
         seen, found = self.seen, {}
-        for w in set(WORD.findall(low)):
+        words = WORD.findall(low)
+        for w in set(words):
             try:
                 got = seen[w]
             except KeyError:
@@ -183,34 +199,47 @@ class Reader:
             if got is not None:
                 found[w] = got
         if not found:
-            return []
+            return [], len(words)
         out = []
         for m in WORD.finditer(low):
             for k, e in found.get(m[0], {}).items():
                 out.append((k, e, m.start(), m.end(), mention(low, m.start(), m.end(), self.reporting)))
-        return out
-
-
-def level(count: int) -> int:
-    """How often a text holds a term: once, twice, up to four times, more."""
-    return 1 if count == 1 else 2 if count == 2 else 3 if count <= 4 else 4
-
-
-def evidence(hits: list[tuple[int, int, int, int, bool]]) -> set[tuple[int, int, int, bool]]:
+        return out, len(words)
+
+
+def level(count: int, expected: float) -> int:
+    """How many of `LEVELS` the chance of ``count`` hits or more stays below, where
+    a Poisson law lets ``expected`` (above 0) be expected."""
+    if count <= expected:
+        return 0
+    part = total = 1.0  # the tail's terms by its first
+    i = count
+    while part > 1e-12 * total:
+        i += 1
+        part *= expected / i
+        total += part
+    power = (expected - count * math.log(expected) + math.lgamma(count + 1) - math.log(total)) / math.log(10)
+    return sum(power >= x for x in LEVELS)
+
+
+def evidence(hits: list[tuple[int, int, int, int, bool]], words: int, rates: dict[tuple[int, int], float]) -> set[tuple[int, int, int, bool]]:
+    """(term, edits, level, mention) of a text with so many words; who reaches a
+    level has those below it too."""
     counts = Counter((k, e, quoted) for k, e, _, _, quoted in hits)
-    return {(k, e, n, quoted) for (k, e, quoted), c in counts.items() for n in range(1, level(c) + 1)}
+    return {(k, e, n, quoted) for (k, e, quoted), c in counts.items() for n in range(level(c, rates[k, e] * words) + 1)}
 
 
 class Model:
-    """Terms, the weights of what they show, the score of a text without hits, and
-    the words of reporting."""
+    """Terms, the weights of what they show, the score of a text without hits, the
+    words of reporting, and how many hits of each (term, edits) a word of a clean
+    text brings."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int, int, bool], float], base: float, reporting: Set[str] = REPORTING):
-        self.terms, self.weights, self.base, self.reporting = terms, weights, base, reporting
+    def __init__(self, terms: list[tuple[str, bool]], weights: dict[tuple[int, int, int, bool], float], base: float, reporting: Set[str] = REPORTING, rates: dict[tuple[int, int], float] | None = None):
+        self.terms, self.weights, self.base, self.reporting, self.rates = terms, weights, base, reporting, rates or {}
 
-    def score(self, hits: list[tuple[int, int, int, int, bool]]) -> float:
+    def score(self, hits: list[tuple[int, int, int, int, bool]], words: int) -> float:
         best: dict[tuple[int, bool], float] = defaultdict(float)
-        for k, e, n, quoted in evidence(hits):
+        for k, e, n, quoted in evidence(hits, words, self.rates):
             best[k, quoted] = max(best[k, quoted], self.weights.get((k, e, n, quoted), 0.0))
         clean = 1 - self.base
         for w in best.values():
@@ -225,7 +254,7 @@ def least_pair(text: str | None) -> int:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, parts: int, left_out: int, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
-    """``(text, toxic, choosing)`` of training rows, at most about ``max_rows`` of either
+    """``(text, toxic, words)`` of training rows, at most about ``max_rows`` of either
     label, and for each label how many rows one of them stands for."""
     rows = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("__key").isNotNull() & (fold(F.col(key), parts) != left_out))
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
@@ -238,98 +267,110 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = pa.array([least_pair(x) for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.int64()), batch.column("text"), batch.column("toxic"), group], ["key", "text", "toxic", "group"])
+            words = pa.array([len(WORD.findall((x or "").lower())) for x in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.int64()), batch.column("text"), batch.column("toxic"), group, words], ["key", "text", "toxic", "group", "words"])
 
     # copies of a text are one witness: else words that only they hold would seem to tell
-    one = map_arrow(got.withColumn("__key", F.xxhash64("__key")), alike, "key long, text string, toxic int, group long").groupBy("toxic", "group").agg(F.min_by("text", "key").alias("text"))
-    return materialize(one.select("text", "toxic", (F.pmod(F.xxhash64("group"), F.lit(5)) < 3).alias("choosing")), "toxic-sample"), {k: 1 / s for k, s in share.items()}
+    one = map_arrow(got.withColumn("__key", F.xxhash64("__key")), alike, "key long, text string, toxic int, group long, words long").groupBy("toxic", "group").agg(F.min_by(F.struct("text", "words"), "key").alias("one"))
+    return materialize(one.select("one.text", "toxic", "one.words"), "toxic-sample"), {k: 1 / s for k, s in share.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 3, left_out: int = 1, max_rows: int = 10_000, max_terms: int = 1000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", parts: int = 3, left_out: int = 1, max_rows: int = 10_000) -> Model:
     """Learn a model from rows whose fold is not ``left_out``.
 
     Rows without text, id or a label of 0 or 1 teach nothing; without any
     training rows of both labels the model has no terms and a base of 0.
     """
     rows, stands = sample(docs, labels, text, key, label, parts, left_out, max_rows)
-    chosen_from = rows.where("choosing")
-    sizes = {r.toxic: r.n for r in chosen_from.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    of = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}  # two rows at most
+    if not all(x in of and of[x].words for x in (0, 1)):
         return Model([], {}, 0.0)
+    sizes = {x: of[x].n for x in of}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = (Counter(), Counter())
+            seen: dict[tuple[str, bool], list[float]] = defaultdict(lambda: [0, 0, 0.0, 0.0])
             for x, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(WORD.findall((x or "").lower()))
-                seen[toxic].update((w, False) for w in words if len(w) >= STEM_CHARS[0])
-                seen[toxic].update({(w[:n], True) for w in words for n in STEM_CHARS if len(w) > n})
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_pydict({"term": pa.array([k[0] for k in keys]), "stem": pa.array([k[1] for k in keys]), "toxic": pa.array([seen[1][k] for k in keys], pa.int64()), "clean": pa.array([seen[0][k] for k in keys], pa.int64())})
-
-    least = max(4.0, 0.004 * sizes[1])
-    odds = (F.col("toxic") / sizes[1]) / (F.col("toxic") / sizes[1] + (F.col("clean") + 1) / sizes[0])
-    # twice the log-likelihood ratio against equal shares: chance finds among millions of terms stay below
-    both, part = F.col("toxic") + F.col("clean"), sizes[1] / (sizes[0] + sizes[1])
-    surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * part)) + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(0.5)) / (both * (1 - part))))
-    counted = map_arrow(chosen_from.select("text", "toxic"), count, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    frequent = materialize(counted.where(F.col("toxic") >= least), "toxic-terms")
-    # chance in one of as many terms; the lexicon's size is a parameter of the model
-    found = frequent.where((odds >= 0.95) & (surprise >= 2 * math.log(frequent.count() + 1) + SURPRISE)).orderBy(F.desc("toxic"), "term", "stem").limit(20 * max_terms).collect()
-    terms = choose([(r.term, r.stem, r.toxic) for r in found])[:max_terms]
-
-    reporting = REPORTING | reporting_words(chosen_from, terms, sizes)
+                held: Counter = Counter()
+                for w, n in Counter(WORD.findall((x or "").lower())).items():
+                    if len(w) >= STEM_CHARS[0]:
+                        held[w, False] += n
+                    held.update({(w[:c], True): n for c in STEM_CHARS if len(w) > c})
+                for k, n in held.items():
+                    seen[k][toxic] += 1
+                    seen[k][2 + toxic] += math.log2(1 + n)
+            keys, cells = list(seen), list(zip(*seen.values(), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array(c, kind) for c, kind in zip(cells, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["term", "stem", "clean", "toxic", "clean_mass", "toxic_mass"])
+
+    counted = map_arrow(rows.select("text", "toxic"), count, "term string, stem boolean, clean long, toxic long, clean_mass double, toxic_mass double").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_mass", "toxic_mass")))
+    frequent = materialize(counted.where(F.col("toxic") >= LEAST_ROWS), "toxic-terms")
+    denser = (F.col("toxic_mass") / of[1].words) / ((F.col("clean_mass") + 1) / of[0].words)
+    # repeats in a row are not independent: masses count as many as rows are toxic
+    good = F.col("clean_mass") * F.col("toxic") / F.col("toxic_mass")
+    # twice the log-likelihood ratio against equal density: chance finds among millions of terms stay below
+    both, part = F.col("toxic") + good, of[1].words / (of[0].words + of[1].words)
+    surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * part)) + F.when(good > 0, good * F.log(good / (both * (1 - part)))).otherwise(0.0))
+    # chance in one of as many terms; no more than the bounded sample has
+    found = frequent.where((denser >= DENSER) & (surprise >= 2 * math.log(frequent.count() + 1) + SURPRISE)).select("term", "stem", "toxic").collect()
+    terms = choose([(r.term, r.stem, r.toxic) for r in found])
+    reporting, clean_hits = around_hits(rows, terms, sizes)
+    rates = {(k, e): (clean_hits.get((k, e), 0) + 0.5) / of[0].words for k in range(len(terms)) for e in range(edits(terms[k][0]) + 1)}
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, reporting)
         seen: Counter = Counter()
         for batch in batches:
             for x, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                shown = evidence(reader.hits(x))
+                shown = evidence(*reader.read(x), rates)
                 seen.update((*s, toxic) for s in shown)
                 seen[-1, 0, 0, False, toxic] += not shown
         keys = list(seen)
-        yield pa.RecordBatch.from_pydict({"term": pa.array([k[0] for k in keys], pa.int64()), "edits": pa.array([k[1] for k in keys], pa.int64()), "times": pa.array([k[2] for k in keys], pa.int64()), "quoted": pa.array([k[3] for k in keys], pa.bool_()), "toxic": pa.array([k[4] for k in keys], pa.int64()), "n": pa.array([seen[k] for k in keys], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array([k[0] for k in keys], pa.int64()), "edits": pa.array([k[1] for k in keys], pa.int64()), "level": pa.array([k[2] for k in keys], pa.int64()), "quoted": pa.array([k[3] for k in keys], pa.bool_()), "toxic": pa.array([k[4] for k in keys], pa.int64()), "n": pa.array([seen[k] for k in keys], pa.int64())})
 
-    # rows: terms x edits x times x two
-    table = map_arrow(rows.where("not choosing").select("text", "toxic"), observe, "term long, edits long, times long, quoted boolean, toxic long, n long").groupBy("term", "edits", "times", "quoted").agg(
+    # rows: terms x edits x levels x two
+    table = map_arrow(rows.select("text", "toxic"), observe, "term long, edits long, level long, quoted boolean, toxic long, n long").groupBy("term", "edits", "level", "quoted").agg(
         F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).collect()
-    shown = {(r.term, r.edits, r.times, r.quoted): (r.bad * stands[1], r.good * stands[0]) for r in table}
+    shown = {(r.term, r.edits, r.level, r.quoted): (r.bad * stands[1], r.good * stands[0]) for r in table}
     bad, good = shown.pop((-1, 0, 0, False), (0.0, 0.0))
     weights = {}
     for k in range(len(terms)):
         for e in range(edits(terms[k][0]) + 1):
-            for n in range(1, 5):
-                # a misspelled stem is too little by itself: training rows must show it
-                # holding it more often is at first worth as much as holding it less often
-                prior = w if n > 1 else 0.9 if e == 0 else 0.5 if terms[k][1] else 0.8
+            for n in range(len(LEVELS) + 1):
+                # what chance brings says little, and a misspelled stem too little by
+                # itself: training rows must show it; denser is at first worth as much
+                prior = LOWEST if n == 0 else max(w, prior) if n > 1 else 0.9 if e == 0 else 0.5 if terms[k][1] else 0.8
                 b, g = shown.get((k, e, n, False), (0.0, 0.0))
-                # chance hits are common in long texts, so only clear evidence counts
+                # only clear evidence counts
                 w = (b + 2 * prior) / (b + g + 2)
                 if w >= 0.6:
                     weights[k, e, n, False] = min(w, 0.99)
                     b, g = shown.get((k, e, n, True), (0.0, 0.0))
                     weights[k, e, n, True] = min((b + 2 * MENTION) / (b + g + 2), w)
-    return Model(terms, weights, min(0.5, bad / (bad + good + 1)), reporting)
+    return Model(terms, weights, min(0.5, bad / (bad + good + 1)), reporting, rates)
 
 
-def reporting_words(rows: DataFrame, terms: list[tuple[str, bool]], sizes: dict[int, int]) -> frozenset[str]:
-    """Words that stand shortly before hits in at least ``LEAST_REPORTS`` clean rows
-    and, by the shares of either label, in toxic rows hardly ever. ``rows`` is the
-    bounded sample, so what is sent back is bounded by it."""
+def around_hits(rows: DataFrame, terms: list[tuple[str, bool]], sizes: dict[int, int]) -> tuple[frozenset[str], dict[tuple[int, int], int]]:
+    """Words of reporting, and hits of each (term, edits) in clean rows.
+
+    Words of reporting stand shortly before hits in at least ``LEAST_REPORTS`` clean
+    rows and, by the shares of either label, in toxic rows hardly ever. ``rows`` is
+    the bounded sample, so what is sent back is bounded by it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)
         seen: Counter = Counter()
         for batch in batches:
             for x, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen.update({(w, toxic) for _, _, start, _, _ in reader.hits(x) for w in words_before(x, start)})
+                hits = reader.hits(x)
+                seen.update({(w, -1, 0, toxic) for _, _, start, _, _ in hits for w in words_before(x, start)})
+                seen.update((None, k, e, toxic) for k, e, _, _, _ in hits)
         keys = list(seen)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k in keys], pa.string()), "toxic": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array([seen[k] for k in keys], pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), pa.array([seen[k] for k in keys], pa.int64())], ["word", "term", "edits", "toxic", "n"])
 
-    counted = map_arrow(rows.select("text", "toxic"), count, "word string, toxic long, n long").groupBy("word").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
+    counted = map_arrow(rows.select("text", "toxic"), count, "word string, term long, edits long, toxic long, n long").groupBy("word", "term", "edits").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
     share = (F.col("bad") / sizes[1]) / (F.col("bad") / sizes[1] + F.col("good") / sizes[0])
-    return frozenset(r.word for r in counted.where((F.col("good") >= LEAST_REPORTS) & (share <= 0.1)).select("word").collect())
+    got = counted.where(F.col("word").isNull() | (F.col("good") >= LEAST_REPORTS) & (share <= 0.1)).collect()
+    return REPORTING | {r.word for r in got if r.word is not None}, {(r.term, r.edits): r.good for r in got if r.word is None}
 
 
 def choose(found: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
@@ -338,16 +379,22 @@ def choose(found: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
     reach about as far."""
     words = {t: n for t, stem, n in found if not stem}
     stems = {t: n for t, stem, n in found if stem}
+    of_words, of_stems = sorted(words), sorted(stems)
     kept: dict[str, int] = {}
-    for t in sorted(stems, key=len):
-        covered = max((n for w, n in words.items() if w.startswith(t)), default=0)
-        if stems[t] < 1.5 * covered or any(t.startswith(k) for k in kept):
+
+    def under(ordered: list[str], start: str) -> list[str]:
+        return ordered[bisect_left(ordered, start) : bisect_left(ordered, start + chr(0x10FFFF))]
+
+    def has_stem(term: str) -> bool:
+        return any(term[:c] in kept for c in STEM_CHARS)
+
+    for t in sorted(of_stems, key=len):
+        covered = max((words[w] for w in under(of_words, t)), default=0)
+        if stems[t] < 1.5 * covered or has_stem(t):
             continue
-        longer = [x for x in stems if x.startswith(t) and stems[x] >= 0.98 * stems[t]]
-        best = max(longer, key=lambda x: (len(x), stems[x]))
+        best = max((x for x in under(of_stems, t) if stems[x] >= 0.98 * stems[t]), key=lambda x: (len(x), stems[x]))
         kept[best] = stems[best]
-    rest = {w: n for w, n in words.items() if not any(w.startswith(k) for k in kept)}
-    both = [(n, t, True) for t, n in kept.items()] + [(n, t, False) for t, n in rest.items()]
+    both = [(n, t, True) for t, n in kept.items()] + [(n, w, False) for w, n in words.items() if not has_stem(w)]
     return [(t, stem) for n, t, stem in sorted(both, key=lambda x: (-x[0], x[1]))]
 
 
@@ -368,8 +415,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         reader = Reader(terms, reporting)
         kind = pa.list_(pa.struct([("term", pa.string()), ("word_start", pa.int64()), ("word_end", pa.int64()), ("edits", pa.int64()), ("mention", pa.bool_())]))
         for batch in batches:
-            found = [reader.hits(x) for x in batch.column("__text").to_pylist()]
-            scores = pa.array([model.score(h) for h in found], pa.float64())
+            found, words = zip(*(reader.read(x) for x in batch.column("__text").to_pylist()), strict=True) if batch.num_rows else ((), ())
+            scores = pa.array([model.score(h, n) for h, n in zip(found, words, strict=True)], pa.float64())
             told = pa.array([[{"term": terms[k][0], "word_start": a, "word_end": b, "edits": e, "mention": q} for k, e, a, b, q in h] for h in found], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores, told], [*keep, "score", "hits"])
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -77,6 +78,48 @@ def test_held_out_accuracy(spark):
     assert hit / sum(r.toxic for r in both) > 0.9 and hit / sum(r.predicted for r in both) > 0.7
 
 
+@pytest.mark.parametrize(("sf", "recall", "precision", "by_language"), [("sf0.1", 0.9, 0.9, 0.8), ("sf0.01", 0.75, 0.95, None)])
+def test_held_out_by_language(spark, sf, recall, precision, by_language):
+    """Precision and recall of held-out rows, on both sizes, and in each language of the larger."""
+    folder = f"/root/testdata/{sf}"
+    got = queries.QUERIES["op2_toxicity"](spark, folder).where("held_out").select("doc_id", "predicted")
+    marked, docs = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("labels", "documents"))
+    rows = got.join(marked.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+
+    def shares(some):
+        hit = sum(r.predicted and r.toxic for r in some)
+        return hit / sum(r.toxic for r in some), hit / max(1, sum(r.predicted for r in some))
+
+    found, right = shares(rows)
+    assert found >= recall and right >= precision
+    for lang in {r.lang for r in rows} if by_language else ():
+        assert min(shares([r for r in rows if r.lang == lang])) >= by_language, lang
+
+
+def chance(count, expected):
+    """Of a Poisson law, that as many or more come: its tail added up."""
+    return math.fsum(math.exp(i * math.log(expected) - expected - math.lgamma(i + 1)) for i in range(count, count + int(4 * expected) + 400))
+
+
+def test_levels():
+    rng = random.Random(8)
+    for _ in range(3000):
+        count, expected = rng.randint(1, 60), 10 ** rng.uniform(-6, 1.7)
+        got = -math.log10(max(chance(count, expected), 1e-300))
+        if min(abs(got - x) for x in toxicity.LEVELS) > 1e-6:
+            assert toxicity.level(count, expected) == sum(got > x for x in toxicity.LEVELS)
+    # one hit says more in a short text than in a long one, and many say more than one
+    assert toxicity.level(1, 0.02) > toxicity.level(1, 2.0) == 0 < toxicity.level(12, 2.0)
+    assert toxicity.level(10**6, 1.0) == len(toxicity.LEVELS) and toxicity.level(3, 10.0**6) == 0
+
+
+def test_one_stem_instead_of_its_words():
+    words = [("grimbleka", False, 5), ("grimblelo", False, 6), ("grimbly", False, 4), ("other", False, 7)]
+    stems = [("grim", True, 20), ("grimb", True, 20), ("grimbl", True, 20), ("grimble", True, 16), ("othe", True, 7)]
+    assert toxicity.choose(words + stems) == [("grimbl", True), ("other", False)]
+    assert toxicity.choose([]) == []
+
+
 def quoted(text, start, end, reporting):
     """Mention from its definition: a pair of marks on the line around the hit, in
     the window, or a word of reporting among the three before it."""
@@ -94,17 +137,19 @@ def quoted(text, start, end, reporting):
 
 
 def brute_score(text, model, near):
-    """Hits by edit distances, and their weights joined as independent causes."""
+    """Hits by edit distances, their weights by density joined as independent causes."""
     counts = {}
     text = (text or "").lower()
+    words = len(re.findall(r"[^\W\d_]+", text))
     for m in re.finditer(r"[^\W\d_]+", text):
         for k, e in near(m[0]).items():
             at = (k, e, quoted(text, m.start(), m.end(), model.reporting))
             counts[at] = counts.get(at, 0) + 1
     best = {}
     for (k, e, q), n in counts.items():
-        for step, least in ((1, 1), (2, 2), (3, 3), (4, 5)):
-            if n >= least:
+        rare = chance(n, model.rates[k, e] * words)
+        for step, power in enumerate((0, 1, 3, 6, 10)):
+            if rare <= 10.0**-power or not step:
                 best[k, q] = max(best.get((k, q), 0), model.weights.get((k, e, step, q), 0))
     clean = 1 - model.base
     for w in best.values():
