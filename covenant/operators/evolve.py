@@ -183,3 +183,41 @@ def rollout_not_null(df: DataFrame, column: str, default: str, since: str) -> Da
     count = lambda rows: rows.agg(F.count_if(F.col(column).isNull()).alias("nulls"))
     steps = [("1 add check, not valid", count(df.where(F.expr(since)))), ("2 backfill", count(filled)), ("3 validate", count(filled)), ("4 set not null", count(filled))]
     return reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("step"), "nulls") for s, d in steps])
+
+
+def rollout_states(rows: DataFrame, arriving: DataFrame, column: str, default: str, by: Sequence[str] = ()) -> DataFrame:
+    """What each step of the safe way to NOT NULL leaves, for each group of ``by``.
+
+    ``(*by, step, nulls, refused, check_state, not_null)``: a check that is not yet
+    valid stands in front of ``arriving`` rows and refuses those with a null;
+    ``rows``, which are older, are then filled by ``default``. The check is valid only
+    if no null is left (a default may be null itself), only a valid check lets the
+    column be declared, and only then does the check go. ``refused`` counts the
+    arriving rows that the check keeps out as of its step.
+
+    Both sides are read once and counted before the shuffle. Null keys are a group;
+    a group of only one side has no nulls on the other. Without ``by`` empty tables
+    have nothing left, with it they give an empty table. Other columns are ignored.
+    """
+    names = [f"__by{i}" for i in range(len(by))]
+    empty, stays = F.col(column).isNull(), F.col(column).isNull() & F.expr(default).isNull()
+
+    def side(df: DataFrame, old: bool) -> DataFrame:
+        keys = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+        return df.select(*keys, empty.alias("__null"), (stays if old else F.lit(False)).alias("__stays"), F.lit(old).alias("__old"))
+
+    empties = {"__before": F.col("__null") & F.col("__old"), "__after": F.col("__stays"), "__out": F.col("__null") & ~F.col("__old")}
+    counts = side(rows, True).unionByName(side(arriving, False)).groupBy(*names).agg(*(F.count_if(c).alias(n) for n, c in empties.items()))
+    valid = F.col("__after") == 0
+    checked = F.when(valid, "valid").otherwise("not valid")
+    none = F.lit(0).cast("long")
+    steps = [
+        ("1 nullable", F.col("__before"), none, F.lit("none"), F.lit(False)),
+        ("2 check, not valid", F.col("__before"), F.col("__out"), F.lit("not valid"), F.lit(False)),
+        ("3 backfill", F.col("__after"), F.col("__out"), F.lit("not valid"), F.lit(False)),
+        ("4 validate", F.col("__after"), F.col("__out"), checked, F.lit(False)),
+        ("5 set not null", F.col("__after"), F.col("__out"), checked, valid),
+        ("6 drop check", F.col("__after"), F.col("__out"), F.when(valid, "none").otherwise("not valid"), valid),
+    ]
+    told = [F.struct(F.lit(step).alias("step"), *(c.alias(n) for c, n in zip(cells, ("nulls", "refused", "check_state", "not_null"), strict=True))) for step, *cells in steps]
+    return counts.select(*(F.col(n).alias(c) for c, n in zip(by, names, strict=True)), F.inline(F.array(*told)))

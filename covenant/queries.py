@@ -270,6 +270,21 @@ def c18_not_null_rollout(spark, sf):
     return evolve.rollout_not_null(df, "p_size", "0", "p_partkey % 2 = 0")
 
 
+@query("""
+WITH p AS (SELECT p_partkey % 5 AS lot, p_partkey % 3 <> 0 AS old, p_partkey % 97 = 0 AS empty, p_partkey % 485 = 0 AS no_default FROM part),
+c AS (SELECT lot, count(*) FILTER (WHERE empty AND old) AS a, count(*) FILTER (WHERE empty AND old AND no_default) AS b, count(*) FILTER (WHERE empty AND NOT old) AS r FROM p GROUP BY lot)
+SELECT lot, '1 nullable' AS step, a AS nulls, 0 AS refused, 'none' AS check_state, false AS not_null FROM c
+UNION ALL SELECT lot, '2 check, not valid', a, r, 'not valid', false FROM c
+UNION ALL SELECT lot, '3 backfill', b, r, 'not valid', false FROM c
+UNION ALL SELECT lot, '4 validate', b, r, CASE b WHEN 0 THEN 'valid' ELSE 'not valid' END, false FROM c
+UNION ALL SELECT lot, '5 set not null', b, r, CASE b WHEN 0 THEN 'valid' ELSE 'not valid' END, b = 0 FROM c
+UNION ALL SELECT lot, '6 drop check', b, r, CASE b WHEN 0 THEN 'none' ELSE 'not valid' END, b = 0 FROM c""")
+def c18_rollout_states(spark, sf):
+    df = read(spark, sf, "part").withColumn("p_size", F.expr("CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_size END")).withColumn("lot", F.expr("p_partkey % 5"))
+    old = F.expr("p_partkey % 3 <> 0")
+    return evolve.rollout_states(df.where(old), df.where(~old), "p_size", "CASE WHEN p_partkey % 485 = 0 THEN NULL ELSE 0 END", ["lot"])
+
+
 # -- predicates and scalar forms ------------------------------------------------
 
 

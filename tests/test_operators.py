@@ -141,3 +141,18 @@ def test_deep_levels_end(spark):
     nodes = spark.createDataFrame([(1, f"n{i}") for i in range(6)], "db_id int, node string")
     edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(5)], "db_id int, src string, dst string")
     assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {f"n{i}": 5 - i for i in range(6)}
+
+
+def test_rollout_states(spark):
+    shape = "k int, v int, step string"
+    old = spark.createDataFrame([(1, None, "x"), (1, 2, "x"), (2, None, "x"), (None, None, "x")], shape)
+    new = spark.createDataFrame([(1, None, "y"), (1, None, "y"), (3, None, "y"), (2, 5, "y")], shape)
+    told = {(r.k, r.step[0]): tuple(r)[2:] for r in evolve.rollout_states(old, new, "v", "CASE WHEN k = 2 THEN NULL ELSE 0 END", ["k"]).collect()}
+    assert len(told) == 4 * 6
+    assert [told[1, s] for s in "123456"] == [(1, 0, "none", False), (1, 2, "not valid", False), (0, 2, "not valid", False), (0, 2, "valid", False), (0, 2, "valid", True), (0, 2, "none", True)]
+    # a default that is null leaves the check as it is, and the column is not declared
+    assert [told[2, s] for s in "3456"] == [(1, 0, "not valid", False)] * 4
+    assert told[3, "2"] == (0, 1, "not valid", False) and told[None, "6"] == (0, 0, "none", True)
+    whole = {r.step[0]: tuple(r)[1:] for r in evolve.rollout_states(old.limit(0), new.limit(0), "v", "0").collect()}
+    assert whole["1"] == (0, 0, "none", False) and whole["6"] == (0, 0, "none", True)
+    assert evolve.rollout_states(old.limit(0), new.limit(0), "v", "0", ["k"]).count() == 0
