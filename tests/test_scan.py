@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covenant.operators import partition, scan
+from tests.spent import spent
 
 SCHEMA = "k string, o int, v int"
 
@@ -61,6 +62,20 @@ def test_overlaps(spark):
     assert sorted(map(tuple, scan.overlaps(df, "id", ["k"], "lo", "hi", parts=5).collect())) == want
 
 
+def test_overlaps_shuffles_no_pairs(spark):
+    """Rows that all overlap: what is shuffled grows with them, not with their pairs."""
+    n, most = 3000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.range(n).selectExpr("id", "'a' AS k", "id AS lo", f"id + {n} AS hi")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = spent(spark)[1]
+        pairs = scan.overlaps(df, "id", ["k"], "lo", "hi", parts=4)
+        assert pairs.agg(F.count("*"), F.count_if(F.col("a") < F.col("b"))).first() == (n * (n - 1) // 2,) * 2
+        assert spent(spark)[1] - before < 1000 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_locate(spark):
     rng = random.Random(3)
     edges = sorted(rng.sample(range(1000), 30)) + [10**6]
