@@ -172,9 +172,13 @@ def duplicate_definitions(objects: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def dangling_columns(objects: DataFrame, columns: DataFrame, table: Sequence[str] = ("db_id", "schema", "table")) -> DataFrame:
-    """``(*table, name, column)``: columns that an object names and its table lacks, once each."""
+    """``(*table, name, column)``: columns that an object names and its table lacks, once each.
+
+    The sides are sorted and merged: catalogs come out of arrays, whose rows Spark's
+    estimate does not count, and which it would send whole to every task."""
     named = objects.select(*table, "name", F.explode("columns").alias("column")).distinct()
-    return named.join(columns.select(*table, F.col("name").alias("column")), [*table, "column"], "left_anti").select(*table, "name", "column")
+    held = columns.select(*table, F.col("name").alias("column")).hint("merge")
+    return named.join(held, [*table, "column"], "left_anti").select(*table, "name", "column")
 
 
 def summary(found: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
