@@ -173,12 +173,13 @@ def insert_positions(current: DataFrame, desired: DataFrame, by: Sequence[str],
     before it; a new first value BEFORE the next existing one, else appended."""
     there = current.select(*by, value, F.lit(True).alias("__there"))
     rows = desired.join(there, [*by, value], "left")
-    w = Window.partitionBy(*by).orderBy(ordinal)
-    rest = w.rowsBetween(1, Window.unboundedFollowing)
+    # both neighbours by prefix scans, the next one from behind
+    ahead = scan.running(rows, by, [ordinal], {"__before": ("last", F.struct(F.col(value).alias("told"))), "__at": ("sum", F.lit(-1).cast("long"))}, inclusive=False)
     existing = F.when(F.col("__there"), F.col(value))
-    marked = rows.withColumn("__before", F.lag(value).over(w)).withColumn("__next", F.first(existing, ignorenulls=True).over(rest))
-    placed = F.when(F.col("__before").isNotNull(), "after").when(F.col("__next").isNotNull(), "before").otherwise("append")
-    return marked.where("__there IS NULL").select(*by, value, placed.alias("placed"), F.coalesce("__before", "__next").alias("neighbour"))
+    marked = scan.running(ahead.withColumn("__at", F.coalesce("__at", F.lit(0).cast("long"))), by, ["__at"], {"__next": ("last", existing)})
+    before = F.col("__before.told")
+    placed = F.when(before.isNotNull(), "after").when(F.col("__next").isNotNull(), "before").otherwise("append")
+    return marked.where("__there IS NULL").select(*by, value, placed.alias("placed"), F.coalesce(before, "__next").alias("neighbour"))
 
 
 def replaceable_views(current: DataFrame, desired: DataFrame, by: Sequence[str] = ("db_id", "view")) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from covenant.operators import partition, scan
+from covenant.operators import diff, partition, scan
 from tests.spent import spent
 
 SCHEMA = "k string, o int, v int"
@@ -95,3 +95,23 @@ def test_route_tree(spark):
     got = sorted(((r.land, r.n, r.partition) for r in partition.route_tree(df, [("land", top), ("n", below)]).collect()), key=str)
     want = [("de", 5, "eu/low"), ("fr", 10, "eu/rest"), ("fr", None, "eu/rest"), ("us", 5, None), ("us", 11, "us/high"), ("jp", 1, None), (None, 1, None)]
     assert got == sorted(want, key=str)
+
+
+def test_insert_positions_of_a_large_enum(spark):
+    """Like its definition, and a large enum is spread over tasks."""
+    rng = random.Random(4)
+    new = [(k, f"{k}{i}", i) for k, n in (("hot", 400), ("a", 5), (None, 3)) for i in rng.sample(range(2 * n), n)]
+    old = [r for r in new if rng.random() < 0.5 and r[2] > 20]
+    want = []
+    for k in ("hot", "a", None):
+        labels = [r[1] for r in sorted((r for r in new if r[0] == k), key=lambda r: r[2])]
+        there = {r[1] for r in old if r[0] == k and k is not None}
+        for i, label in enumerate(labels):
+            after = next((x for x in labels[i + 1 :] if x in there), None)
+            if label not in there:
+                want.append((k, label, "after", labels[i - 1]) if i else (k, label, "before" if after else "append", after))
+    a, b = (spark.createDataFrame(x, "k string, label string, ordinal int") for x in (old, new))
+    found = diff.insert_positions(a, b, ["k"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    sizes = [r["count"] for r in found.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= sum(sizes) / 2
