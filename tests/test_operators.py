@@ -165,3 +165,13 @@ def test_dangling_columns_sends_no_catalog_whole(spark):
     found = audit.dangling_columns(asked, columns)
     assert sorted((r.db_id, r.column) for r in found.collect()) == [(i, "x") for i in range(0, 100, 10)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_has_few_files(spark, tmp_path):
+    """As many files as ranges, however many databases, in their order; an empty kind too."""
+    df = spark.range(400).selectExpr("id AS db_id", "'t' || id AS name", "array(map('a', id)) AS more")
+    snapshot.write_snapshot({"tables": df, "none": df.limit(0)}, str(tmp_path))
+    assert 0 < len(list(tmp_path.glob("tables/**/*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = snapshot.read_snapshot(spark, str(tmp_path), "tables")
+    assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect())
+    assert back.where("db_id = 17").count() == 1 and snapshot.read_snapshot(spark, str(tmp_path), "none").count() == 0
