@@ -26,6 +26,12 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return known, real.select("db_id", "src", "dst").distinct()
 
 
+def stored_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`known_edges`, stored, for what reads them in many steps."""
+    known = stored(nodes.select("db_id", "node").distinct(), "graph-nodes")
+    return known, stored(known_edges(known, edges)[1], "graph-edges")
+
+
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(db_id, node, level)``: 0 for nodes without dependencies, else one more
     than the highest they depend on; null for members of cycles and nodes behind
@@ -38,9 +44,16 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) ->
     `HOPS`, and edges that lead into a chain go on to its end. Trees and chains take
     rounds by the logarithm of their depth, other graphs by what branches. More than
     ``max_rounds`` levels, if it is given, are an error."""
-    known, real = known_edges(nodes, edges)
+    return settled(*known_edges(nodes, edges), max_rounds)
+
+
+def settled(known: DataFrame, real: DataFrame, max_rounds: int | None = None, floors: DataFrame | None = None) -> DataFrame:
+    """`levels` of distinct nodes and edges between them; ``floors (db_id, node, floor)``
+    are levels that nodes have at least."""
     linked = real.select("db_id", F.col("src").alias("node"), "dst", F.lit(1).alias("w"))
-    left = stored(known.join(linked, ["db_id", "node"], "left").withColumn("floor", F.lit(0)), "graph-open")
+    left = known.join(linked, ["db_id", "node"], "left")
+    left = left.withColumn("floor", F.lit(0)) if floors is None else left.join(floors, ["db_id", "node"], "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
+    left = stored(left, "graph-open")
     placed: list[DataFrame] = []
     while True:
         first = raked(left)
@@ -107,9 +120,14 @@ def positions(leveled: DataFrame) -> DataFrame:
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes on a path from one cycle to another or itself: what no peel from
     either end removes."""
-    ahead = levels(nodes, edges).where("level IS NULL").select("db_id", "node")
-    back = edges.select("db_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return levels(ahead, back).where("level IS NULL").select("db_id", "node")
+    known, real = stored_edges(nodes, edges)
+    return ahead_of_cycles(settled(known, real).where("level IS NULL").select("db_id", "node"), real)
+
+
+def ahead_of_cycles(open_nodes: DataFrame, real: DataFrame) -> DataFrame:
+    """`cycle_members`, of the nodes that have no level."""
+    back = real.select("db_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return levels(open_nodes, back).where("level IS NULL").select("db_id", "node")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,8 +139,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node of its own colour and those of its colour that it depends on in a circle are
     a component; edges between colours join no component, so the others of a colour
     go on by themselves."""
-    known, real = known_edges(nodes, edges)
-    core, told = stored_with(cycle_members(known, real), "graph-core", n=F.count("*"))
+    known, real = stored_edges(nodes, edges)
+    return named_components(known, cycle_components(settled(known, real).where("level IS NULL").select("db_id", "node"), real))
+
+
+def cycle_components(open_nodes: DataFrame, real: DataFrame) -> DataFrame | None:
+    """``(db_id, node, component, members)`` of nodes on cycles, None if there are none;
+    ``open_nodes`` are those that have no level."""
+    core, told = stored_with(ahead_of_cycles(open_nodes, real), "graph-core", n=F.count("*"))
     links = real.join(core.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").join(core.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi")
     links, found = stored(links, "graph-edges"), []
     while told["n"]:
@@ -136,10 +160,15 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         core, told = stored_with(core.join(members, ["db_id", "node"], "left_anti"), "graph-core", n=F.count("*"))
         links = stored(own.join(core.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi").join(core.withColumnRenamed("node", "dst"), ["db_id", "dst"], "left_semi"), "graph-edges")
     if not found:
-        return known.select("db_id", "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
+        return None
     held = reduce(DataFrame.unionByName, found)
     named = held.groupBy("db_id", "colour").agg(F.min("node").alias("component"), F.count("*").alias("members"))
-    told = held.join(named, ["db_id", "colour"]).select("db_id", "node", "component", "members")
+    return held.join(named, ["db_id", "colour"]).select("db_id", "node", "component", "members")
+
+
+def named_components(known: DataFrame, told: DataFrame | None) -> DataFrame:
+    if told is None:
+        return known.select("db_id", "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
     return known.join(told, ["db_id", "node"], "left").select("db_id", "node", F.coalesce("component", "node").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 
@@ -164,13 +193,23 @@ def coloured(core: DataFrame, links: DataFrame) -> DataFrame:
 def unit_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(db_id, node, component, members, level)``: levels where the members of a
     cycle are one unit, so that nodes behind a cycle are ordered too. Members of a
-    unit share a level."""
-    known, real = known_edges(nodes, edges)
-    units = stored(strong_components(known, real), "graph-units")
+    unit share a level.
+
+    Nodes are levelled once. Only those that this leaves open, on cycles and behind
+    them, are put in units and levelled again, above what is settled."""
+    known, real = stored_edges(nodes, edges)
+    leveled = settled(known, real)
+    done = leveled.where("level IS NOT NULL").select("db_id", "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"), "level")
+    rest, told = stored_with(leveled.where("level IS NULL").select("db_id", "node"), "graph-behind", n=F.count("*"))
+    if not told["n"]:
+        return done
+    out = stored(real.join(rest.withColumnRenamed("node", "src"), ["db_id", "src"], "left_semi"), "graph-edges")
+    units = stored(named_components(rest, cycle_components(rest, out)), "graph-units")
     at = lambda end: units.select("db_id", F.col("node").alias(end), F.col("component").alias(f"{end}_unit"))
-    between = real.join(at("src"), ["db_id", "src"]).join(at("dst"), ["db_id", "dst"]).select("db_id", F.col("src_unit").alias("src"), F.col("dst_unit").alias("dst"))
-    leveled = levels(units.select("db_id", F.col("component").alias("node")), between).withColumnRenamed("node", "component")
-    return units.join(leveled, ["db_id", "component"]).select("db_id", "node", "component", "members", "level")
+    between = out.join(at("src"), ["db_id", "src"]).join(at("dst"), ["db_id", "dst"]).where("src_unit <> dst_unit").select("db_id", F.col("src_unit").alias("src"), F.col("dst_unit").alias("dst")).distinct()
+    floors = out.join(done.select("db_id", F.col("node").alias("dst"), "level"), ["db_id", "dst"]).join(at("src"), ["db_id", "src"]).groupBy("db_id", F.col("src_unit").alias("node")).agg((F.max("level") + 1).alias("floor"))
+    above = settled(units.select("db_id", F.col("component").alias("node")).distinct(), between, floors=floors).withColumnRenamed("node", "component")
+    return done.unionByName(units.join(above, ["db_id", "component"]).select("db_id", "node", "component", "members", "level"))
 
 
 #: Steps along edges that a stored round of `impact` takes.

@@ -4,6 +4,7 @@ import time
 import pytest
 
 from covenant.operators import graph
+from tests.spent import spent
 
 
 def levels_of(nodes, edges):
@@ -80,3 +81,18 @@ def test_long_circle_and_empty(spark):
     assert {r.level for r in graph.levels(nodes, closed).collect()} == {None}
     assert {(r.component, r.members) for r in graph.strong_components(nodes, closed).collect()} == {("0", 25)}
     assert graph.unit_levels(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_units_take_their_levels_once(spark):
+    """Without cycles units cost little more than levels."""
+    nodes = spark.range(6000).selectExpr("id div 50 AS db_id", "cast(id AS string) AS node")
+    edges = spark.range(6000).where("id % 50 > 0").selectExpr("id div 50 AS db_id", "cast(id AS string) AS src", "cast(id - id % 50 + id % 50 div 2 AS string) AS dst")
+    most, at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [spent(spark)[1]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (graph.levels, graph.unit_levels):
+            assert f(nodes, edges).where("level = 5").count() == 120 * 16
+            at.append(spent(spark)[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert at[2] - at[1] < 1.5 * (at[1] - at[0])
