@@ -37,7 +37,7 @@ import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from covenant.llm.common import map_arrow
+from covenant.llm.common import KEPT, map_arrow
 
 #: Characters of a text, and bytes of a piece, up to which a leaf is encoded directly.
 TEXT_LEAF, PIECE_LEAF = 1024, 256
@@ -257,6 +257,7 @@ class Bpe:
 
 #: Coders of this Python worker: what they remember serves its later tasks too.
 CODERS: dict[tuple[str, int, str], Bpe] = {}
+KEPT.append(CODERS)
 
 
 def coder_of(path: str, ranks: dict[bytes, int], pattern: str) -> Bpe:
@@ -289,7 +290,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Seq
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "ids"])
 
     picked = df.select(*keep, df[text].alias("__text"))
-    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", ids array<int>")
+    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", ids array<int>", keeps=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -306,7 +307,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("d
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], [*keep, "bytes"])
 
     picked = df.select(*keep, df[ids].alias("__ids"))
-    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", bytes binary")
+    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", bytes binary", keeps=True)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -328,4 +329,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = df.select(*keep, df[text].alias("__text"))
-    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(picked, run, ", ".join(f"`{c}` {kind}" for c, kind in df.select(*keep).dtypes) + ", n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

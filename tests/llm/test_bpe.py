@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from covenant.llm import bpe
+from covenant.llm import bpe, common
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -79,3 +79,10 @@ def test_any_cut_mends(text, leaf):
         assert CODER.encode(text) == ORACLE.encode_ordinary(text)
     finally:
         bpe.TEXT_LEAF = before
+
+
+def test_other_tasks_forget_the_coders():
+    """What a worker remembers of words does not stay while it serves other operators."""
+    bpe.CODERS[("path", 0, "")] = None
+    common.forget()
+    assert not bpe.CODERS
