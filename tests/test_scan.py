@@ -76,6 +76,19 @@ def test_overlaps_shuffles_no_pairs(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
 
 
+def test_pairs_take_little_space(spark, tmp_path):
+    """Keys that are not in the order of the ranges: pairs are given out in an order
+    that files keep small, and none is lost by it."""
+    n = 6000
+    df = spark.range(n).selectExpr(f"id * 2741 % {n} AS id", "'a' AS k", "id AS lo", f"id + {n // 3} AS hi")
+    scan.overlaps(df, "id", ["k"], "lo", "hi", parts=4).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    rows = (n - n // 3) * (n // 3 - 1) + (n // 3) * (n // 3 - 1) // 2
+    assert pairs.count() == rows and pairs.where("a < b").distinct().count() == rows
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.7 * rows, size / rows
+
+
 def test_locate(spark):
     rng = random.Random(3)
     edges = sorted(rng.sample(range(1000), 30)) + [10**6]
